@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywire.llm.bpe import op2_bpe
+from tallywire.llm.chat import ORACLE_SQL as CHAT_SQL
+from tallywire.llm.chat import op8_chat
+from tallywire.llm.ogg import op5_ogg
 from tallywire.llm.packing import op4_packing
+from tallywire.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_packing": op4_packing,
+    "op5_ogg": op5_ogg,
+    "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
+}
+ORACLES: dict[str, str] = {
+    "op8_chat": CHAT_SQL,
 }
-ORACLES: dict[str, str] = {}
