@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tallywire.llm.bpe import op2_bpe
 from tallywire.llm.chat import ORACLE_SQL as CHAT_SQL
 from tallywire.llm.chat import op8_chat
+from tallywire.llm.editembed import op9_fingerprints
 from tallywire.llm.langid import op3_language_id
+from tallywire.llm.minhash import op1_minhash
 from tallywire.llm.ogg import op5_ogg
 from tallywire.llm.packing import op4_packing
+from tallywire.llm.tokencount import op10_token_counts
 from tallywire.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_ogg": op5_ogg,
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op8_chat": CHAT_SQL,
