@@ -181,17 +181,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
 def decode(frame: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary) to a frame of ids; null ids decode to null, unknown ids raise."""
-    from collections.abc import Iterator
+    schema = T.StructType([frame.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
-    import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf(T.BinaryType())
-    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         token = vocabulary(ranks_path).token
-        for ids in parts:
-            yield pd.Series([None if x is None else b"".join(map(token.__getitem__, x.tolist())) for x in ids])
-
-    return frame.select(id_col, ids_col, decoded(ids_col).alias("decoded"))
+        for batch in batches:
+            ids = batch.column(1)
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            texts = [b"".join(map(token.__getitem__, flat[a:b].tolist())) if k else None for a, b, k in zip(ends, ends[1:], known, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], names=schema.names)
+
+    return narrow(frame, **{id_col: id_col, "ids": ids_col}).mapInArrow(run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
