@@ -40,7 +40,7 @@ class ChunkIds:
     Any other text or chunk (other scripts, combining marks, special tokens) is encoded by the tokenizer as it stands.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         import json
         import os
         import re
@@ -58,7 +58,6 @@ class ChunkIds:
         self.run = re.compile(r"[!-/:-@\[-`{-~][.,][ \n]").search
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,27 +69,26 @@ class ChunkIds:
             ends = np.searchsorted(np.array(got.word_ids), np.arange(len(some)), side="right") * 4
             raw, begin = np.array(got.ids, dtype="<u4").tobytes(), 0
             for word, end in zip(some, ends.tolist(), strict=True):
-                self.words[word] = raw[begin:end]
+                self.known[word] = raw[begin:end]
                 begin = end
 
     def learn(self, chunks: set[str]) -> None:
-        plain, cut = self.plain, {}
         if len(self.known) + len(chunks) > self.most:
             self.old, self.known = self.known, {}
-        if len(self.words) > self.most:
-            self.words = {}
-        known, old = self.known, self.old
+        known, old, plain, words, cut = self.known, self.old, self.plain, [], {}
         for c in chunks.difference(known):
             if c in old:
                 known[c] = old[c]
+            elif c.isalpha() and c.islower() and plain(c):  # a word as it stands
+                words.append(c)
             elif plain(c) and "<|" not in c:
                 cut[c] = self.pieces(c.lower())
             else:
                 known[c] = self._alone(c)
-        self._learn_words([w for w in set().union(*cut.values()) if w not in self.words])
-        words = self.words
+        self._learn_words(words)
+        self._learn_words([w for w in set().union(*cut.values()) if w not in known])
         for c, parts in cut.items():
-            known[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+            known[c] = b"".join([known[w] for w in parts])
 
     def _chunks(self, text: str | None) -> list[str]:
         if not text:
