@@ -260,6 +260,24 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return map_steps(narrow(docs, id=id_col, text=text_col), work, schema, 1 << 20)
 
 
+def in_language(docs: DataFrame, model: Model, *, least_score: float, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs`` whose language was found with at least this score. All columns go through one pass, so that
+    no text is shuffled for the decision."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = identify(shared.value, part.column(at).to_pylist(), switch)
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from: a third, by CRC-32 of the id as text."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1

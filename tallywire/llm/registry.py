@@ -11,6 +11,8 @@ from tallywire.llm.chat import ORACLE_SQL as CHAT_SQL
 from tallywire.llm.chat import op8_chat
 from tallywire.llm.editembed import op9_fingerprints
 from tallywire.llm.langid import op3_language_id
+from tallywire.llm.linededup import ORACLE_SQL as LINE_SQL
+from tallywire.llm.linededup import op6_line_dedup
 from tallywire.llm.minhash import op1_minhash
 from tallywire.llm.ogg import op5_ogg
 from tallywire.llm.packing import op4_packing
@@ -23,11 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_ogg": op5_ogg,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": LINE_SQL,
     "op8_chat": CHAT_SQL,
 }
