@@ -108,7 +108,12 @@ def pack_adcs(adcs: list[Column]) -> list[Column]:
 
 def little_endian(data: Column, at: int, n: int = 4) -> Column:
     """An unsigned number of ``n`` bytes of a binary column, from byte ``at`` (0 is the first)."""
-    return F.conv(F.hex(F.reverse(F.substring(data, at + 1, n))), 16, 10).cast("decimal(20,0)").cast("long")
+    return F.conv(swapped(F.hex(F.substring(data, at + 1, n)), n), 16, 10).cast("decimal(20,0)").cast("long")
+
+
+def swapped(digits: Column, n: int) -> Column:
+    """Hexadecimal digits of n bytes with the bytes in the other order."""
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
 
 
 def words_up(n: Column, unit: int) -> Column:
