@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallywire.plans import codecs, control, frames, monitoring, triggers, waveforms
+from tallywire.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "codecs", "control", "frames", "monitoring", "triggers", "waveforms"]
