@@ -8,8 +8,8 @@ number) has the same or a linked text; the rest of the document stays as it is.
    of each of its segments, and of the substrings that a segment of a line up to ``threshold`` shorter could match, at
    the few places where it could stand (multi-match-aware windows). One aggregate by hash finds the hashes of more
    than one text; a hash of two texts is a candidate pair there and then.
-2. Hashes of more texts are joined again, on a sketch of character pairs: an edit changes few bits of it, so that only
-   pairs within reach of the threshold come out of that join.
+2. Hashes of more texts are joined with themselves, on sketches of characters and of character pairs: an edit changes
+   few bits of these, so that only pairs within reach of the threshold come out of that join.
 3. Candidates are verified by a banded bit-parallel edit distance over their code points.
 4. Decisions are joined back by line hash, gathered for each document, and applied.
 
@@ -52,27 +52,30 @@ def segment_places(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_hashes(line: Column, threshold: int) -> Column:
-    """Distinct hashes of the substrings of a line that can match a segment."""
+def segment_entries(lines: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(h, carried columns, key): hashes of the substrings of each line (h, line) that can match a segment."""
     parts = threshold + 1
-    size = F.length(line)
-    hashes = []
-    for less, i, shift in segment_places(threshold):
-        length = size - less
-        base, longer = F.floor(length / parts).cast("int"), length % parts
-        # the last ``longer`` segments have one code point more
-        begin = base * (i - 1) + F.greatest(F.lit(0), longer - (parts - i + 1))
-        width = base + F.when(F.lit(i) > F.lit(parts) - longer, 1).otherwise(0)
-        begin = begin + shift
-        inside = (begin >= 0) & (begin + width <= size)
-        hashes.append(F.when(inside, F.xxhash64(length, F.lit(i), F.substring(line, begin + 1, width))))
-    return F.array_distinct(F.array_compact(F.array(*hashes)))
+    places = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("less", "i", "shift"), place, strict=True)]) for place in segment_places(threshold)])
+    # four bytes for each code point: a substring is then found without counting through the line
+    rows = lines.select("h", *carry, F.encode("line", "UTF-32").alias("points")).withColumn("size", F.expr("coalesce(cast(octet_length(points) div 4 as int), 0)"))
+    rows = rows.select("h", *carry, "points", "size", F.explode(places).alias("x")).select("h", *carry, "points", "size", "x.*")
+    length = F.col("size") - F.col("less")
+    base, longer = F.expr(f"(size - less) div {parts}").cast("int"), length % parts
+    # the last ``longer`` segments have one code point more
+    begin = base * (F.col("i") - 1) + F.greatest(F.lit(0), longer - (parts + 1 - F.col("i"))) + F.col("shift")
+    width = base + F.when(F.col("i") > parts - longer, 1).otherwise(0)
+    placed = rows.select("h", *carry, "points", "i", "size", length.alias("length"), begin.alias("begin"), width.alias("width")).filter("begin >= 0 and begin + width <= size")
+    return placed.select("h", *carry, F.xxhash64("length", "i", F.substring(F.col("points"), 4 * F.col("begin") + 1, 4 * F.col("width"))).alias("key"))
 
 
 def pair_sketch(line: Column) -> Column:
     """64 parities of the character pairs of a line. An edit takes away and adds two pairs at most each."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(line) - 1), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (F.hash(F.substring(line, i, F.lit(2))).bitwiseAND(63)).cast("int")))
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+    def parities(chars: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(F.get(chars, i), F.get(chars, i + 1)).bitwiseAND(63))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(bit(i)))
+
+    return _let(F.split(line, ""), parities)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -83,12 +86,43 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     until that meets the last row, and then along this row.
     """
     k = threshold
+
+    def inner(x: Column) -> Column:
+        # what both begin or end with costs no edit
+        n = F.least(F.length(x["a"]), F.length(x["b"]))
+        return _let(F.struct(x["a"].alias("a"), x["b"].alias("b"), _common(x["a"], x["b"], n, True).alias("head"), n.alias("n")), tail)
+
+    def tail(x: Column) -> Column:
+        cut = lambda s: F.substring(s, x["head"] + 1, F.length(s))
+        return _let(F.struct(cut(x["a"]).alias("a"), cut(x["b"]).alias("b")), end)
+
+    def end(x: Column) -> Column:
+        n = F.least(F.length(x["a"]), F.length(x["b"]))
+        return _let(F.struct(x["a"].alias("a"), x["b"].alias("b"), _common(x["a"], x["b"], n, False).alias("same")), rest)
+
+    def rest(x: Column) -> Column:
+        keep = lambda s: F.substring(s, F.lit(1), F.length(s) - x["same"])
+        # characters and lengths are taken once, not at every column
+        ready = lambda p, t: F.struct(F.split(p, "").alias("p"), F.split(t, "").alias("t"), F.length(p).alias("m"), F.length(t).alias("n"))
+        either = F.greatest(F.length(x["a"]), F.length(x["b"])) - x["same"]
+        empty = F.least(F.length(x["a"]), F.length(x["b"])) <= x["same"]
+        return F.when(empty, either.cast("long")).otherwise(_let(ready(keep(x["a"]), keep(x["b"])), lambda y: _walk(y["p"], y["t"], y["m"], y["n"], k)))
+
+    return F.when(F.abs(F.length(a) - F.length(b)) <= k, _let(F.struct(a.alias("a"), b.alias("b")), inner)).otherwise(F.greatest(F.length(a), F.length(b)).cast("long"))
+
+
+def _common(a: Column, b: Column, n: Column, left: bool) -> Column:
+    """Characters that two texts have in common at the left or right end, n at most: found by halving."""
+    part = (lambda s, size: F.substring(s, F.lit(1), size)) if left else (lambda s, size: F.substring(s, F.length(s) - size + 1, size))
+    powers = F.transform(F.sequence(F.lit(0), F.length(F.bin(n))), lambda i: F.call_function("shiftright", F.call_function("shiftleft", F.lit(1), F.length(F.bin(n))), i))
+    return F.aggregate(powers, F.lit(0), lambda got, step: F.when((got + step <= n) & (part(a, got + step) == part(b, got + step)), got + step).otherwise(got))
+
+
+def _walk(p: Column, t: Column, m: Column, n: Column, k: int) -> Column:
     width = 2 * k + 1
     mask = (1 << width) - 1
     long = lambda x: F.lit(x).cast("long")
     bits = lambda x: x.bitwiseAND(long(mask))
-    p, t = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
 
     def column(state: Column, j: Column) -> Column:
         char = F.get(t, j - 1)
@@ -122,9 +156,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
     # rows above the table's first have no difference; below it each adds one
     start = F.struct(long(mask & ~((1 << k) - 1)).alias("vp"), long(0).alias("vn"), F.least(m, F.lit(k)).cast("long").alias("distance"), long(0).alias("d0"), F.lit(0).alias("j"))
-    walked = F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: _let(column(s, j), finish))
-    within = (F.abs(m - n) <= k) & (m > 0) & (n > 0)
-    return F.when(within, walked["distance"]).otherwise(F.greatest(m, n).cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: _let(column(s, j), finish))["distance"]
 
 
 def _let(value: Column, body) -> Column:
@@ -147,17 +179,23 @@ def _small(df: DataFrame) -> DataFrame:
 def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of different line texts within the threshold: (h, other, distance), both ways round."""
     lines = _lines(docs, id_col, text_col, min_chars)
-    entries = lines.select("h", F.explode(segment_hashes(F.col("line"), threshold)).alias("key"))
+    entries = segment_entries(lines, threshold)
     shared = written(
         entries.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b"),
         "segments",
     )
     twos = shared.filter("n = 2").select("a", "b").distinct()
-    many = _small(written(shared.filter("n > 2").select("key"), "crowded"))
-    crowded = written(entries.join(many, "key", "left_semi").distinct(), "members")
-    wanted = twos.select(F.col("a").alias("h")).unionByName(twos.select(F.col("b").alias("h"))).unionByName(crowded.select("h")).distinct()
-    wanted = _small(written(wanted, "wanted"))
-    texts = lines.join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    # one more pass over the lines finds the members of crowded hashes, and the texts of all candidates: a text of a pair
+    # is asked for by its own hash, as if that were one more segment
+    asked = shared.filter("n > 2").select("key", F.lit(True).alias("crowd"))
+    asked = asked.unionByName(twos.select(F.explode(F.array("a", "b")).alias("key"), F.lit(False).alias("crowd")).distinct())
+    asked = _small(written(asked, "asked"))
+    whole = lines.select("h", "g", "line", F.col("h").alias("key"), F.lit(False).alias("crowd"))
+    pieces = segment_entries(lines, threshold, ("g", "line")).withColumn("crowd", F.lit(True))
+    found = pieces.unionByName(whole).join(asked, ["key", "crowd"], "left_semi")
+    found = written(found.groupBy("h", "g", "crowd", "key").agg(F.first("line").alias("line")), "members")
+    crowded = found.filter("crowd").select("h", "key").distinct()
+    texts = found.groupBy("h", "g").agg(F.first("line").alias("line"))
     texts = written(texts.withColumn("sketch", pair_sketch(F.col("line"))), "texts")
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")
     near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 4 * threshold
@@ -186,7 +224,8 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int =
         F.collect_set(F.when(F.col("drop"), F.col("line_no"))).alias("_drop"), F.sum("links").alias("_links")
     )
     text = F.col(f"`{text_col}`")
-    joined = docs.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_doc")), "left")
+    # the side of decisions is hashed, so that the texts need not be sorted
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_doc")), "left")
     # ``docs`` may hold columns of any names, so what is made is computed beside them in one step
     drop, links_of = per_doc["_drop"], per_doc["_links"]
     raw = F.split(text, "\n", -1)
