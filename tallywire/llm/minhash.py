@@ -39,7 +39,7 @@ LABELS = [4, 4] + [2] * (DEPTH - 2)
 TREE_BYTES = sum(LABELS)
 SHALLOWEST = 2
 #: Rows looked ahead in sorted order, in the two rounds.
-CLOSE, WIDE = 2, 12
+CLOSE, WIDE = 1, 5
 #: Up to so many ids (long or short, some tens of MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -190,10 +190,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         return representatives.select("id", "n", "component", F.explode(trees).alias("x")).select("x.tree", "x.labels", "id", "n", "component")
 
     alone = classes.withColumn("component", F.lit(None).cast(kind))
-    first = written(confirmed(written(neighbours(forest(alone), CLOSE, False, percent), "pairs"), texts, words, percent), "links")
+    tried = written(neighbours(forest(alone), CLOSE, False, percent), "pairs")
+    first = written(confirmed(tried, texts, words, percent), "links")
     joined = components(first)
     labelled = classes.join(joined, classes["id"] == joined["node"], "left").select("id", "n", "labels", F.coalesce("component", "id").alias("component"))
-    second = confirmed(written(neighbours(forest(labelled), WIDE, True, percent), "pairs"), texts, words, percent)
+    new = neighbours(forest(labelled), WIDE, True, percent).join(tried, ["u", "v"], "left_anti")
+    second = confirmed(written(new, "pairs"), texts, words, percent)
     whole = written(components(first.unionByName(written(second, "links"))), "components")
     known = classes.select(F.col("key").alias("known"), F.col("id").alias("first")).join(whole, F.col("first") == F.col("node"), "left").select("known", F.coalesce("component", "first").alias("component"))
     out = signed.select("id", "n", "key").join(known, F.col("key") == F.col("known"), "left")
