@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +24,15 @@ def id_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def steps(ids: list, texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[list, list]]:
-    """Runs of consecutive rows with at most ``limit`` characters in all, or one longer row."""
-    at, held = 0, 0
-    for k, text in enumerate(texts):
-        size = len(text) if text else 0
-        if k > at and held + size > limit:
-            yield ids[at:k], texts[at:k]
-            at, held = k, 0
-        held += size
-    if at < len(texts):
-        yield ids[at:], texts[at:]
+def parts(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch (id, text) in runs of rows with about ``limit`` bytes of text: only one run at a time becomes objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def map_steps(df: DataFrame, work: Callable[[list, list], Iterable[dict | None]], schema: str | T.StructType, limit: int = STEP_BYTES) -> DataFrame:
@@ -44,9 +44,8 @@ def map_steps(df: DataFrame, work: Callable[[list, list], Iterable[dict | None]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some_ids, some in steps(ids, texts, limit):
-                out = work(some_ids, some)
+            for part in parts(batch, limit):
+                out = work(part.column(0).to_pylist(), part.column(1).to_pylist())
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywire.llm.arrow import id_type
+from tallywire.llm.arrow import STEP_BYTES, id_type, parts
 from tallywire.llm.editembed import mix
 from tallywire.llm.graph import components
 from tallywire.llm.shared import written
@@ -82,15 +82,9 @@ def _map_sets(docs: DataFrame, columns, schema: T.StructType, words: int) -> Dat
 
     def run(batches):
         for batch in batches:
-            sizes = np.cumsum([len(x) if x else 0 for x in batch.column(1).to_pylist()])
-            at = 0
-            while at < batch.num_rows:  # about 2 MB of text at a time
-                base = sizes[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(sizes, base + (2 << 20))))
-                part = batch.slice(at, stop - at)
+            for part in parts(batch, STEP_BYTES):
                 found = columns(part.column(0), shingle_sets(part.column(1).to_pylist(), words))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(found, arrow, strict=True)], schema=arrow)
-                at = stop
 
     return docs.mapInArrow(run, schema)
 
@@ -205,3 +199,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN ways b ON b.a = r.seen
+), least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""

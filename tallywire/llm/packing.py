@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywire.llm.arrow import id_type, narrow, steps
+from tallywire.llm.arrow import STEP_BYTES, id_type, narrow, parts
 
 CAPACITY = 4096
 #: Windows in a block: enough for near-equal sums, few enough for small merges.
@@ -259,8 +259,8 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for ids, texts in steps(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, raw in zip(ids, ids_of.encode(texts), strict=True):
+            for part in parts(batch, STEP_BYTES):
+                for key, raw in zip(part.column(0).to_pylist(), ids_of.encode(part.column(1).to_pylist()), strict=True):
                     held.append((key, raw + closing))
                     tokens += len(raw) // 4 + 1
                     if tokens >= block:

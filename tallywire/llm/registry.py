@@ -13,10 +13,12 @@ from tallywire.llm.editembed import op9_fingerprints
 from tallywire.llm.langid import op3_language_id
 from tallywire.llm.linededup import ORACLE_SQL as LINE_SQL
 from tallywire.llm.linededup import op6_line_dedup
+from tallywire.llm.minhash import ORACLE_SQL as NEAR_SQL
 from tallywire.llm.minhash import op1_minhash
 from tallywire.llm.ogg import op5_ogg
 from tallywire.llm.packing import op4_packing
 from tallywire.llm.tokencount import op10_token_counts
+from tallywire.llm.warc import ORACLE_SQL as WARC_SQL
 from tallywire.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash": NEAR_SQL,
     "op6_line_dedup": LINE_SQL,
+    "op7_warc": WARC_SQL,
     "op8_chat": CHAT_SQL,
 }

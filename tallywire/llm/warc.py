@@ -153,3 +153,16 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+
+
+ORACLE_SQL = """
+WITH bare AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hexed FROM bare),
+firsts AS (SELECT hexed, min(page_id) AS original FROM digests GROUP BY hexed)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+        ((CAST('0x' || substr(hexed, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM digests JOIN firsts USING (hexed)
+"""
