@@ -150,7 +150,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @functools.cache
-def piece_ids(path: str, most: int = 400_000) -> Remembered:
+def piece_ids(path: str, most: int = 250_000) -> Remembered:
     return Remembered(vocabulary(path).ids, most)
 
 

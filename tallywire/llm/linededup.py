@@ -68,16 +68,27 @@ def segment_entries(lines: DataFrame, threshold: int, carry: tuple[str, ...] = (
     return placed.select("h", *carry, F.xxhash64("length", "i", F.substring(F.col("points"), 4 * F.col("begin") + 1, 4 * F.col("width"))).alias("key"))
 
 
-def pair_sketch(line: Column) -> Column:
-    """64 parities of the character pairs of a line. An edit takes away and adds two pairs at most each."""
+def sketches(line: Column) -> Column:
+    """struct<n, one, two>: length, and 64 parities each of a line's characters and of its character pairs."""
 
     def parities(chars: Column) -> Column:
-        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(F.get(chars, i), F.get(chars, i + 1)).bitwiseAND(63))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(bit(i)))
+        bit = lambda *x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(*x).bitwiseAND(63))
+        zero, last = F.lit(0).cast("long"), F.size(chars) - 1
+        one = F.aggregate(chars, zero, lambda a, c: a.bitwiseXOR(bit(c)))
+        two = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), zero, lambda a, i: a.bitwiseXOR(bit(F.get(chars, i), F.get(chars, i + 1))))).otherwise(zero)
+        return F.struct(F.size(chars).alias("n"), one.alias("one"), two.alias("two"))
 
     return _let(F.split(line, ""), parities)
 
 
+def within_reach(a: Column, b: Column, threshold: int) -> Column:
+    """Whether lines with these sketches can be linked. A substitution changes two characters and four pairs at most,
+    an insertion or deletion one and three; a difference in length takes as many of the latter."""
+    less = F.abs(a["n"] - b["n"])
+    ones = F.bit_count(a["one"].bitwiseXOR(b["one"])) <= 2 * threshold - less
+    return (less <= threshold) & ones & (F.bit_count(a["two"].bitwiseXOR(b["two"])) <= 4 * threshold - less)
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """The edit distance of two texts if it is at most the threshold, else a larger number.
 
@@ -196,13 +207,13 @@ def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     found = written(found.groupBy("h", "g", "crowd", "key").agg(F.first("line").alias("line")), "members")
     crowded = found.filter("crowd").select("h", "key").distinct()
     texts = found.groupBy("h", "g").agg(F.first("line").alias("line"))
-    texts = written(texts.withColumn("sketch", pair_sketch(F.col("line"))), "texts")
+    texts = written(texts.withColumn("sketch", sketches(F.col("line"))), "texts")
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 4 * threshold
+    near = within_reach(F.col("sketch_a"), F.col("sketch_b"), threshold)
     pairs = twos.join(a, F.col("a") == F.col("h_a")).join(b, (F.col("b") == F.col("h_b")) & near)
     held = crowded.join(texts.select("h", "sketch"), "h")
     left, right = (held.select(F.col("key"), F.col("h").alias(f"x{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
-    close = left.join(right, (left["key"] == right["key"]) & (F.col("xa") < F.col("xb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 4 * threshold)).select("xa", "xb").distinct()
+    close = left.join(right, (left["key"] == right["key"]) & (F.col("xa") < F.col("xb")) & within_reach(F.col("sa"), F.col("sb"), threshold)).select("xa", "xb").distinct()
     pairs = pairs.unionByName(close.join(a, F.col("xa") == F.col("h_a")).join(b, F.col("xb") == F.col("h_b")).drop("xa", "xb"), allowMissingColumns=True)
     checked = pairs.select("h_a", "h_b", "line_a", "line_b").distinct().repartition("h_a").select("h_a", "h_b", banded_distance(F.col("line_a"), F.col("line_b"), threshold).alias("distance"))
     links = written(checked.filter(F.col("distance") <= threshold).groupBy("h_a", "h_b").agg(F.min("distance").alias("distance")), "links")
