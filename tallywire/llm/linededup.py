@@ -9,7 +9,7 @@ number) has the same or a linked text; the rest of the document stays as it is.
    the few places where it could stand (multi-match-aware windows). One aggregate by hash finds the hashes of more
    than one text; a hash of two texts is a candidate pair there and then.
 2. Hashes of more texts are joined with themselves, on sketches of characters and of character pairs: an edit changes
-   few bits of these, so that only pairs within reach of the threshold come out of that join.
+   few bits of these, so that only pairs within reach of the threshold come out of that join, each of them once.
 3. Candidates are verified by a banded bit-parallel edit distance over their code points.
 4. Decisions are joined back by line hash, gathered for each document, and applied.
 
@@ -211,9 +211,12 @@ def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")
     near = within_reach(F.col("sketch_a"), F.col("sketch_b"), threshold)
     pairs = twos.join(a, F.col("a") == F.col("h_a")).join(b, (F.col("b") == F.col("h_b")) & near)
-    held = crowded.join(texts.select("h", "sketch"), "h")
-    left, right = (held.select(F.col("key"), F.col("h").alias(f"x{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
-    close = left.join(right, (left["key"] == right["key"]) & (F.col("xa") < F.col("xb")) & within_reach(F.col("sa"), F.col("sb"), threshold)).select("xa", "xb").distinct()
+    # a line has few keys, one for each place of a segment at most; a pair comes out at the least key that both share
+    held = crowded.groupBy("h").agg(F.collect_set("key").alias("keys")).join(texts.select("h", "sketch"), "h")
+    held = held.select("h", "sketch", "keys", F.explode("keys").alias("key"))
+    left, right = (held.select(F.col("key"), F.col("h").alias(f"x{s}"), F.col("sketch").alias(f"s{s}"), F.col("keys").alias(f"k{s}")) for s in "ab")
+    here = (left["key"] == right["key"]) & (F.col("xa") < F.col("xb")) & within_reach(F.col("sa"), F.col("sb"), threshold)
+    close = left.join(right, here & (F.array_min(F.array_intersect("ka", "kb")) == left["key"])).select("xa", "xb")
     pairs = pairs.unionByName(close.join(a, F.col("xa") == F.col("h_a")).join(b, F.col("xb") == F.col("h_b")).drop("xa", "xb"), allowMissingColumns=True)
     checked = pairs.select("h_a", "h_b", "line_a", "line_b").distinct().repartition("h_a").select("h_a", "h_b", banded_distance(F.col("line_a"), F.col("line_b"), threshold).alias("distance"))
     links = written(checked.filter(F.col("distance") <= threshold).groupBy("h_a", "h_b").agg(F.min("distance").alias("distance")), "links")
