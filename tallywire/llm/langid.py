@@ -123,14 +123,15 @@ class Model:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from rows with a text and a label: a sample by hash of the text of about ``sample_rows`` rows, or all if
-    there are fewer. Counts are summed by language before the driver gets them: a row per language."""
+    """Learn from the different texts among rows with a text and a label: a sample by hash of the text of about
+    ``sample_rows`` at most, or all if there are fewer rows. Copies of a text are one, so that a large group of them cannot
+    fill the sample. Counts are summed by language before the driver gets them: a row per language."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = rows.count()
     if total > sample_rows:
-        parts = 1 << 20
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) < int(parts * sample_rows / total))
-    rows = rows.repartition(16)
+        parts = 1 << 50
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) < parts * sample_rows // total)
+    rows = rows.distinct().repartition(16)
     schema = "lang string, counts binary"
 
     def count(batches):
