@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.llm.langid import fit, held_out, in_language
-from tallywire.llm.linededup import dedup_lines
+from tallywire.llm.linededup import NOT_BLANK, dedup_lines
 from tallywire.llm.minhash import near_duplicates
 from tallywire.llm.packing import pack
 from tallywire.llm.shared import written
@@ -27,9 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document, or an earlier place, holds; those of which nothing is left go."""
-    found = dedup_lines(docs)
-    left = found.filter((F.col("dropped_lines") == 0) | (F.trim("text") != ""))
+    """Documents without lines that an earlier document, or an earlier place, holds, equal ones of any length; those
+    of which nothing but blanks is left go."""
+    found = dedup_lines(docs, min_equal=1)
+    left = found.filter((F.col("dropped_lines") == 0) | F.col("text").rlike(NOT_BLANK))
     n_chars = F.when(F.col("dropped_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -15,8 +15,8 @@ number) has the same or a linked text; the rest of the document stays as it is.
 
 Line texts travel only for candidates; before that there are hashes. Two hashes, 96 bits, stand for a text.
 
-Defined cases: a null text stays null and has no lines; an empty text has one empty line; short lines are never dropped or
-linked; repeated rows (one id and text) are one occurrence, so both stay or lose the same lines; rows without an id come
+Defined cases: a null text stays null and has no lines; an empty text has one empty line; short lines are never linked, and
+dropped only where ``min_equal`` lets equal ones go; repeated rows (one id and text) are one occurrence, so both stay or lose the same lines; rows without an id come
 first; an empty table gives an empty result; extra columns are kept as they are.
 """
 
@@ -30,6 +30,8 @@ from tallywire.llm.shared import written
 THRESHOLD = 2
 #: Code points of the shortest line that is compared: on shorter ones two edits are another line.
 MIN_CHARS = 24
+#: What a text holds that is more than blanks and line ends.
+NOT_BLANK = r"\S"
 #: Up to so many hashes are broadcast, a few tens of MB; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
@@ -176,10 +178,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, doc, line_no, line, h, g) of every line long enough; doc stands for the document's text."""
+    """(id, doc, line_no, line, h, g) of every line long enough and not blank; doc stands for the document's text."""
     text = F.col(f"`{text_col}`")
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
     out = out.select("id", "doc", "line_no", F.trim("raw").alias("line")).filter(F.length("line") >= min_chars)
+    if min_chars < MIN_CHARS:
+        out = out.filter(F.col("line").rlike(NOT_BLANK))
     return out.withColumn("h", _first_hash(F.col("line"))).withColumn("g", _second_hash(F.col("line")))
 
 
@@ -223,11 +227,15 @@ def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     return links.select(F.col("h_a").alias("h"), F.col("h_b").alias("other"), "distance").unionByName(links.select(F.col("h_b").alias("h"), F.col("h_a").alias("other"), "distance"))
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_equal: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and three columns more, which replace any of these names:
-    n_lines, dropped_lines (null texts: 0) and line_links (line texts linked to its lines, counted for each line)."""
+    n_lines, dropped_lines (null texts: 0) and line_links (line texts linked to its lines, counted for each line).
+
+    Equal lines go from ``min_equal`` code points on, if that is given, linked ones from ``min_chars``."""
     links = linked_lines(docs, threshold=threshold, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    lines = _lines(docs, id_col, text_col, min_chars)
+    lines = _lines(docs, id_col, text_col, min_chars if min_equal is None else min_equal)
     place = F.struct("id", "line_no")
     firsts = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")), "firsts")
     before = links.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("linked_first")), "other").groupBy("h").agg(F.min("linked_first").alias("linked_first"), F.count(F.lit(1)).alias("links"))

@@ -34,3 +34,11 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_copies_with_short_lines_go(spark):
+    long = "a line that is long enough to be compared, number "
+    rows = [(1, f"Head\n{long}one\n\nEnd"), (2, f"Head\n{long}one\n\nEnd"), (3, f"Mine\n{long}one\n\t\nEnd"), (4, "\n \n"), (5, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 3: "Mine\n\t", 4: "\n \n", 5: None}
