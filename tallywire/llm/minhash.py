@@ -1,17 +1,18 @@
 """Near-duplicate documents by an LSH forest.
 
 Each set of word shingles has a min-hash signature, cut into several label sequences, one for each tree. A tree is its
-labels in sorted order: rows that share the longest common prefix stand next to each other. Candidates are such
-neighbours. How deep a prefix must be shared adapts to the region: where neighbours share long prefixes only pairs near that
-depth count, and where they share little two labels are enough.
+labels in sorted order: rows that share the longest common prefix stand next to each other. Two documents meet in a tree if
+they share its first two labels, at any distance; the depth is fixed at these two, whatever the region.
 
 1. Documents with equal sets are a class, known by its smallest id; only class representatives go on.
 2. First round: close neighbours in every tree. Links are confirmed on the full sets and contracted to components.
 3. Second round: a wider window, but only pairs between different components, so that a large group of copies
    costs what its size is, not its square. Confirmed links join components.
+4. Exact round: representatives that share two labels with one of another component, near or far, are joined on their
+   rarest shingles by a prefix filter, which loses no pair at the threshold. The windows only save this join work.
 
 Trees are dealt out by ranges of (labels, id), which splits a region of any size; neighbours on two sides of a range's
-end are not compared in that tree, and meet in the others. Two sets of similarity s share two labels in a tree with
+end are left to the exact round. Two sets of similarity s share two labels in a tree with
 probability s^2: for 0.8 and 24 trees all fail with 0.36^24, or 2e-11.
 
 Defined cases: null texts and texts without words have no shingles, are linked with nothing and kept; fewer words than
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +38,9 @@ TREES, DEPTH = 24, 10
 #: Bytes of a tree's labels: four for each of the first two, two for each other.
 LABELS = [4, 4] + [2] * (DEPTH - 2)
 TREE_BYTES = sum(LABELS)
+#: Labels that candidates share, and their bytes.
 SHALLOWEST = 2
+REGION_BYTES = sum(LABELS[:SHALLOWEST])
 #: Rows looked ahead in sorted order, in the two rounds.
 CLOSE, WIDE = 1, 5
 #: Up to so many ids (long or short, some tens of MB) are broadcast to pick texts; more are joined by a shuffle.
@@ -97,7 +100,6 @@ def neighbours(rows: DataFrame, window: int, across: bool, percent: int) -> Data
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
     ordered = rows.repartitionByRange("tree", "labels", "id").sortWithinPartitions("tree", "labels", "id")
-    cuts = np.cumsum([0, *LABELS])[:-1]
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,18 +118,11 @@ def neighbours(rows: DataFrame, window: int, across: bool, percent: int) -> Data
             labels = np.frombuffer(b"".join(table["labels"].to_pylist()), dtype=np.uint8).reshape(size, TREE_BYTES)
             n, ids = table["n"].to_numpy(), table["id"]
             group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy() if across else None
-            depth = []
-            for w in range(1, window + 1):
-                same = np.logical_and.reduceat(labels[w:] == labels[:-w], cuts, axis=1) if size > w else np.zeros((0, DEPTH), dtype=bool)
-                depth.append(np.cumprod(same, axis=1).sum(axis=1) * (tree[w:] == tree[:-w]))
-            near = np.zeros(size + 1, dtype=np.int64)
-            near[1:size] = depth[0]
-            best = np.maximum(near[:-1], near[1:])
             left, right = [], []
             for w in range(1, window + 1):
-                d = depth[w - 1]
-                a, b = np.arange(len(d)), np.arange(len(d)) + w
-                take = (d >= SHALLOWEST) & ((d >= best[a] - 1) | (d >= best[b] - 1) | across | (w == 1)) & (b >= fresh)
+                a = np.arange(max(0, size - w))
+                b = a + w
+                take = (labels[a, :REGION_BYTES] == labels[b, :REGION_BYTES]).all(axis=1) & (tree[a] == tree[b]) & (b >= fresh)
                 take &= (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
                 if across:
                     take &= group[a] != group[b]
@@ -141,6 +136,42 @@ def neighbours(rows: DataFrame, window: int, across: bool, percent: int) -> Data
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def unsettled(rows: DataFrame) -> DataFrame:
+    """(id, component), once each, of rows of the forest in regions (first labels of a tree) of more than one component."""
+    placed = rows.select("tree", F.substring("labels", 1, REGION_BYTES).alias("region"), "id", "component")
+    mixed = placed.groupBy("tree", "region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("tree", "region")
+    mixed = written(mixed, "regions")
+    if mixed.count() <= BROADCAST_IDS:
+        mixed = F.broadcast(mixed)
+    return placed.join(mixed, ["tree", "region"], "left_semi").select("id", "component").distinct()
+
+
+def rare_shared(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) of different components among rows (id, component): all that can be similar.
+
+    Shingles are ordered by how many rows have them. The first shingle that two similar sets share is among the first of
+    both: in a set of n of which o must be shared, it has n - o others before it at most. The larger set must share
+    ``percent`` of its own size, the smaller one more, as the union has its size at least twice less what is shared.
+    """
+    schema = T.StructType([texts.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    needed = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    made = lambda ids, sets: (ids, [set_key(s) for s in sets], [s.view(np.int64) for s in sets])
+    sets = _map_sets(texts.join(needed, "id", "left_semi"), made, schema, words).filter("key is not null")
+    # an id may have several texts, each of them a set; repeated ones are one
+    sets = sets.groupBy("id", "key").agg(F.first("shingles").alias("shingles")).join(needed, "id")
+    each = written(sets.select("id", "key", F.size("shingles").cast("long").alias("n"), "component", F.explode("shingles").alias("shingle")), "shingles")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).filter("rows > 1")
+    ranked = each.join(often, "shingle", "left").select("id", "key", "n", "component", "shingle", F.coalesce("rows", F.lit(1)).alias("rows"), (F.col("least") != F.col("most")).alias("met"))
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id", "key").orderBy("rows", "shingle")).cast("long") - 1)
+    first = written(ranked.filter(F.expr(f"met and at <= n - (({percent} * n + 99) div 100)")).select("shingle", "id", "n", "component", "at"), "rare")
+    both, whole = 100 + percent, 2 * percent
+    small = first.filter(F.expr(f"at <= n - (({whole} * n + {both - 1}) div {both})"))
+    a, b = (x.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", "at")]) for x, side in ((small, "a"), (first, "b")))
+    order = "component_a <> component_b and n_a <= n_b"
+    reach = f"100 * n_a >= {percent} * n_b and {both} * least(n_a - at_a, n_b - at_b) >= {percent} * (n_a + n_b)"
+    return a.join(b, "shingle").filter(f"{order} and {reach}").select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs of ids whose full shingle sets are similar: 100 * intersection >= percent * union.
 
@@ -187,10 +218,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     tried = written(neighbours(forest(alone), CLOSE, False, percent), "pairs")
     first = written(confirmed(tried, texts, words, percent), "links")
     joined = components(first)
-    labelled = classes.join(joined, classes["id"] == joined["node"], "left").select("id", "n", "labels", F.coalesce("component", "id").alias("component"))
-    new = neighbours(forest(labelled), WIDE, True, percent).join(tried, ["u", "v"], "left_anti")
-    second = confirmed(written(new, "pairs"), texts, words, percent)
-    whole = written(components(first.unionByName(written(second, "links"))), "components")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return classes.join(found, classes["id"] == found["node"], "left").select("id", "n", "labels", F.coalesce("component", "id").alias("component"))
+
+    new = written(neighbours(forest(labelled(joined)), WIDE, True, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    links = first.unionByName(written(confirmed(new, texts, words, percent), "links"))
+    left = written(unsettled(forest(labelled(components(links)))), "unsettled")
+    far = written(rare_shared(left, texts, words, percent).join(tried.unionByName(new), ["u", "v"], "left_anti"), "pairs")
+    whole = written(components(links.unionByName(written(confirmed(far, texts, words, percent), "links"))), "components")
     known = classes.select(F.col("key").alias("known"), F.col("id").alias("first")).join(whole, F.col("first") == F.col("node"), "left").select("known", F.coalesce("component", "first").alias("component"))
     out = signed.select("id", "n", "key").join(known, F.col("key") == F.col("known"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

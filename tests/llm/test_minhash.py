@@ -36,6 +36,26 @@ def test_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_links_far_apart_in_a_family(spark):
+    """One form filled in 1500 times, just under the threshold; the links in it stand anywhere among the others."""
+    form = [rng.choice(WORDS) + str(i) for i in range(150)]
+    fields = [15, 45, 75, 105, 135]
+
+    def filled(i, first):
+        out = list(form)
+        for f in fields:
+            out[f] = f"fill{i}x{f}"
+        out[fields[0]] = first
+        return " ".join(out)
+
+    n, twins = 1500, 40
+    texts = {i: filled(i, f"name{i}") for i in range(n)} | {n + i: filled(n + i, f"name{i * 30}") for i in range(twins)}
+    a, b, c = (helpers.shingles(texts[i], 4) for i in (0, 1, n))
+    assert 100 * len(a & b) < 80 * len(a | b) and 100 * len(a & c) >= 80 * len(a | c)
+    got = near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i < n else (i - n) * 30 for i in texts}
+
+
 def test_odd_tables(spark):
     one = "one two three four five six"
     got = near_duplicates(spark.createDataFrame([(1, one, None), (1, one, None), (2, one, None), (None, one, None), (None, None, None)], SCHEMA)).collect()
