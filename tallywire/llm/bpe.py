@@ -24,16 +24,27 @@ from tallywire.llm.arrow import id_type, map_steps, narrow
 
 
 class PerfectHash:
-    """A minimal perfect hash: n keys to the slots 0..n-1, by a pair of displacements for each bucket of keys."""
+    """A minimal perfect hash: n keys to the slots 0..n-1, by a pair of displacements for each bucket of keys.
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
-        n = self.n = len(keys)
-        self.buckets = max(1, n // per_bucket)
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-        if len(np.unique(hashes)) != n:
+    A bucket for which no displacement is left, or two keys of one 64-bit hash, make the construction start again under
+    the next seed. Repeated keys are refused.
+    """
+
+    def __init__(self, keys: list[bytes], per_bucket: int = 4, seeds: int = 10_000):
+        if len(set(keys)) != len(keys):
             raise ValueError("keys must be distinct")
+        self.n = len(keys)
+        self.buckets = self.n // per_bucket + 1
+        if not any(self._place(keys, seed) for seed in range(seeds)):
+            raise ValueError("no displacement found")
+
+    def _place(self, keys: list[bytes], seed: int) -> bool:
+        n, self.seed = self.n, seed
+        hashes = np.array([xxhash.xxh3_64_intdigest(k, seed) for k in keys], dtype=np.uint64)
+        if len(np.unique(hashes)) != n:
+            return False
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        first = ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+        first = ((hashes >> np.uint64(20)) % np.uint64(max(1, n))).astype(np.int64)
         second = ((hashes >> np.uint64(42)) % np.uint64(max(1, n - 1))).astype(np.int64) + 1
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -44,7 +55,7 @@ class PerfectHash:
             members = order[starts[b] : starts[b + 1]]
             if not len(members):
                 break
-            for step in range(10 * n):
+            for step in range(n):
                 at = (first[members] + step * second[members]) % n
                 if len(set(at.tolist())) < len(members):
                     continue
@@ -55,15 +66,18 @@ class PerfectHash:
                 if fits[shift]:
                     break
             else:
-                raise ValueError("no displacement found")
+                return False
             self.shift[b], self.step[b] = shift, step
             slots = (at + shift) % n
             self.slot_key[slots] = members
             free[slots] = free[slots + n] = False
+        return True
 
     def slot(self, key: bytes) -> int:
-        """The slot of a key; any slot for what is no key."""
-        h = xxhash.xxh3_64_intdigest(key)
+        """The slot of a key; any slot for what is no key; -1 without keys."""
+        if not self.n:
+            return -1
+        h = xxhash.xxh3_64_intdigest(key, self.seed)
         b = h % self.buckets
         return ((h >> 20) % self.n + self.step[b] * ((h >> 42) % max(1, self.n - 1) + 1) + self.shift[b]) % self.n
 
@@ -80,7 +94,7 @@ class Vocabulary:
 
     def whole(self, piece: bytes) -> int | None:
         slot = self.hash.slot(piece)
-        return self.slot_rank[slot] if self.slot_token[slot] == piece else None
+        return self.slot_rank[slot] if slot >= 0 and self.slot_token[slot] == piece else None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no entry: merge linked bytes, least rank first and leftmost among equals.
@@ -125,14 +139,21 @@ class Vocabulary:
         return [rank] if rank is not None else self.merge(raw)
 
 
+#: Code points of the longest pre-token that is remembered: longer ones are computed each time.
+REMEMBERED_CHARS = 64
+
+
 class Remembered(dict):
-    """Values by key, computed on a miss. Two generations of at most ``most`` keys: what is used stays, memory is bounded."""
+    """Values by text, computed on a miss. Two generations of at most ``most`` short keys: what is used stays, memory is
+    bounded."""
 
     def __init__(self, compute, most: int):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
+        if len(key) > REMEMBERED_CHARS:
+            return self.compute(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

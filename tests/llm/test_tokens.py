@@ -23,10 +23,14 @@ def encoding():
 
 
 def test_perfect_hash():
-    for n in (1, 2, 7, 1000):
-        keys = [f"key{i}".encode() for i in range(n)]
+    rng = random.Random(8)
+    sets = [[f"key{i}".encode() for i in range(n)] for n in (0, 1, 2, 7, 1000)]
+    sets += [list({rng.randbytes(rng.randint(0, 12)) for _ in range(rng.randint(1, 200))}) for _ in range(500)]
+    for keys in sets:
         h = bpe.PerfectHash(keys)
-        assert sorted(map(h.slot, keys)) == list(range(n)) and all(keys[h.slot_key[h.slot(k)]] == k for k in keys)
+        assert sorted(map(h.slot, keys)) == list(range(len(keys))) and all(keys[h.slot_key[h.slot(k)]] == k for k in keys)
+    with pytest.raises(ValueError):
+        bpe.PerfectHash([b"a", b"b", b"a"])
 
 
 def test_bpe_as_the_library(spark, sf, encoding):
