@@ -1,19 +1,23 @@
 """Near-duplicate documents by an LSH forest.
 
 Each set of word shingles has a min-hash signature, cut into several label sequences, one for each tree. A tree is its
-labels in sorted order: rows that share the longest common prefix stand next to each other. Two documents meet in a tree if
-they share its first two labels, at any distance; the depth is fixed at these two, whatever the region.
+labels in sorted order: rows that share the longest common prefix stand next to each other. A region of depth d is a
+run of rows that share their first d labels.
 
 1. Documents with equal sets are a class, known by its smallest id; only class representatives go on.
-2. First round: close neighbours in every tree. Links are confirmed on the full sets and contracted to components.
-3. Second round: a wider window, but only pairs between different components, so that a large group of copies
-   costs what its size is, not its square. Confirmed links join components.
-4. Exact round: representatives that share two labels with one of another component, near or far, are joined on their
-   rarest shingles by a prefix filter, which loses no pair at the threshold. The windows only save this join work.
-
-Trees are dealt out by ranges of (labels, id), which splits a region of any size; neighbours on two sides of a range's
-end are left to the exact round. Two sets of similarity s share two labels in a tree with
-probability s^2: for 0.8 and 24 trees all fail with 0.36^24, or 2e-11.
+2. First round: neighbours in the sorted order of some trees. Links are confirmed on the full sets and contracted to
+   components, so that a large group of near copies costs what its size is, not its square.
+3. Second round: regions in all trees. A row's region starts at ``SHALLOWEST`` labels and is looked at one label deeper
+   until it holds at most ``REGION_ROWS`` rows, or rows of one component only: its depth adapts to how crowded the place
+   is. All pairs of a region that are of different components are candidates.
+4. Exact round: two sets of similarity s share D labels in a tree with probability s^D, whatever else the row meets; that
+   its region there is deeper than D happens in a share F of its trees. So a partner is found in a tree with probability
+   s^D - F at least. Where no D makes this large enough for all trees to fail with at most ``MISS``, as in the midst of
+   many texts made from one form, the row is not settled. Rows not settled are joined on their rarest shingles by a
+   prefix filter, which loses no pair at the threshold.
+
+Trees are dealt out by ranges of (labels, id), which splits a region of any size, and gone through in blocks of bounded
+size. A region that touches the end of a block may go on elsewhere: it does not count, and its rows look deeper.
 
 Defined cases: null texts and texts without words have no shingles, are linked with nothing and kept; fewer words than
 a shingle has make one shingle of them all; rows with one id are one document, linked if any of its texts is; rows without
@@ -38,11 +42,16 @@ TREES, DEPTH = 24, 10
 #: Bytes of a tree's labels: four for each of the first two, two for each other.
 LABELS = [4, 4] + [2] * (DEPTH - 2)
 TREE_BYTES = sum(LABELS)
-#: Labels that candidates share, and their bytes.
+#: Labels that candidates share at least.
 SHALLOWEST = 2
-REGION_BYTES = sum(LABELS[:SHALLOWEST])
-#: Rows looked ahead in sorted order, in the two rounds.
-CLOSE, WIDE = 1, 5
+#: Trees of the first round.
+FIRST_TREES = 8
+#: Rows of a region whose pairs are all candidates; in a larger one the next label is taken in.
+REGION_ROWS = 24
+#: A row that may miss a partner at the threshold with more than this probability goes to the exact round.
+MISS = 1e-6
+#: Rows of a tree that are looked at together.
+BLOCK_ROWS = 1 << 15
 #: Up to so many ids (long or short, some tens of MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -92,58 +101,104 @@ def _map_sets(docs: DataFrame, columns, schema: T.StructType, words: int) -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def neighbours(rows: DataFrame, window: int, across: bool, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) among rows (tree, labels, id, n, component) of the forest.
-
-    ``across`` leaves out pairs of one component. Pairs whose sizes alone rule out the similarity are left out too.
+def shared_labels(tree: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of sorted rows, how many labels each shares with the next one; 0 across trees."""
+    same, shared, at = tree[1:] == tree[:-1], np.zeros(max(0, len(tree) - 1), dtype=np.int64), 0
+    for width in LABELS:
+        same = same & (labels[1:, at : at + width] == labels[:-1, at : at + width]).all(axis=1)
+        shared += same
+        at += width
+    return shared
+
+
+def regions(shared: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block of sorted rows: the depth of each row's region, 0 where none is known to be whole; and where the region
+    ends, or the next row if it holds one component only and has nothing to compare."""
+    size = len(group)
+    depth, end = np.zeros(size, dtype=np.int64), np.arange(1, size + 1)
+    left = np.ones(size, dtype=bool)
+    for d in range(SHALLOWEST, DEPTH + 1):
+        start = np.flatnonzero(np.append(True, shared < d))
+        stop = np.append(start[1:], size)
+        pure = np.minimum.reduceat(group, start) == np.maximum.reduceat(group, start)
+        whole = (start > 0) & (stop < size) & (pure | (stop - start <= most))
+        over = lambda x: np.repeat(x, stop - start)  # noqa: B023, E731
+        found = over(whole) & left
+        depth[found] = d
+        end = np.where(found & ~over(pure), over(stop), end)
+        left &= ~found
+        if not left.any():
+            break
+    return depth, end
+
+
+def looked_up(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """Candidates among rows (tree, labels, id, n, component) of the forest, as rows (u, v, depth).
+
+    Pairs (u, v), with ``depth`` null, are of different components: neighbours, and all of a region of at most ``most`` rows.
+    Pairs whose sizes alone rule out the similarity are left out. Rows (u, null, depth) tell the depth of the region of u in
+    one tree, where it is not the shallowest; 0 stands for no region.
     """
     kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("depth", T.IntegerType())])
     ordered = rows.repartitionByRange("tree", "labels", "id").sortWithinPartitions("tree", "labels", "id")
 
+    def block(batches: list[pa.RecordBatch], arrow: pa.Schema):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        size = table.num_rows
+        labels = np.frombuffer(b"".join(table["labels"].to_pylist()), dtype=np.uint8).reshape(size, TREE_BYTES)
+        n, ids = table["n"].to_numpy(), table["id"].combine_chunks()
+        group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        shared = shared_labels(table["tree"].to_numpy(), labels)
+        near = np.arange(size) + 1
+        near[:-1] += shared >= SHALLOWEST
+        if most:
+            depth, end = regions(shared, group, most)
+            short = np.flatnonzero(depth != SHALLOWEST)
+            if len(short):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(short)), pa.nulls(len(short), ids.type), pa.array(depth[short], pa.int32())], schema=arrow)
+            near = np.maximum(near, end)
+        left, right, a, w = [], [], np.arange(size), 0
+        while len(a):
+            w += 1
+            a = a[a + w < near[a]]
+            b = a + w
+            take = (group[a] != group[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
+            left.append(a[take])
+            right.append(b[take])
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.nulls(len(a), pa.int32())], schema=arrow)
+
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
-        carried = None
+        arrow, held, size = to_arrow_schema(schema), [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            fresh = 0
-            if carried is not None:
-                fresh = carried.num_rows
-                table = pa.concat_tables([carried, table]).combine_chunks()
-            size = table.num_rows
-            carried = table.slice(max(0, size - window - 1))
-            tree = table["tree"].to_numpy()
-            labels = np.frombuffer(b"".join(table["labels"].to_pylist()), dtype=np.uint8).reshape(size, TREE_BYTES)
-            n, ids = table["n"].to_numpy(), table["id"]
-            group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy() if across else None
-            left, right = [], []
-            for w in range(1, window + 1):
-                a = np.arange(max(0, size - w))
-                b = a + w
-                take = (labels[a, :REGION_BYTES] == labels[b, :REGION_BYTES]).all(axis=1) & (tree[a] == tree[b]) & (b >= fresh)
-                take &= (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
-                if across:
-                    take &= group[a] != group[b]
-                left.append(a[take])
-                right.append(b[take])
-            a, b = np.concatenate(left), np.concatenate(right)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)).combine_chunks(), ids.take(pa.array(b)).combine_chunks()], schema=arrow)
-
-    found = ordered.mapInArrow(run, schema).filter("u != v")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def unsettled(rows: DataFrame) -> DataFrame:
-    """(id, component), once each, of rows of the forest in regions (first labels of a tree) of more than one component."""
-    placed = rows.select("tree", F.substring("labels", 1, REGION_BYTES).alias("region"), "id", "component")
-    mixed = placed.groupBy("tree", "region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("tree", "region")
-    mixed = written(mixed, "regions")
-    if mixed.count() <= BROADCAST_IDS:
-        mixed = F.broadcast(mixed)
-    return placed.join(mixed, ["tree", "region"], "left_semi").select("id", "component").distinct()
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                yield from block(held, arrow)
+                held, size = [], 0
+        if size:
+            yield from block(held, arrow)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def candidate_pairs(found: DataFrame) -> DataFrame:
+    return found.filter("v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def unsettled(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, component) that may have a partner which no region showed, from the depths of their regions."""
+    needed = TREES * (1 - MISS ** (1 / TREES))
+    shares = {d: TREES * (percent / 100) ** d for d in range(SHALLOWEST, DEPTH + 1)}
+    if shares[SHALLOWEST] < needed:
+        return rows.select("id", "component")
+    sure = [F.lit(share) - F.count_if((F.col("depth") == 0) | (F.col("depth") > d)) for d, share in shares.items()]
+    deep = found.filter("depth is not null").groupBy(F.col("u").alias("id")).agg(F.greatest(*sure).alias("sure")).filter(F.col("sure") < needed)
+    return rows.join(deep, "id", "left_semi").select("id", "component")
 
 
 def rare_shared(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -211,23 +266,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     )
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("labels", t * TREE_BYTES + 1, TREE_BYTES).alias("labels")) for t in range(TREES)])
 
-    def forest(representatives: DataFrame) -> DataFrame:
-        return representatives.select("id", "n", "component", F.explode(trees).alias("x")).select("x.tree", "x.labels", "id", "n", "component")
+    def forest(representatives: DataFrame, count: int) -> DataFrame:
+        return representatives.select("id", "n", "component", F.explode(F.slice(trees, 1, count)).alias("x")).select("x.tree", "x.labels", "id", "n", "component")
 
-    alone = classes.withColumn("component", F.lit(None).cast(kind))
-    tried = written(neighbours(forest(alone), CLOSE, False, percent), "pairs")
+    tried = written(candidate_pairs(looked_up(forest(classes.withColumn("component", F.col("id")), FIRST_TREES), 0, percent)), "pairs")
     first = written(confirmed(tried, texts, words, percent), "links")
-    joined = components(first)
 
     def labelled(found: DataFrame) -> DataFrame:
         return classes.join(found, classes["id"] == found["node"], "left").select("id", "n", "labels", F.coalesce("component", "id").alias("component"))
 
-    new = written(neighbours(forest(labelled(joined)), WIDE, True, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
-    links = first.unionByName(written(confirmed(new, texts, words, percent), "links"))
-    left = written(unsettled(forest(labelled(components(links)))), "unsettled")
-    far = written(rare_shared(left, texts, words, percent).join(tried.unionByName(new), ["u", "v"], "left_anti"), "pairs")
-    whole = written(components(links.unionByName(written(confirmed(far, texts, words, percent), "links"))), "components")
-    known = classes.select(F.col("key").alias("known"), F.col("id").alias("first")).join(whole, F.col("first") == F.col("node"), "left").select("known", F.coalesce("component", "first").alias("component"))
+    def grown(known: DataFrame, more: DataFrame) -> DataFrame:
+        """Components after some links more: what is known are stars already."""
+        return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+    joined = components(first)
+    placed = labelled(joined)
+    found = written(looked_up(forest(placed, TREES), REGION_ROWS, percent), "regions")
+    new = written(candidate_pairs(found).join(tried, ["u", "v"], "left_anti"), "pairs")
+    joined = written(grown(joined, written(confirmed(new, texts, words, percent), "links")), "components")
+    left = written(unsettled(found, labelled(joined), percent), "unsettled")
+    if not left.isEmpty():
+        far = written(rare_shared(left, texts, words, percent).join(tried.unionByName(new), ["u", "v"], "left_anti"), "pairs")
+        joined = written(grown(joined, written(confirmed(far, texts, words, percent), "links")), "components")
+    known = classes.select(F.col("key").alias("known"), F.col("id").alias("first")).join(joined, F.col("first") == F.col("node"), "left").select("known", F.coalesce("component", "first").alias("component"))
     out = signed.select("id", "n", "key").join(known, F.col("key") == F.col("known"), "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tallywire.llm import minhash
 from tallywire.llm.graph import components
 from tallywire.llm.minhash import near_duplicates
 from tallywire.llm.shingles import PART, shingle_sets
@@ -76,3 +79,55 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     want = helpers.components({x for e in chain for x in e}, chain)
     assert got == {k: v for k, v in want.items() if k != 5000}
+
+
+def _sorted_tree(rows):
+    """(tree, labels as bytes) of rows of labels, in sorted order."""
+    raw = sorted(b"".join(x.to_bytes(w, "big") for x, w in zip(r, minhash.LABELS, strict=True)) for r in rows)
+    return np.zeros(len(raw), dtype=np.int32), np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), minhash.TREE_BYTES)
+
+
+def test_regions_are_deeper_where_it_is_crowded():
+    rest = [9] * (minhash.DEPTH - 3)
+    sparse = [[1, 1, x, *rest] for x in range(3)]
+    crowded = [[2, 2, x // 5, x % 5, *rest[1:]] for x in range(40)]  # eight runs of five at the third label
+    one_group = [[3, 3, x, *rest] for x in range(40)]
+    rows = [[0, 0, 0, *rest], *sparse, *crowded, *one_group, [4, 4, 4, *rest]]
+    tree, labels = _sorted_tree(rows)
+    group = np.array([0, *range(1, 44), *[99] * 40, 100])
+    shared = minhash.shared_labels(tree, labels)
+    depth, end = minhash.regions(shared, group, 10)
+    assert depth.tolist() == [0, *[2] * 3, *[3] * 40, *[2] * 40, 0]
+    assert end[1:4].tolist() == [4] * 3 and end[4:9].tolist() == [9] * 5 and end[50] == 51
+    # a wider region needs no deeper prefix
+    assert minhash.regions(shared, group, 40)[0].tolist() == [0, *[2] * 83, 0]
+
+
+def test_candidates_follow_the_depth(spark):
+    """In one tree: all pairs of a sparse region, none across the deeper regions of a crowded one but neighbours."""
+    rest = [9] * (minhash.DEPTH - 3)
+    rows = [[1, 1, x, *rest] for x in range(4)] + [[2, 2, x // 4, x % 4, *rest[1:]] for x in range(40)]
+    tree, labels = _sorted_tree([[0, 0, 0, *rest], *rows, [3, 3, 3, *rest]])
+    frame = spark.createDataFrame([(0, bytes(x), i, 100, i) for i, x in enumerate(labels)], "tree int, labels binary, id long, n long, component long").coalesce(1)
+
+    def pairs(most):
+        found = minhash.looked_up(frame, most, 80)
+        return {(r.u, r.v) for r in minhash.candidate_pairs(found).collect()}, {r.u for r in found.filter("depth is not null").collect()}
+
+    many, none = pairs(64)
+    few, lacking = pairs(10)
+    assert {(a, b) for a in range(1, 5) for b in range(a + 1, 5)} <= few < many
+    inside = {(a, b) for a in range(5, 45) for b in range(a + 1, 45) if (a - 5) // 4 == (b - 5) // 4}
+    assert few - {(a, b) for a, b in few if b < 5} == inside | {(a, a + 1) for a in range(5, 44)}
+    assert set(range(5, 45)) <= lacking and not none & set(range(1, 45))
+
+
+def test_recall_in_loose_groups(spark):
+    """Large groups whose members are mostly just under the threshold: links found against all pairs."""
+    texts = [t for size, changes in ((150, 30), (150, 14), (100, 20), (40, 11)) for t in _group(size, changes)]
+    sets = {i: helpers.shingles(t, 5) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert links and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    whole = helpers.components(sets, links)
+    assert sum(got[i] == whole[i] for i in got) >= 0.99 * len(got) and all(whole[got[i]] == whole[i] for i in got)
