@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in Spark expressions only.
 
-A line is compared without the blanks around it, and only if it is long enough. Two line texts are linked if their edit
-distance is at most the threshold. Of lines that are equal or linked, an occurrence goes if an earlier one (by id, then line
+A line is compared without the blanks around it. Two line texts are linked if both are long enough and their edit distance
+is at most the threshold. Of lines that are equal, from a length of their own on, or linked, an occurrence goes if an earlier one (by id, then line
 number) has the same or a linked text; the rest of the document stays as it is.
 
 1. Lines of one length fall into threshold + 1 segments, so that linked lines share a segment. Each line emits a hash
@@ -9,14 +9,18 @@ number) has the same or a linked text; the rest of the document stays as it is.
    the few places where it could stand (multi-match-aware windows). One aggregate by hash finds the hashes of more
    than one text; a hash of two texts is a candidate pair there and then.
 2. Hashes of more texts are joined with themselves, on sketches of characters and of character pairs: an edit changes
-   few bits of these, so that only pairs within reach of the threshold come out of that join, each of them once.
+   few bits of these, so that only pairs within reach of the threshold come out of that join, each of them once. Where a
+   hash has many texts, as template lines do, the sketch of pairs is cut to bands, more of them than edits within the
+   threshold can touch, and the band is part of the join key: two linked lines have an equal band.
 3. Candidates are verified by a banded bit-parallel edit distance over their code points.
 4. Decisions are joined back by line hash, gathered for each document, and applied.
 
-Line texts travel only for candidates; before that there are hashes. Two hashes, 96 bits, stand for a text.
+Line texts travel only for candidates; before that there are hashes. Two 64-bit hashes of different seeds stand for a
+text wherever texts are told apart. The first alone serves to find candidates: there, two linked lines are lost if they
+are also equal in 64 bits.
 
 Defined cases: a null text stays null and has no lines; an empty text has one empty line; short lines are never linked, and
-dropped only where ``min_equal`` lets equal ones go; repeated rows (one id and text) are one occurrence, so both stay or lose the same lines; rows without an id come
+blank ones never dropped; repeated rows (one id and text) are one occurrence, so both stay or lose the same lines; rows without an id come
 first; an empty table gives an empty result; extra columns are kept as they are.
 """
 
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from tallywire.llm.shared import written
 
 THRESHOLD = 2
-#: Code points of the shortest line that is compared: on shorter ones two edits are another line.
+#: Code points of the shortest line that is linked: on shorter ones two edits are another line.
 MIN_CHARS = 24
+#: Different texts of a hash from which on the join is keyed by bands of their sketches.
+CROWD = 256
 #: What a text holds that is more than blanks and line ends.
 NOT_BLANK = r"\S"
 #: Up to so many hashes are broadcast, a few tens of MB; more are joined by a shuffle.
@@ -41,7 +47,7 @@ def _first_hash(line: Column) -> Column:
 
 
 def _second_hash(line: Column) -> Column:
-    return F.hash(line)
+    return F.xxhash64(F.lit(0x5EED), line)
 
 
 def segment_places(threshold: int) -> list[tuple[int, int, int]]:
@@ -71,24 +77,38 @@ def segment_entries(lines: DataFrame, threshold: int, carry: tuple[str, ...] = (
 
 
 def sketches(line: Column) -> Column:
-    """struct<n, one, two>: length, and 64 parities each of a line's characters and of its character pairs."""
+    """struct<n, one, two, three>: length, 64 parities of a line's characters, and 128 of its character pairs."""
+    shift = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63))
+    zero = F.lit(0).cast("long")
+
+    def pair_bits(state: Column, x: Column) -> Column:
+        # bit 6 of the hash says which word, the bits below which bit of it
+        low = x.bitwiseAND(64) == 0
+        return F.struct(F.when(low, state["two"].bitwiseXOR(shift(x))).otherwise(state["two"]).alias("two"), F.when(low, state["three"]).otherwise(state["three"].bitwiseXOR(shift(x))).alias("three"))
 
     def parities(chars: Column) -> Column:
-        bit = lambda *x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(*x).bitwiseAND(63))
-        zero, last = F.lit(0).cast("long"), F.size(chars) - 1
-        one = F.aggregate(chars, zero, lambda a, c: a.bitwiseXOR(bit(c)))
-        two = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), zero, lambda a, i: a.bitwiseXOR(bit(F.get(chars, i), F.get(chars, i + 1))))).otherwise(zero)
-        return F.struct(F.size(chars).alias("n"), one.alias("one"), two.alias("two"))
+        last, none = F.size(chars) - 1, F.struct(zero.alias("two"), zero.alias("three"))
+        one = F.aggregate(chars, zero, lambda a, c: a.bitwiseXOR(shift(F.hash(c))))
+        pairs = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), none, lambda a, i: pair_bits(a, F.hash(F.get(chars, i), F.get(chars, i + 1))))).otherwise(none)
+        return F.struct(F.size(chars).alias("n"), one.alias("one"), pairs.alias("pairs"))
+
+    flat = lambda x: F.struct(x["n"].alias("n"), x["one"].alias("one"), x["pairs"]["two"].alias("two"), x["pairs"]["three"].alias("three"))
+    return _let(_let(F.split(line, ""), parities), flat)
+
 
-    return _let(F.split(line, ""), parities)
+def bands(sketch: Column, threshold: int) -> Column:
+    """The parities of pairs in bands: more of them than differ between linked lines, so that one is equal."""
+    each = (4 * threshold + 2) // 2
+    width = 64 // each
+    return F.array(*[F.shiftrightunsigned(sketch[word], width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for word in ("two", "three") for i in range(each)])
 
 
 def within_reach(a: Column, b: Column, threshold: int) -> Column:
     """Whether lines with these sketches can be linked. A substitution changes two characters and four pairs at most,
     an insertion or deletion one and three; a difference in length takes as many of the latter."""
     less = F.abs(a["n"] - b["n"])
-    ones = F.bit_count(a["one"].bitwiseXOR(b["one"])) <= 2 * threshold - less
-    return (less <= threshold) & ones & (F.bit_count(a["two"].bitwiseXOR(b["two"])) <= 4 * threshold - less)
+    differ = lambda *words: sum(F.bit_count(a[w].bitwiseXOR(b[w])) for w in words)
+    return (less <= threshold) & (differ("one") <= 2 * threshold - less) & (differ("two", "three") <= 4 * threshold - less)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -181,9 +201,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     """(id, doc, line_no, line, h, g) of every line long enough and not blank; doc stands for the document's text."""
     text = F.col(f"`{text_col}`")
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    out = out.select("id", "doc", "line_no", F.trim("raw").alias("line")).filter(F.length("line") >= min_chars)
-    if min_chars < MIN_CHARS:
-        out = out.filter(F.col("line").rlike(NOT_BLANK))
+    out = out.select("id", "doc", "line_no", F.trim("raw").alias("line")).filter((F.length("line") >= min_chars) & F.col("line").rlike(NOT_BLANK))
     return out.withColumn("h", _first_hash(F.col("line"))).withColumn("g", _second_hash(F.col("line")))
 
 
@@ -191,8 +209,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
 
 
-def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of different line texts within the threshold: (h, other, distance), both ways round."""
+def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs of different line texts within the threshold: (h, g, other, other_g, distance), both ways round."""
     lines = _lines(docs, id_col, text_col, min_chars)
     entries = segment_entries(lines, threshold)
     shared = written(
@@ -209,39 +227,49 @@ def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     pieces = segment_entries(lines, threshold, ("g", "line")).withColumn("crowd", F.lit(True))
     found = pieces.unionByName(whole).join(asked, ["key", "crowd"], "left_semi")
     found = written(found.groupBy("h", "g", "crowd", "key").agg(F.first("line").alias("line")), "members")
-    crowded = found.filter("crowd").select("h", "key").distinct()
     texts = found.groupBy("h", "g").agg(F.first("line").alias("line"))
-    texts = written(texts.withColumn("sketch", sketches(F.col("line"))), "texts")
+    texts = written(texts.select(F.struct("h", "g").alias("x"), "h", "line", sketches(F.col("line")).alias("sketch")), "texts")
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")
-    near = within_reach(F.col("sketch_a"), F.col("sketch_b"), threshold)
-    pairs = twos.join(a, F.col("a") == F.col("h_a")).join(b, (F.col("b") == F.col("h_b")) & near)
+    near = within_reach(F.col("sketch_a"), F.col("sketch_b"), threshold) & (F.col("x_a") < F.col("x_b"))
+    # ``a`` is the smaller first hash of the two, so the pair comes in the order of x
+    pairs = twos.join(a, F.col("a") == F.col("h_a")).join(b, (F.col("b") == F.col("h_b")) & near).select("x_a", "x_b", "line_a", "line_b")
     # a line has few keys, one for each place of a segment at most; a pair comes out at the least key that both share
-    held = crowded.groupBy("h").agg(F.collect_set("key").alias("keys")).join(texts.select("h", "sketch"), "h")
-    held = held.select("h", "sketch", "keys", F.explode("keys").alias("key"))
-    left, right = (held.select(F.col("key"), F.col("h").alias(f"x{s}"), F.col("sketch").alias(f"s{s}"), F.col("keys").alias(f"k{s}")) for s in "ab")
-    here = (left["key"] == right["key"]) & (F.col("xa") < F.col("xb")) & within_reach(F.col("sa"), F.col("sb"), threshold)
-    close = left.join(right, here & (F.array_min(F.array_intersect("ka", "kb")) == left["key"])).select("xa", "xb")
-    pairs = pairs.unionByName(close.join(a, F.col("xa") == F.col("h_a")).join(b, F.col("xb") == F.col("h_b")).drop("xa", "xb"), allowMissingColumns=True)
-    checked = pairs.select("h_a", "h_b", "line_a", "line_b").distinct().repartition("h_a").select("h_a", "h_b", banded_distance(F.col("line_a"), F.col("line_b"), threshold).alias("distance"))
-    links = written(checked.filter(F.col("distance") <= threshold).groupBy("h_a", "h_b").agg(F.min("distance").alias("distance")), "links")
-    return links.select(F.col("h_a").alias("h"), F.col("h_b").alias("other"), "distance").unionByName(links.select(F.col("h_b").alias("h"), F.col("h_a").alias("other"), "distance"))
+    crowded = found.filter("crowd").select(F.struct("h", "g").alias("x"), "key")
+    large = _small(written(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > crowd).select("key", F.lit(True).alias("large")), "crowds"))
+    held = crowded.groupBy("x").agg(F.collect_set("key").alias("keys")).join(texts.select("x", "sketch"), "x")
+    held = held.select("x", "sketch", "keys", F.explode("keys").alias("key")).join(large, "key", "left")
+    held = held.withColumn("bands", F.when(F.col("large"), bands(F.col("sketch"), threshold)).otherwise(F.array(F.lit(0).cast("long"))))
+    held = held.select("x", "sketch", "keys", "key", "bands", F.posexplode("bands").alias("band", "bits"))
+    left, right = (held.select("key", "band", "bits", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "sketch", "keys", "bands")]) for s in "ab")
+    first_key = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
+    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) == left["band"] + 1
+    here = (left["key"] == right["key"]) & (left["band"] == right["band"]) & (left["bits"] == right["bits"]) & (F.col("x_a") < F.col("x_b"))
+    reach = within_reach(F.col("sketch_a"), F.col("sketch_b"), threshold)
+    close = left.join(right, here & reach & first_key & first_band).select("x_a", "x_b")
+    pairs = pairs.unionByName(close.join(a.select("x_a", "line_a"), "x_a").join(b.select("x_b", "line_b"), "x_b"))
+    checked = pairs.distinct().repartition("x_a").select("x_a", "x_b", banded_distance(F.col("line_a"), F.col("line_b"), threshold).alias("distance"))
+    links = written(checked.filter(F.col("distance") <= threshold).groupBy("x_a", "x_b").agg(F.min("distance").alias("distance")), "links")
+    ways = links.select("x_a", "x_b", "distance").unionByName(links.select(F.col("x_b").alias("x_a"), F.col("x_a").alias("x_b"), "distance"))
+    return ways.select(F.col("x_a.h").alias("h"), F.col("x_a.g").alias("g"), F.col("x_b.h").alias("other"), F.col("x_b.g").alias("other_g"), "distance")
 
 
 def dedup_lines(
-    docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_equal: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_equal: int = 1, id_col: str = "doc_id", text_col: str = "text", prefix: str = ""
 ) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and three columns more, which replace any of these names:
-    n_lines, dropped_lines (null texts: 0) and line_links (line texts linked to its lines, counted for each line).
+    """``docs`` with repeated lines taken out of the text, and three columns more, which replace any of these names,
+    with ``prefix`` before them: n_lines, dropped_lines (null texts: 0) and line_links (line texts linked to its lines,
+    counted for each line).
 
-    Equal lines go from ``min_equal`` code points on, if that is given, linked ones from ``min_chars``."""
+    Equal lines go from ``min_equal`` code points on, unless they are blank, and linked ones from ``min_chars``."""
     links = linked_lines(docs, threshold=threshold, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    lines = _lines(docs, id_col, text_col, min_chars if min_equal is None else min_equal)
+    lines = _lines(docs, id_col, text_col, min(min_equal, min_chars))
     place = F.struct("id", "line_no")
-    firsts = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")), "firsts")
-    before = links.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("linked_first")), "other").groupBy("h").agg(F.min("linked_first").alias("linked_first"), F.count(F.lit(1)).alias("links"))
-    ruled = firsts.join(before, "h", "left").filter((F.col("first") != F.col("last")) | F.col("links").isNotNull())
-    ruled = _small(written(ruled.select("h", F.least("first", "linked_first").alias("earliest"), F.coalesce("links", F.lit(0)).alias("links")), "rules"))
-    hit = lines.select("id", "doc", "line_no", "h").join(ruled, "h").withColumn("drop", place > F.col("earliest"))
+    firsts = written(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")), "firsts")
+    of_other = firsts.select(F.col("h").alias("other"), F.col("g").alias("other_g"), F.col("first").alias("linked_first"))
+    before = links.join(of_other, ["other", "other_g"]).groupBy("h", "g").agg(F.min("linked_first").alias("linked_first"), F.count(F.lit(1)).alias("links"))
+    ruled = firsts.join(before, ["h", "g"], "left").filter((F.col("first") != F.col("last")) | F.col("links").isNotNull())
+    ruled = _small(written(ruled.select("h", "g", F.least("first", "linked_first").alias("earliest"), F.coalesce("links", F.lit(0)).alias("links")), "rules"))
+    hit = lines.select("id", "doc", "line_no", "h", "g").join(ruled, ["h", "g"]).withColumn("drop", place > F.col("earliest"))
     per_doc = hit.groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc")).agg(
         F.collect_set(F.when(F.col("drop"), F.col("line_no"))).alias("_drop"), F.sum("links").alias("_links")
     )
@@ -255,9 +283,9 @@ def dedup_lines(
     kept_lines = _let(F.struct(raw.alias("raw"), keep.alias("keep")), lambda x: F.transform(x["keep"], lambda i: F.get(x["raw"], i)))
     cleaned = F.when(F.size(drop) > 0, F.array_join(kept_lines, "\n")).otherwise(text)
     made = {
-        "n_lines": F.when(text.isNull(), 0).otherwise(F.size(raw)).cast("long"),
-        "dropped_lines": F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long"),
-        "line_links": F.coalesce(links_of, F.lit(0)).cast("long"),
+        f"{prefix}n_lines": F.when(text.isNull(), 0).otherwise(F.size(raw)).cast("long"),
+        f"{prefix}dropped_lines": F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long"),
+        f"{prefix}line_links": F.coalesce(links_of, F.lit(0)).cast("long"),
     }
     rest = [cleaned.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns if c not in made]
     return joined.select(*rest, *[m.alias(n) for n, m in made.items()])
@@ -273,19 +301,19 @@ WITH raw AS (
     SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), every AS (
     SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM raw
-), long AS (
-    SELECT doc_id, line_no, trim(line, ' ') AS line FROM every WHERE length(trim(line, ' ')) >= {MIN_CHARS}
+), shown AS (
+    SELECT doc_id, line_no, trim(line, ' ') AS line FROM every WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), first AS (
-    SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM long GROUP BY line
+    SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM shown GROUP BY line
 ), near AS (
     SELECT a.line, b.place FROM first a JOIN first b ON b.n BETWEEN a.n - {THRESHOLD} AND a.n + {THRESHOLD}
-        AND a.line <> b.line AND levenshtein(a.line, b.line) <= {THRESHOLD}
+        AND a.n >= {MIN_CHARS} AND b.n >= {MIN_CHARS} AND a.line <> b.line AND levenshtein(a.line, b.line) <= {THRESHOLD}
 ), links AS (
     SELECT line, min(place) AS place, count(*) AS links FROM near GROUP BY line
 ), ruled AS (
     SELECT l.doc_id, l.line_no, coalesce(k.links, 0) AS links,
         (l.doc_id, l.line_no) > least(f.place, coalesce(k.place, f.place)) AS gone
-    FROM long l JOIN first f USING (line) LEFT JOIN links k USING (line)
+    FROM shown l JOIN first f USING (line) LEFT JOIN links k USING (line)
 ), kept AS (
     SELECT e.doc_id, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS dropped_lines,
         sum(coalesce(links, 0)) AS line_links,

@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallywire.llm import chat, editembed, langid, linededup, ogg, registry, warc
@@ -56,14 +57,18 @@ def _near_lines(n):
     return docs
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [linededup.CROWD, 2])
+def test_lines_against_all_pairs(spark, monkeypatch, crowd):
+    """With crowded hashes joined as they are, and by bands of sketches."""
+    monkeypatch.setattr(linededup.linked_lines, "__kwdefaults__", linededup.linked_lines.__kwdefaults__ | {"crowd": crowd})
     docs = _near_lines(60)
     got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_lines string")).collect()}
-    places = [(i, k, line.strip(" ")) for i, t in docs for k, line in enumerate(t.split("\n")) if len(line.strip(" ")) >= linededup.MIN_CHARS]
+    places = [(i, k, line.strip(" ")) for i, t in docs for k, line in enumerate(t.split("\n")) if line.strip()]
     first = {}
     for i, k, line in places:
         first.setdefault(line, (i, k))
-    linked = {a: [b for b in first if a != b and helpers.levenshtein(a, b) <= linededup.THRESHOLD] for a in first}
+    long = [x for x in first if len(x) >= linededup.MIN_CHARS]
+    linked = {a: [b for b in long if len(a) >= linededup.MIN_CHARS and a != b and helpers.levenshtein(a, b) <= linededup.THRESHOLD] for a in first}
     gone = {(i, k) for i, k, line in places if (i, k) > min(first[x] for x in [line, *linked[line]])}
     assert any(linked.values()) and gone
     for i, t in docs:
@@ -73,6 +78,20 @@ def test_lines_against_all_pairs(spark):
         assert got[i].line_links == sum(len(linked[line]) for d, _, line in places if d == i)
 
 
+def test_bands_of_template_lines(spark):
+    """Lines of one template: bands keep every linked pair and leave few of the others to compare."""
+    rng = random.Random(9)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [f"Posted by {name(14)} on the day of {name(12)}, in the evening" for _ in range(400)]
+    lines += [line.replace("evening", "evenings") for line in lines[::8]] + [line[:12] + "#" + line[13:] for line in lines[::10]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {(r.h, r.other) for r in linededup.linked_lines(df, crowd=50).collect()}
+    assert len(got) == 2 * sum(helpers.levenshtein(a, b) <= 2 for i, a in enumerate(lines) for b in lines[:i] if a[:10] == b[:10] and abs(len(a) - len(b)) <= 1 and sum(map(str.__ne__, a[10:40], b[10:40])) <= 2)
+    cut = df.select("doc_id", F.posexplode(linededup.bands(linededup.sketches(F.col("text")), 2)).alias("band", "bits"))
+    met = cut.alias("a").join(cut.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.doc_id") < F.col("b.doc_id"))).count()
+    assert met < 0.3 * len(lines) ** 2 / 2
+
+
 def test_lines_odd_tables(spark):
     line = "a line that is long enough to count"
     df = spark.createDataFrame([(1, None), (2, ""), (3, line), (3, line), (None, line), (4, line)], "doc_id long, text string")
