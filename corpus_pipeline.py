@@ -17,32 +17,47 @@ from tallywire.llm.shared import written
 
 #: A text whose main language has less than this share of it, by letters and likelihood, is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Begins the names of columns that only pass through a stage.
+MARK = "_stage_"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt, from two thirds of the labelled ones; mixtures without a main language and
-    texts without letters go."""
+    texts without letters go.
+
+    Null, empty and letterless texts go; null labels and ids do no harm; repeated rows stay or go together; an empty table,
+    or one without a label, gives an empty table; other columns are kept as they are."""
     model = fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))
     return in_language(docs, model, least_score=LEAST_LANGUAGE_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or an earlier place, holds, equal ones of any length; those
-    of which nothing but blanks is left go."""
-    found = dedup_lines(docs, min_equal=1)
-    left = found.filter((F.col("dropped_lines") == 0) | F.col("text").rlike(NOT_BLANK))
-    n_chars = F.when(F.col("dropped_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    of which nothing but blanks is left go.
+
+    Null, empty and blank texts stay, as they lose nothing; rows without an id come first; repeated rows lose the same
+    lines; an empty table gives an empty one; other columns are kept as they are, but n_chars follows the text."""
+    found = dedup_lines(docs, prefix=MARK)
+    dropped = F.col(f"{MARK}dropped_lines") > 0
+    left = found.filter(~dropped | F.col("text").rlike(NOT_BLANK))
+    n_chars = F.when(dropped, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, a similarity of 0.8."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group of near duplicates: five words, a similarity of 0.8.
+
+    Texts that are null or without words stay, and so do rows without an id; repeated rows stay or go together; an empty
+    table gives an empty one; other columns are kept as they are."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(f"{MARK}id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[f"{MARK}id"]), "left_semi")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of at most 4096 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """Pieces of windows of at most 4096 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    A null text is an empty one, which is its closing id alone; repeated rows are packed once each; an empty table gives no
+    pieces; other columns are ignored."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
