@@ -24,9 +24,9 @@ def id_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def parts(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """A batch (id, text) in runs of rows with about ``limit`` bytes of text: only one run at a time becomes objects."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+def parts(batch: pa.RecordBatch, limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``limit`` bytes in a column of texts: only one run at a time becomes objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

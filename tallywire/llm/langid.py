@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywire.llm.arrow import id_type, map_steps, narrow
+from tallywire.llm.arrow import id_type, map_steps, narrow, parts
 
 UNKNOWN = "und"
 # First and last code points of scripts, from the Unicode block list.
@@ -46,13 +46,15 @@ FOREIGN = 30.0
 SCALE = 0.5
 #: Rows of the training sample, as a bound on what is counted.
 SAMPLE_ROWS = 12_000
+#: Bytes of text that are scored together: a letter takes some tens of bytes.
+RUN_BYTES = 1 << 20
 
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case, its script."""
     letter, lower = np.zeros(0x110000, dtype=bool), np.arange(0x110000, dtype=np.uint32)
-    for i in (*range(0xD800), *range(0xE000, 0x32000)):
+    for i in (*range(0xD800), *range(0xE000, 0x110000)):
         c = chr(i)
         if c.isalpha():
             letter[i] = True
@@ -126,11 +128,11 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """Learn from the different texts among rows with a text and a label: a sample by hash of the text of about
     ``sample_rows`` at most, or all if there are fewer rows. Copies of a text are one, so that a large group of them cannot
     fill the sample. Counts are summed by language before the driver gets them: a row per language."""
-    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = rows.count()
     if total > sample_rows:
-        parts = 1 << 50
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) < parts * sample_rows // total)
+        whole = 1 << 50
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(whole)) < whole * sample_rows // total)
     rows = rows.distinct().repartition(16)
     schema = "lang string, counts binary"
 
@@ -139,12 +141,10 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in set(langs):
-                for at in range(0, len(texts), 500):
-                    some = [t for t, x in zip(texts[at : at + 500], langs[at : at + 500], strict=True) if x == lang]
-                    if some:
-                        sums[lang] = sums.get(lang, 0) + bucket_counts(some)
+            for part in parts(batch, RUN_BYTES):
+                langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for lang in set(langs):
+                    sums[lang] = sums.get(lang, 0) + bucket_counts([t for t, x in zip(texts, langs, strict=True) if x == lang])
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
@@ -208,7 +208,9 @@ def label_words(model: Model, w: Words, switch: float = SWITCH) -> tuple[np.ndar
         run = np.cumsum(gain)
         run -= np.repeat(run[at] - gain[at], counts)  # sums within a text
         before = run - gain
-        far = np.repeat(np.arange(len(at)), counts) * 1e12  # texts one below the other: the least value starts anew
+        # each text is moved just below the one before it, so that the least value starts anew
+        low, high = np.minimum.reduceat(before, at), np.maximum.reduceat(before, at)
+        far = np.repeat(np.cumsum(np.append(0.0, high[1:] - low[:-1] + 1)), counts)
         least = np.minimum.accumulate(before - far) + far
         open_texts = np.flatnonzero(np.maximum.reduceat(run - least, at) > switch)
         for t in open_texts.tolist():
@@ -258,7 +260,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         lang, score, spans = zip(*identify(shared.value, texts, switch), strict=True)
         return {id_col: ids, "lang_pred": lang, "score": score, "spans": [[dict(zip(span.names, s, strict=True)) for s in x] for x in spans]}
 
-    return map_steps(narrow(docs, id=id_col, text=text_col), work, schema, 1 << 20)
+    return map_steps(narrow(docs, id=id_col, text=text_col), work, schema, RUN_BYTES)
 
 
 def in_language(docs: DataFrame, model: Model, *, least_score: float, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -271,8 +273,7 @@ def in_language(docs: DataFrame, model: Model, *, least_score: float, text_col:
         import pyarrow as pa
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for part in parts(batch, RUN_BYTES, at):
                 found = identify(shared.value, part.column(at).to_pylist(), switch)
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score, _ in found], pa.bool_()))
 

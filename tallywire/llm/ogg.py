@@ -120,7 +120,7 @@ def read_pages(media: bytes) -> Iterator[Page]:
 class Packet(NamedTuple):
     serial: int
     data: bytes
-    begin: int | None  # granule positions; None where a lost page leaves them open
+    begin: int | None  # granule positions; None in streams whose packets tell no length, but for the end of a page's last
     end: int | None
 
 
@@ -153,36 +153,51 @@ def demultiplex(media: bytes) -> tuple[dict[int, list[Packet]], int]:
         if begin < at and not skip:
             parts.append(page.body[begin:at])
         open_parts[page.serial] = parts
-        end = page.granule
+        # the page tells where its last packet ends; the others end where the next begins, if their lengths in time are
+        # known: those of samples are, once the head packet has told the stream's kind
+        end: int | None = page.granule if page.granule != NO_PACKET_ENDS else None
         placed = []
-        for data in reversed(done):  # the page tells where its last packet ends; the others end where the next begins
-            samples = 0 if page.flags & FIRST or data[:8] in (SAMPLES, NOTES) or page.serial & 1 else len(data)
-            placed.append(Packet(page.serial, data, end - samples, end))
-            end -= samples
+        for i, data in reversed(list(enumerate(done))):
+            head = not packets and not i
+            sampled = packets[0].data.startswith(SAMPLES) if packets else done[0].startswith(SAMPLES)
+            samples = 0 if head else len(data) if sampled else None
+            begin = None if end is None or samples is None else end - samples
+            placed.append(Packet(page.serial, data, begin, end))
+            end = begin
         packets += reversed(placed)
     return streams, bad
 
 
-def read_bytes(media: bytes) -> tuple[bytes, int | None, int]:
-    """The stored samples, the number of bytes before padding, and the number of bad pages."""
+class Content(NamedTuple):
+    samples: bytes
+    length: int | None  # bytes before padding
+    bad: int  # pages whose checksum failed
+    begin: int | None  # granule positions of the first sample and behind the last
+    end: int | None
+
+
+def read_bytes(media: bytes) -> Content:
+    """What a file holds, in samples and in time."""
     streams, bad = demultiplex(media)
-    samples, length = b"", None
+    samples, length, begin, end = b"", None, None, None
     for packets in streams.values():
         if packets and packets[0].data.startswith(SAMPLES):
             samples = b"".join(p.data for p in packets[1:])
+            if len(packets) > 1:
+                begin, end = packets[1].begin, packets[-1].end
         elif packets and packets[0].data == NOTES and len(packets) > 1:
             (length,) = struct.unpack("<Q", packets[1].data)
-    return samples, length, bad
+    return Content(samples, length, bad, begin, end)
 
 
-def features(samples: bytes, rate: int = RATE) -> str:
-    """Duration in ms, mean, mean square about 128 and its zero crossings, and the peak of each of eight equal parts."""
+def features(samples: bytes, begin: int | None = None, end: int | None = None, rate: int = RATE) -> str:
+    """Duration in ms by granule positions (by the number of samples, if there are none), mean, mean square about 128 and its zero crossings, and the peak of each of eight equal parts."""
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64) - 128
     if not len(x):
         return "0"
     crossings = int(np.count_nonzero(np.diff(x >= 0)))
     peaks = [int(np.abs(part).max()) if len(part) else 0 for part in np.array_split(x, 8)]
-    return ",".join(map(str, [len(x) * 1000 // rate, int(x.sum()) // len(x), int((x * x).sum()) // len(x), crossings, *peaks]))
+    return ",".join(map(str, [(len(x) if begin is None or end is None else end - begin) * 1000 // rate, int(x.sum()) // len(x), int((x * x).sum()) // len(x), crossings, *peaks]))
 
 
 def store(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "text") -> DataFrame:
@@ -193,36 +208,42 @@ def store(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "text") -> D
 
 
 def read(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The id column, media, payload (padded), n_bytes (before padding), bad_pages, feature."""
+    """The id column, media, payload (padded), n_bytes (before padding), bad_pages, begin_granule and end_granule (of the
+    samples, from the pages' granule positions), feature."""
     schema = T.StructType(
         [T.StructField(id_col, id_type(df, id_col)), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType())]
-        + [T.StructField("n_bytes", T.LongType()), T.StructField("bad_pages", T.LongType()), T.StructField("feature", T.StringType())]
+        + [T.StructField("n_bytes", T.LongType()), T.StructField("bad_pages", T.LongType())]
+        + [T.StructField("begin_granule", T.LongType()), T.StructField("end_granule", T.LongType()), T.StructField("feature", T.StringType())]
     )
 
     def work(ids, media):
-        got = [(None, None, None) if m is None else read_bytes(m) for m in media]
+        got = [Content(None, None, None, None, None) if m is None else read_bytes(m) for m in media]
         return {
             id_col: ids,
             "media": media,
-            "payload": [g[0] for g in got],
-            "n_bytes": [g[1] for g in got],
-            "bad_pages": [g[2] for g in got],
-            "feature": [None if g[0] is None else features(g[0]) for g in got],
+            "payload": [g.samples for g in got],
+            "n_bytes": [g.length for g in got],
+            "bad_pages": [g.bad for g in got],
+            "begin_granule": [g.begin for g in got],
+            "end_granule": [g.end for g in got],
+            "feature": [None if g.samples is None else features(g.samples, g.begin, g.end) for g in got],
         }
 
     return map_steps(narrow(df, id=id_col, media=media_col), work, schema)
 
 
 def packets(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", rate: int = RATE) -> DataFrame:
-    """A row per packet: the id column, serial, packet, begin_s and end_s (from granule positions), data."""
+    """A row per packet: the id column, serial, packet, begin_s and end_s (from granule positions; null where they do not
+    tell), data. Null media give no rows."""
     schema = T.StructType(
         [T.StructField(id_col, id_type(df, id_col)), T.StructField("serial", T.LongType()), T.StructField("packet", T.LongType())]
         + [T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("data", T.BinaryType())]
     )
 
     def work(ids, media):
+        seconds = lambda granule: None if granule is None else granule / rate
         rows = [
-            (key, serial, k, p.begin / rate, p.end / rate, p.data)
+            (key, serial, k, seconds(p.begin), seconds(p.end), p.data)
             for key, m in zip(ids, media, strict=True)
             if m is not None
             for serial, found in demultiplex(m)[0].items()
@@ -245,4 +266,6 @@ def op5_ogg(spark, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
         "bad_pages",
+        "begin_granule",
+        "end_granule",
     )

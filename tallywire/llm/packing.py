@@ -5,8 +5,9 @@ A task tokenises its rows, gathers them into blocks of a fixed number of windows
 * a document of several windows gives whole windows first; what is left over is one item;
 * items start as partitions with one filled slot; the two partitions with the largest imbalance are merged, the
   fullest slot of one with the emptiest of the other, until one partition of near-equal windows remains;
-* when a window exceeds the capacity, whole items need more windows, so the count rises and the block is packed
-  again; items that may be cut give their excess to windows with room instead, and a new window opens if none has.
+* when a window exceeds the capacity, the count rises and the block is packed again, until every window holds;
+* whole items stay like that. Items that may be cut do so only to take the padding out: the smallest windows, as many as
+  the rise was more than the tokens need, are dealt out into the room that the others have left.
 
 Nothing is shuffled and no state outlives a block, so memory is bounded by a block and a lost task is simply run again.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from tallywire.llm.arrow import STEP_BYTES, id_type, narrow, parts
 CAPACITY = 4096
 #: Windows in a block: enough for near-equal sums, few enough for small merges.
 BLOCK_WINDOWS = 64
+#: Code points of the longest chunk that is remembered.
+REMEMBERED_CHARS = 64
 
 
 class ChunkIds:
@@ -51,18 +55,26 @@ class ChunkIds:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path) as f:
-            parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(parts[0]["pattern"]["Regex"]).findall
+            form = json.load(f)
+        parts = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pattern = parts[0].get("pattern", {}).get("Regex")
+        # chunks stand for themselves only if the text is lower-cased and split by a pattern that drops blanks
+        steps = (form.get("normalizer") or {}).get("normalizers") or [form.get("normalizer") or {}]
+        splits = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+        self.chunked = bool(pattern and splits and any(s.get("type") == "Lowercase" for s in steps))
+        self.pieces = regex.compile(pattern or ".").findall
         self.plain = regex.compile(r"[!-~\u00c0-\u012f\u0131-\u017e]*+").fullmatch
         self.plain_text = regex.compile(r"[\n -~\u00c0-\u012f\u0131-\u017e]*+").fullmatch
         self.run = re.compile(r"[!-/:-@\[-`{-~][.,][ \n]").search
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_words(self, words: list[str]) -> None:
+        self.long += [w for w in words if len(w) > REMEMBERED_CHARS]
         for at in range(0, len(words), 4000):
             some = words[at : at + 4000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -77,6 +89,8 @@ class ChunkIds:
             self.old, self.known = self.known, {}
         known, old, plain, words, cut = self.known, self.old, self.plain, [], {}
         for c in chunks.difference(known):
+            if len(c) > REMEMBERED_CHARS:
+                self.long.append(c)
             if c in old:
                 known[c] = old[c]
             elif c.isalpha() and c.islower() and plain(c):  # a word as it stands
@@ -100,36 +114,47 @@ class ChunkIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.chunked:
+            return [self._alone(t or "") for t in texts]
         cut = [self._chunks(t) for t in texts]
         self.learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for long in self.long:
+            self.known.pop(long, None)
+        self.long.clear()
+        return out
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp for k windows: the items (by index) of each window."""
     if k <= 1:
         return [list(range(len(sizes)))]
-    # a partition: slots in falling order of sum, each (sum less the smallest sum, items as nested pairs)
-    heap = [(-size, i, [(size, i)] + [(0, None)] * (k - 1)) for i, size in enumerate(sizes)]
+    # a partition: its filled slots in falling order of sum, each (sum less the smallest of all k, items as nested pairs)
+    heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
     if not heap:
         return [[] for _ in range(k)]
     heapq.heapify(heap)
-    n = len(sizes)
+    n, by_sum = len(sizes), itemgetter(0)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        merged = [(x + y, p if q is None else q if p is None else (p, q)) for (x, p), (y, q) in zip(a, reversed(b), strict=True)]
-        merged.sort(key=lambda s: -s[0])
-        least = merged[-1][0]
-        if least:
+        free = k - len(b)  # the fullest slots of one meet the emptiest of the other, which are empty as far as that
+        if len(a) <= free:
+            merged = a + b
+        else:
+            both = [(x + y, (p, q)) for (x, p), (y, q) in zip(a[free:], reversed(b[k - len(a) :]), strict=True)]
+            merged = a[:free] + b[: k - len(a)] + both
+        merged.sort(key=by_sum, reverse=True)
+        if len(merged) == k and (least := merged[-1][0]):
             merged = [(x - least, p) for x, p in merged]
         heapq.heappush(heap, (-merged[0][0], n, merged))
         n += 1
-    return [_leaves(p) for _, p in heap[0][2]]
+    windows = [_leaves(p) for _, p in heap[0][2]]
+    return windows + [[] for _ in range(k - len(windows))]
 
 
 def _leaves(tree) -> list[int]:
-    out, stack = [], [] if tree is None else [tree]
+    out, stack = [], [tree]
     while stack:
         x = stack.pop()
         if isinstance(x, tuple):
@@ -161,42 +186,28 @@ def cut_windows(sizes: list[int], capacity: int) -> list[list[tuple[int, int, in
     if not items:
         return out
     rest = [x[2] for x in items]
-    k = -(-sum(rest) // capacity)
-    windows = [[items[i] for i in w] for w in differencing(rest, k)]
+    windows = [[items[i] for i in w] for w in whole_windows(rest, capacity)]
     windows.sort(key=lambda w: -sum(x[2] for x in w))
-    spare: list[tuple[int, int, int]] = []  # pieces without a window
+    full = sum(rest) // capacity
+    windows, spare = windows[:full], [x for w in windows[full:] for x in w]  # pieces without a window
 
-    def take(room: int) -> tuple[int, int, int]:
-        i, start, n = spare.pop()
-        if n > room:
-            spare.append((i, start + room, n - room))
-            n = room
-        return i, start, n
+    def fill(w: list[tuple[int, int, int]], room: int) -> None:
+        while room:
+            i, start, n = spare.pop()
+            if n > room:
+                spare.append((i, start + room, n - room))
+                n = room
+            w.append((i, start, n))
+            room -= n
 
     for w in windows:
-        over = sum(x[2] for x in w) - capacity
-        while over > 0:
-            i, start, n = w.pop()
-            keep = max(0, n - over)
-            if keep:
-                w.append((i, start, keep))
-            spare.append((i, start + keep, n - keep))
-            over -= n - keep
-    last = windows.pop()
-    spare = last + spare
-    for w in windows:
-        room = capacity - sum(x[2] for x in w)
-        while room and spare:
-            w.append(piece := take(room))
-            room -= piece[2]
+        fill(w, capacity - sum(x[2] for x in w))
     left = sum(x[2] for x in spare)
     while left:
-        room = min(capacity, 1 << (left.bit_length() - 1))
+        room = 1 << (left.bit_length() - 1)
         left -= room
         windows.append(w := [])
-        while room:
-            w.append(piece := take(room))
-            room -= piece[2]
+        fill(w, room)
     return out + windows
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywire.llm.arrow import STEP_BYTES, parts
 from tallywire.llm.shared import shared_folder, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,9 +113,8 @@ def write_archives(pages: DataFrame, path: str, *, min_payload: int = 0, id_col:
 
         archive, member = f"part-{TaskContext.get().partitionId():05d}.warc.gz", 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for at in range(0, len(columns[0]), 500):
-                rows = zip(*(c[at : at + 500] for c in columns), strict=True)
+            for part in parts(batch, STEP_BYTES, 2):
+                rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
                 out = [gzip.compress(record(i, _one_line(u), p, d, n, r), 4, mtime=0) for i, u, p, d, n, r in rows]
                 yield pa.RecordBatch.from_pydict({"archive": [archive] * len(out), "member": pa.array(range(member, member + len(out)), pa.int64()), "content": pa.array(out, pa.binary())})
                 member += len(out)
@@ -129,9 +129,9 @@ def read_archives(spark, path: str) -> DataFrame:
     arrow = pa.schema([pa.field(c.split()[0], t) for c, t in zip(schema.split(", "), types, strict=True)])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in parts(batch, STEP_BYTES, 0)):
             rows = []
-            for content in batch.column(0).to_pylist():
+            for content in part.column(0).to_pylist():
                 f, block = parse(gzip.decompress(content))
                 kind = f["warc-type"]
                 payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None

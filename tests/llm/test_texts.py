@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -124,10 +125,84 @@ def test_language_spans(sf):
         assert (langid.viterbi(scores[a:b], langid.SWITCH) == labels[a:b]).all()
 
 
+def _plain_labels(model, text, switch):
+    """Words letter by letter, n-gram buckets by their rule, and Viterbi over every step and pair of languages."""
+    m, k, out, i = 0xFFFFFFFF, len(model.languages), [], 0
+
+    def bucket(h):
+        h = (h ^ h >> 15) * 0x2C1B3C6D & m
+        return h >> 32 - langid.BITS
+
+    text = text or ""
+    while i < len(text):
+        if not text[i].isalpha():
+            i += 1
+            continue
+        j = i
+        while j < len(text) and text[j].isalpha():
+            j += 1
+        word = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text[i:j]]
+        padded, score = [0, *word, 0, 0], [0.0] * k
+        for a, b, c, d in zip(padded, padded[1:], padded[2:], [*padded[3:], 0]):
+            if b == 0:
+                break
+            three = a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D & m
+            four = three + (d if c else 0) * 0x27D4EB2F & m
+            score = [s + float(model.tri[bucket(three)][x]) + float(model.quad[bucket(four)][x]) for x, s in enumerate(score)]
+        script = next((n for n, p, q in reversed(langid.SCRIPT_RANGES) if p <= ord(text[i]) <= q), "other")
+        out.append((j - i, [s + float(model.script[langid.SCRIPTS.index(script)][x]) for x, s in enumerate(score)]))
+        i = j
+    if not out:
+        return None
+    best, back = list(out[0][1]), []
+    for _, row in out[1:]:
+        came = [max(range(k), key=lambda y: (best[y] - switch * (y != x), y == x, -y)) for x in range(k)]
+        back.append(came)
+        best = [best[came[x]] - switch * (came[x] != x) + row[x] for x in range(k)]
+    label = max(range(k), key=best.__getitem__)
+    labels = [label]
+    for came in reversed(back):
+        label = came[label]
+        labels.append(label)
+    letters = [0] * k
+    for x, (n, _) in zip(labels[::-1], out):
+        letters[x] += n
+    main = max(range(k), key=letters.__getitem__)
+    sums = [sum(row[x] for y, (_, row) in zip(labels[::-1], out) if y == main) for x in range(k)]
+    return model.languages[main], letters[main] / sum(letters) / sum(math.exp(min(50, s - sums[main])) for s in sums)
+
+
+def test_language_against_plain_form(sf):
+    docs = helpers.documents(sf)
+    langs = sorted({r["lang"] for r in docs if r["lang"]})
+    model = langid.model_from({x: langid.bucket_counts([r["text"] for r in docs if r["lang"] == x and r["doc_id"] % 2]) for x in langs})
+    texts = [r["text"][:2500] for r in docs[:80]] + [docs[i]["text"][:300] + " " + docs[i + 1]["text"][:300] for i in range(0, 40, 2)]
+    texts += [None, "", "12 !", "x", "İstanbul \U00032100\U00032101 ab", "привет мир " * 3, "a" * 5000]
+    for text, (lang, score, _) in zip(texts, langid.identify(model, texts)):
+        want = _plain_labels(model, text, langid.SWITCH)
+        assert (lang, score) == ("und", 0.0) if want is None else lang == want[0] and abs(score - min(1, want[1])) < 1e-3, text[:60]
+    # a text's labels do not depend on the texts beside it
+    assert langid.identify(model, texts * 30)[-len(texts) :] == langid.identify(model, texts)
+
+
+def test_language_odd_tables(spark):
+    assert langid.identify(langid.model_from({"en": langid.bucket_counts(["some text"])}), ["\U00032100" * 3])[0][0] == "en"
+    rows = [(1, "ein deutscher Satz", "de", "x"), (2, "an English sentence", "en", "x"), (2, "an English sentence", "en", "x"), (3, None, "en", "x"), (4, "", None, None), (None, "12", "de", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = langid.fit(df)
+    got = sorted((r.doc_id or 0, r.lang_pred) for r in langid.predict(df, model).collect())
+    assert got == [(0, "und"), (1, "de"), (2, "en"), (2, "en"), (3, "und"), (4, "und")]
+    kept = langid.in_language(df, model, least_score=0.4)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 2] and langid.in_language(df.limit(0), model, least_score=0.4).collect() == []
+    none = langid.fit(df.limit(0))
+    assert none.languages == [] and {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"} and langid.predict(df.limit(0), none).collect() == []
+
+
 def test_ogg_round_trip():
     for data in [b"", b"a", b"x" * 576, b"y" * 577, bytes(range(256)) * 500]:
         media = ogg.store_bytes(data)
-        samples, n, bad = ogg.read_bytes(media)
+        samples, n, bad, begin, end = ogg.read_bytes(media)
+        assert (begin, end) == (0, len(samples))
         assert n == len(data) and bad == 0 and samples == data + b"\xff" * (len(samples) - len(data)) and len(samples) % 576 == 0 and samples
         assert len({p.serial for p in ogg.read_pages(media)}) == 2
     streams, _ = ogg.demultiplex(media)
@@ -137,6 +212,24 @@ def test_ogg_round_trip():
     broken = bytearray(media)
     broken[len(media) // 2] ^= 1
     assert ogg.read_bytes(bytes(broken))[2] == 1
+    # a stream of samples is told by its head packet, whatever its serial number; others tell only where pages end
+    head = ogg.SAMPLES + bytes(6)
+    odd = b"".join(ogg.stream_pages(7, [head, b"x" * 100, b"y" * 50], [0, 1100, 1150]) + ogg.stream_pages(8, [b"other", b"z", b"w"], [0, 5, 9]))
+    streams = ogg.demultiplex(odd)[0]
+    assert [(p.begin, p.end) for p in streams[7]] == [(0, 0), (1000, 1100), (1100, 1150)] and [(p.begin, p.end) for p in streams[8]] == [(0, 0), (None, None), (None, 9)]
+    assert ogg.read_bytes(odd)[3:] == (1000, 1150) and ogg.features(b"a" * 150, 1000, 1150).startswith("18,")
+
+
+def test_ogg_tables(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "é" * 3000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.begin_granule, r.end_granule, r.bad_pages) for r in ogg.read(ogg.store(df)).collect())
+    assert got == [(0, 6000, 0, 6336, 0), (1, 0, 0, 576, 0), (2, 0, 0, 576, 0), (2, 0, 0, 576, 0)]
+    assert [r.payload for r in ogg.read(spark.createDataFrame([(1, None)], "doc_id long, media binary")).collect()] == [None]
+    sound = ogg.packets(ogg.store(df.filter("doc_id is null"))).filter("end_s > 0").orderBy("packet").collect()
+    assert [(r.begin_s, r.end_s, len(r.data)) for r in sound] == [(0.0, 0.576, 4608), (0.576, 0.792, 1728)]
+    for empty in (ogg.read(ogg.store(df.limit(0))), ogg.packets(ogg.store(df.limit(0)))):
+        assert empty.collect() == []
 
 
 def test_ogg_checksum():

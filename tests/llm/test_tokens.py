@@ -92,7 +92,38 @@ def test_whole_windows():
         windows = packing.whole_windows(sizes, 100)
         assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= 100 for w in windows)
         pieces = packing.cut_windows(sizes, 64)
-        assert sum(p[2] for w in pieces for p in w) == sum(sizes) and all(sum(p[2] for p in w) <= 64 for w in pieces)
+        assert sum(p[2] for w in pieces for p in w) == sum(sizes) and all((n := sum(p[2] for p in w)) == 64 or n & (n - 1) == 0 for w in pieces)
+        at = {}
+        for i, start, n in sorted(p for w in pieces for p in w):
+            assert start == at.get(i, 0)
+            at[i] = start + n
+        assert at == {i: n for i, n in enumerate(sizes) if n}
+
+
+def _plain_differencing(sizes, k):
+    """With all k slots of every partition written out."""
+    heap = [(-size, i, [(size, [i])] + [(0, [])] * (k - 1)) for i, size in enumerate(sizes)]
+    n = len(sizes)
+    while len(heap) > 1:
+        heap.sort(key=lambda x: x[:2])
+        (_, _, a), (_, _, b), *heap = heap
+        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda s: -s[0])
+        merged = [(x - merged[-1][0], p) for x, p in merged]
+        heap.append((-merged[0][0], n, merged))
+        n += 1
+    return sorted(sum(sizes[i] for i in p) for _, p in heap[0][2])
+
+
+def test_the_count_rises():
+    """Where the least count leaves a window above the capacity, more windows are made and none exceeds it."""
+    assert len(packing.whole_windows([6, 6, 6, 6], 10)) == 4 and len(packing.whole_windows([5, 5, 5, 5], 10)) == 2
+    rng = random.Random(2)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(2, 40))]
+        k = rng.randrange(2, 9)
+        got = packing.differencing(sizes, k)
+        assert len(got) == k and sorted(i for w in got for i in w) == list(range(len(sizes)))
+        assert max(map(lambda w: sum(sizes[i] for i in w), got)) <= 1.25 * max(_plain_differencing(sizes, k))
 
 
 def test_differencing_evens_out():
@@ -115,7 +146,7 @@ def test_count_tree():
     count, letters = (lambda p: len(ids[p])), "ab'st lvre d\n\t  .,1é X"
     for _ in range(400):
         text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 10, 50, 900])))
-        tree = tokencount.CountTree(text, find, count)
+        tree = tokencount.CountTree.planted(text, find, count)
         for _ in range(rng.randint(1, 6)):
             s = rng.randint(-2, len(text) + 3)
             e = s + rng.choice([0, 0, 1, 2, 5, 40])
@@ -124,7 +155,13 @@ def test_count_tree():
             b = min(max(e, a), len(text))
             text = text[:a] + new + text[b:]
             tree.edit(s, e, new)
-            assert tree.text() == text and tree.total == sum(map(count, find(text))) and tree.length == len(text)
+            assert tree.total == sum(map(count, find(text))) and tree.length == len(text)
+            if rng.random() < 0.5:  # what is stored and loaded again is the same tree
+                fresh = tokencount.CountTree(find, count).load(*tree.state())
+                assert fresh.total == tree.total and (fresh.chars, fresh.tokens) == (tree.chars, tree.tokens)
+                tree = fresh
+                assert tree.sizes.tolist() == list(map(len, find(text))) and tree.chars[1] == sum(tree.chars[tree.width :]) and tree.tokens[1] == tree.counts.sum()
+        assert tree.text() == text
 
 
 def test_count_query(spark, sf, encoding):
@@ -141,8 +178,37 @@ def test_count_query(spark, sf, encoding):
     assert all(r.encoded_again < 100 for r in long)
 
 
+def test_batches_of_edits(spark, encoding):
+    """Two batches of edits on stored trees: only documents with edits come out, counted as the library does."""
+    rng = random.Random(6)
+    letters = "ab'st lvre d\n\t  .,1é X"
+    now = {i: "".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 80, 3000]))) for i in range(30)}
+    trees = tokencount.plant(spark.createDataFrame(list(now.items()), "doc_id long, text string"), PATH, P.PATTERN)
+    for _ in range(2):
+        table = []
+        for i in rng.sample(sorted(now), 12):
+            for k in range(rng.randint(1, 4)):
+                start = rng.randint(0, len(now[i]))
+                end, new = start + rng.choice([0, 1, 30]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 400])))
+                table.append((i, k, start, end, new))
+                now[i] = now[i][:start] + new + now[i][max(start, min(end, len(now[i]))) :]
+        rng.shuffle(table)
+        edits = tokencount.edits_by_document(spark.createDataFrame(table, "doc_id long, edit int, start long, end long, replacement string"))
+        done = tokencount.apply_edits(trees, edits, PATH, P.PATTERN, keep_trees=True).persist()
+        assert sorted(r.doc_id for r in done.collect()) == sorted({t[0] for t in table})
+        for r in done.collect():
+            assert (r.text, r.edited_tokens, r.edited_chars) == (now[r.doc_id], len(encoding.encode_ordinary(now[r.doc_id])), len(now[r.doc_id]))
+        trees = trees.join(done.select("doc_id"), "doc_id", "left_anti").unionByName(done.select(trees.columns))
+    assert trees.count() == 30
+
+
 def test_count_odd_tables(spark):
     df = spark.createDataFrame([(1, None, None), (2, "a b", "x")], "doc_id long, text string, n_tokens string")
     edits = F.when(F.col("doc_id") == 2, F.array(F.struct(F.lit(1).alias("start"), F.lit(9).alias("end"), F.lit(None).cast("string").alias("replacement")), F.lit(None)))
-    rows = {r.doc_id: r for r in tokencount.count_after_edits(df, edits, PATH, P.PATTERN).collect()}
+    trees = tokencount.plant(df, PATH, P.PATTERN)
+    rows = {r.doc_id: r for r in tokencount.apply_edits(trees, F.when(F.col("text") != "", edits), PATH, P.PATTERN).collect()}
+    assert tokencount.plant(df.limit(0), PATH, P.PATTERN).collect() == [] == tokencount.apply_edits(trees.limit(0), F.array(), PATH, P.PATTERN).collect()
+    long = "ab 12\n" * 100_000
+    whole = tokencount.plant(spark.createDataFrame([(None, long), (7, long)], "doc_id long, text string"), PATH, P.PATTERN)
+    assert {r.encoded_again for r in tokencount.apply_edits(whole, F.array(F.struct(F.lit(300_000), F.lit(300_001), F.lit("x"))), PATH, P.PATTERN).collect()} < set(range(9))
     assert (rows[1].n_tokens, rows[1].edited_tokens, rows[2].edited_tokens, rows[2].edited_chars) == (0, 0, 1, 1)
