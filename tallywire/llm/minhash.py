@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tallywire.llm.arrow import STEP_BYTES, id_type, parts
 from tallywire.llm.editembed import mix
+from tallywire.llm.forest import candidate_pairs, looked_up
 from tallywire.llm.graph import components
 from tallywire.llm.shared import written
 from tallywire.llm.shingles import shingle_sets
@@ -50,8 +51,6 @@ FIRST_TREES = 8
 REGION_ROWS = 24
 #: A row that may miss a partner at the threshold with more than this probability goes to the exact round.
 MISS = 1e-6
-#: Rows of a tree that are looked at together.
-BLOCK_ROWS = 1 << 15
 #: Up to so many ids (long or short, some tens of MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -101,95 +100,6 @@ def _map_sets(docs: DataFrame, columns, schema: T.StructType, words: int) -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def shared_labels(tree: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Of sorted rows, how many labels each shares with the next one; 0 across trees."""
-    same, shared, at = tree[1:] == tree[:-1], np.zeros(max(0, len(tree) - 1), dtype=np.int64), 0
-    for width in LABELS:
-        same = same & (labels[1:, at : at + width] == labels[:-1, at : at + width]).all(axis=1)
-        shared += same
-        at += width
-    return shared
-
-
-def regions(shared: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a block of sorted rows: the depth of each row's region, 0 where none is known to be whole; and where the region
-    ends, or the next row if it holds one component only and has nothing to compare."""
-    size = len(group)
-    depth, end = np.zeros(size, dtype=np.int64), np.arange(1, size + 1)
-    left = np.ones(size, dtype=bool)
-    for d in range(SHALLOWEST, DEPTH + 1):
-        start = np.flatnonzero(np.append(True, shared < d))
-        stop = np.append(start[1:], size)
-        pure = np.minimum.reduceat(group, start) == np.maximum.reduceat(group, start)
-        whole = (start > 0) & (stop < size) & (pure | (stop - start <= most))
-        over = lambda x: np.repeat(x, stop - start)  # noqa: B023, E731
-        found = over(whole) & left
-        depth[found] = d
-        end = np.where(found & ~over(pure), over(stop), end)
-        left &= ~found
-        if not left.any():
-            break
-    return depth, end
-
-
-def looked_up(rows: DataFrame, most: int, percent: int) -> DataFrame:
-    """Candidates among rows (tree, labels, id, n, component) of the forest, as rows (u, v, depth).
-
-    Pairs (u, v), with ``depth`` null, are of different components: neighbours, and all of a region of at most ``most`` rows.
-    Pairs whose sizes alone rule out the similarity are left out. Rows (u, null, depth) tell the depth of the region of u in
-    one tree, where it is not the shallowest; 0 stands for no region.
-    """
-    kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("depth", T.IntegerType())])
-    ordered = rows.repartitionByRange("tree", "labels", "id").sortWithinPartitions("tree", "labels", "id")
-
-    def block(batches: list[pa.RecordBatch], arrow: pa.Schema):
-        table = pa.Table.from_batches(batches).combine_chunks()
-        size = table.num_rows
-        labels = np.frombuffer(b"".join(table["labels"].to_pylist()), dtype=np.uint8).reshape(size, TREE_BYTES)
-        n, ids = table["n"].to_numpy(), table["id"].combine_chunks()
-        group = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        shared = shared_labels(table["tree"].to_numpy(), labels)
-        near = np.arange(size) + 1
-        near[:-1] += shared >= SHALLOWEST
-        if most:
-            depth, end = regions(shared, group, most)
-            short = np.flatnonzero(depth != SHALLOWEST)
-            if len(short):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(short)), pa.nulls(len(short), ids.type), pa.array(depth[short], pa.int32())], schema=arrow)
-            near = np.maximum(near, end)
-        left, right, a, w = [], [], np.arange(size), 0
-        while len(a):
-            w += 1
-            a = a[a + w < near[a]]
-            b = a + w
-            take = (group[a] != group[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
-            left.append(a[take])
-            right.append(b[take])
-        a, b = np.concatenate(left), np.concatenate(right)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.nulls(len(a), pa.int32())], schema=arrow)
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow, held, size = to_arrow_schema(schema), [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= BLOCK_ROWS:
-                yield from block(held, arrow)
-                held, size = [], 0
-        if size:
-            yield from block(held, arrow)
-
-    return ordered.mapInArrow(run, schema)
-
-
-def candidate_pairs(found: DataFrame) -> DataFrame:
-    return found.filter("v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def unsettled(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Rows (id, component) that may have a partner which no region showed, from the depths of their regions."""
     needed = TREES * (1 - MISS ** (1 / TREES))
@@ -269,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     def forest(representatives: DataFrame, count: int) -> DataFrame:
         return representatives.select("id", "n", "component", F.explode(F.slice(trees, 1, count)).alias("x")).select("x.tree", "x.labels", "id", "n", "component")
 
-    tried = written(candidate_pairs(looked_up(forest(classes.withColumn("component", F.col("id")), FIRST_TREES), 0, percent)), "pairs")
+    tried = written(candidate_pairs(looked_up(forest(classes.withColumn("component", F.col("id")), FIRST_TREES), LABELS, SHALLOWEST, 0, percent)), "pairs")
     first = written(confirmed(tried, texts, words, percent), "links")
 
     def labelled(found: DataFrame) -> DataFrame:
@@ -281,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
     joined = components(first)
     placed = labelled(joined)
-    found = written(looked_up(forest(placed, TREES), REGION_ROWS, percent), "regions")
+    found = written(looked_up(forest(placed, TREES), LABELS, SHALLOWEST, REGION_ROWS, percent), "regions")
     new = written(candidate_pairs(found).join(tried, ["u", "v"], "left_anti"), "pairs")
     joined = written(grown(joined, written(confirmed(new, texts, words, percent), "links")), "components")
     left = written(unsettled(found, labelled(joined), percent), "unsettled")

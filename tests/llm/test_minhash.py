@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tallywire.llm import minhash
+from tallywire.llm import forest, minhash
 from tallywire.llm.graph import components
 from tallywire.llm.minhash import near_duplicates
 from tallywire.llm.shingles import PART, shingle_sets
@@ -95,12 +95,12 @@ def test_regions_are_deeper_where_it_is_crowded():
     rows = [[0, 0, 0, *rest], *sparse, *crowded, *one_group, [4, 4, 4, *rest]]
     tree, labels = _sorted_tree(rows)
     group = np.array([0, *range(1, 44), *[99] * 40, 100])
-    shared = minhash.shared_labels(tree, labels)
-    depth, end = minhash.regions(shared, group, 10)
+    shared = forest.shared_labels(tree, labels, minhash.LABELS)
+    depth, end = forest.regions(shared, group, 10, minhash.SHALLOWEST, minhash.DEPTH)
     assert depth.tolist() == [0, *[2] * 3, *[3] * 40, *[2] * 40, 0]
     assert end[1:4].tolist() == [4] * 3 and end[4:9].tolist() == [9] * 5 and end[50] == 51
     # a wider region needs no deeper prefix
-    assert minhash.regions(shared, group, 40)[0].tolist() == [0, *[2] * 83, 0]
+    assert forest.regions(shared, group, 40, minhash.SHALLOWEST, minhash.DEPTH)[0].tolist() == [0, *[2] * 83, 0]
 
 
 def test_candidates_follow_the_depth(spark):
@@ -111,8 +111,8 @@ def test_candidates_follow_the_depth(spark):
     frame = spark.createDataFrame([(0, bytes(x), i, 100, i) for i, x in enumerate(labels)], "tree int, labels binary, id long, n long, component long").coalesce(1)
 
     def pairs(most):
-        found = minhash.looked_up(frame, most, 80)
-        return {(r.u, r.v) for r in minhash.candidate_pairs(found).collect()}, {r.u for r in found.filter("depth is not null").collect()}
+        found = forest.looked_up(frame, minhash.LABELS, minhash.SHALLOWEST, most, 80)
+        return {(r.u, r.v) for r in forest.candidate_pairs(found).collect()}, {r.u for r in found.filter("depth is not null").collect()}
 
     many, none = pairs(64)
     few, lacking = pairs(10)

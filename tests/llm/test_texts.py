@@ -296,20 +296,51 @@ def test_fingerprint_query(spark, sf):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = editembed.fingerprints([text, edited, after])
         assert (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (a, b, editembed.likeness(a, b), editembed.likeness(a, c))
+    same = {}
+    for r in rows.values():
+        same.setdefault(r.fingerprint, []).append(r)
+    assert all(r.near_id == x[0].near_id <= r.doc_id for x in same.values() for r in x if r.fingerprint) and all(rows[r.near_id].near_id == r.near_id for r in rows.values() if r.n_chars)
     long = [r for r in rows.values() if r.n_chars > 500]
     assert sum(r.near_edited > r.near_next for r in long) > 0.95 * len(long)
 
 
-def test_near_links(spark):
+def _prints(spark, rows):
+    prints = editembed.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
+    return prints.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+
+
+def test_near_classes(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(12)]
-    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(base[:6])] + [(200 + i, t[:390] + "xyz" + t[393:]) for i, t in enumerate(base[:6])] + [(300, None), (301, "")]
-    prints = editembed.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(r.id_a, r.id_b) for r in editembed.near_links(prints).collect()}
-    assert got == {(i, 100 + i) for i in range(6)} | {(i, 200 + i) for i in range(6)}
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(base[:6])] + [(200 + i, t[:390] + "xyz" + t[393:]) for i, t in enumerate(base[:6])] + [(300, None), (301, ""), (None, base[0])]
+    got = {(r.doc_id, r.near_id) for r in editembed.near_classes(_prints(spark, rows)).collect()}
+    assert got == {(100 + i, i) for i in range(6)} | {(200 + i, i) for i in range(6)}
+    assert editembed.near_classes(_prints(spark, rows).limit(0)).collect() == []
+
+
+def test_near_classes_of_large_groups(spark):
+    """Groups of hundreds of near copies: recall of links against all pairs."""
+    rng = random.Random(4)
+    rows = []
+    for size, edits in ((300, 3), (150, 12), (80, 25)):
+        base = [rng.choice("abcdefghij ") for _ in range(500)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randrange(edits)):
+                copy[rng.randrange(500)] = rng.choice("xyz")
+            rows.append((len(rows), "".join(copy)))
+    prints = dict(_prints(spark, rows).collect())
+    links = [(a, b) for a in prints for b in range(a) if editembed.likeness(prints[a].hex(), prints[b].hex()) >= 0.8]
+    near = {r.doc_id: r.near_id for r in editembed.near_classes(_prints(spark, rows)).collect()}
+    whole = helpers.components(list(prints), links)
+    assert sum(near.get(a, a) == near.get(b, b) for a, b in links) >= 0.9 * len(links)
+    assert all(whole[near.get(i, i)] == whole[i] for i in prints) and sum(near.get(i, i) == whole[i] for i in prints) >= 0.9 * len(prints)
 
 
 def test_edited_odd_tables(spark):
     rows = editembed.edited_and_next(spark.createDataFrame([(5, None, 1)], "doc_id long, text string, n_chars int")).collect()
     assert [(r.doc_id, r.n_chars, r.fingerprint, r.near_edited, r.near_next) for r in rows] == [(5, 0, "", 1.0, 1.0)]
-    assert editembed.edited_and_next(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert editembed.edited_and_next(empty).collect() == [] == editembed.edited_and_next(empty, near=True).collect()
+    rows = editembed.edited_and_next(spark.createDataFrame([(None, "ab"), (None, "ab"), (3, ""), (4, "x" * 200_000)], "doc_id long, text string"), near=True).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.near_id) for r in rows) == [(0, 2, None), (0, 2, None), (3, 0, None), (4, 200_000, 4)]
