@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 from itertools import accumulate
 
 import numpy as np
@@ -203,8 +204,9 @@ TREE = "text string, sizes array<int>, counts array<int>, run_ends array<int>, c
 COUNTS = ["n_pieces", "n_tokens", "edited_tokens", "edited_chars", "encoded_again"]
 
 
+@functools.cache
 def _counter(ranks_path: str, pattern: str):
-    """Splits a text into pre-tokens; counts the tokens of one."""
+    """Splits a text into pre-tokens; counts the tokens of one. Made once in each Python worker."""
     ids_of = piece_ids(ranks_path)
     return splitter(pattern).findall, Remembered(lambda piece: len(ids_of.compute(piece)), ids_of.most).__getitem__
 
