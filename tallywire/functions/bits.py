@@ -118,7 +118,7 @@ def swapped(digits: Column, n: int) -> Column:
 
 def words_up(n: Column, unit: int) -> Column:
     """Units of ``unit`` that hold n."""
-    return F.floor((n + (unit - 1)) / unit).cast("long")
+    return F.call_function("div", (n + (unit - 1)).cast("long"), F.lit(unit).cast("long"))
 
 
 def line_checksum(digits: Column) -> Column:

@@ -9,9 +9,35 @@ from tallywire.functions.bits import VERSION_PARTS, field
 from tallywire.schema import TICK_NS
 
 
+def floor_div(n: Column, by: Column | int) -> Column:
+    """The whole part of a quotient of integers, rounded down, without a detour over doubles: right for all of 64 bits."""
+    by = by if isinstance(by, Column) else F.lit(by).cast("long")
+    n = n.cast("long")
+    return F.call_function("div", n - F.pmod(n, by), by)
+
+
 def ticks(micros: Column) -> Column:
     """Clock ticks of a time in microseconds, rounded to the nearest."""
-    return F.floor((1000 * micros + TICK_NS // 2) / TICK_NS).cast("long")
+    return floor_div(1000 * micros + TICK_NS // 2, TICK_NS)
+
+
+def string_words(text: Column) -> Column:
+    """A text as a device keeps it: its bytes and a zero, in 32-bit words of least byte first."""
+    data = F.concat(F.encode(text, "UTF-8"), F.lit(b"\0\0\0\0"))
+    count = floor_div(F.octet_length(text) + 4, 4).cast("int")
+
+    def word(i: Column) -> Column:
+        digits = F.hex(F.substring(data, 4 * i + 1, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(digits, 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0)]), 16, 10).cast("long")
+
+    return F.transform(F.sequence(F.lit(0), count - 1), word)
+
+
+def words_string(words: Column) -> Column:
+    """The text of such words, up to the first zero."""
+    swap = lambda d: F.concat(*[F.substring(d, 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0)])
+    digits = F.array_join(F.transform(words, lambda w: swap(F.lpad(F.hex(w), 8, "0"))), "")
+    return F.substring_index(F.decode(F.unhex(digits), "UTF-8"), "\0", 1)
 
 
 def version_string(word: Column) -> Column:

@@ -6,47 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.bits import COLD_WORD0, COLD_WORD1, FRAME_HEADER, compose, field, lit
-from tallywire.schema import COMMA, FIRST_FRAME_MASKS, FRAMING_SHIFT, MAX_EXCEPTIONS, STATUS_BITS, TICKS_PER_SAMPLE, VERSION
+from tallywire.functions.scalars import floor_div
+from tallywire.operators.ranges import first_of, numbered, previous, running_sum
+from tallywire.schema import COMMA, FIRST_FRAME_MASKS, FRAME_WORDS, FRAMING_SHIFT, MAX_EXCEPTIONS, STATUS_BITS, TICKS_PER_SAMPLE, VERSION
 
 
 def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "link", order: str = "k") -> DataFrame:
-    """Adds status to frames (w0, tick, a0, b0, a1, b1, sof_missing, eof_error, run_enable, flush).
+    """Adds status to frames (w0, tick, a0, b0, a1, b1, sof_bits, eof_bits, eof_error, run_enable, flush).
 
     Each check compares a field with a constant, with the link's first frame, or with the frame before; the first frame
     of a link has none before it, and keeps the bits of ``first_mask`` only.
     """
-    w = Window.partitionBy(key).orderBy(order)
+    kept_columns = frames.columns
+    frames = previous(frames, {n: F.col(n) for n in ("tick", "a0", "b0", "a1", "b1")}, key=key, order=order)
+    frames = first_of(frames, {"first_id": field(F.col("w0"), *FRAME_HEADER["id"])}, key=key, order=order)
     head = lambda name: field(F.col("w0"), *FRAME_HEADER[name])
     checks = {
         "bad_comma": head("comma") != COMMA,
         "bad_version": head("version") != VERSION,
-        "bad_id": head("id") != F.first(head("id")).over(w),
+        "bad_id": head("id") != F.col("first_id"),
         "bad_rsvd": F.lit(False),  # declared, never raised
         "bad_errors": head("errors") != 0,
-        "bad_timestamp": F.col("tick") != F.lag("tick").over(w) + TICKS_PER_SAMPLE,
+        "bad_timestamp": F.col("tick") != F.col("prev.tick") + TICKS_PER_SAMPLE,
         "run_disable": ~F.col("run_enable"),
         "flush": F.col("flush"),
-        "sof_missing": F.col("sof_missing"),
+        **framing(F.col("sof_bits"), F.col("eof_bits")),
         "eof_error": F.col("eof_error"),
     }
     for n in (0, 1):
         a, b = F.col(f"a{n}"), F.col(f"b{n}")
         convert, hdrs = field(a, *COLD_WORD0["convert"]), field(b, *COLD_WORD1["hdrs"])
+        convert_before, hdrs_before = field(F.col(f"prev.a{n}"), *COLD_WORD0["convert"]), field(F.col(f"prev.b{n}"), *COLD_WORD1["hdrs"])
         checks |= {
             f"cd{n}_stream_err1": field(a, *COLD_WORD0["stream_err1"]) != 0,
             f"cd{n}_stream_err2": field(a, *COLD_WORD0["stream_err2"]) != 0,
             f"cd{n}_rsvd0": field(a, *COLD_WORD0["rsvd0"]) != 0,
-            f"cd{n}_convert": convert != (F.lag(convert).over(w) + 1).bitwiseAND(lit(0xFFFF)),
+            f"cd{n}_convert": convert != (convert_before + 1).bitwiseAND(lit(0xFFFF)),
             f"cd{n}_err_reg": field(b, *COLD_WORD1["err_reg"]) != 0,
             f"cd{n}_rsvd1": field(b, *COLD_WORD1["rsvd1"]) != 0,
-            f"cd{n}_hdrs": hdrs != F.lag(hdrs).over(w),
+            f"cd{n}_hdrs": hdrs != hdrs_before,
         }
     word = lit(0)
     for name, check in checks.items():
         word = word.bitwiseOR(F.when(check, lit(1 << STATUS_BITS[name])).otherwise(lit(0)))
-    first = F.lag(order).over(w).isNull()
     kept = FIRST_FRAME_MASKS[first_mask]
-    return frames.withColumn("status", F.when(first, word.bitwiseAND(lit(kept))).otherwise(word))
+    return frames.select(*[c for c in kept_columns if c != "status"], F.when(F.col("prev").isNull(), word.bitwiseAND(lit(kept))).otherwise(word).alias("status"))
+
+
+def framing(sof: Column, eof: Column, words: int = FRAME_WORDS) -> dict[str, Column]:
+    """The checks of start and end marks, given as bits by word: a start at the first word alone, an end at the last alone."""
+    last = 1 << (words - 1)
+    return {
+        "sof_missing": sof.bitwiseAND(lit(1)) == 0,
+        "sof_unexpected": sof.bitwiseAND(lit(~1)) != 0,
+        "eof_missing": eof.bitwiseAND(lit(last)) == 0,
+        "eof_unexpected": eof.bitwiseAND(lit(~last)) != 0,
+    }
 
 
 def has(name: str) -> Column:
@@ -74,16 +89,15 @@ def bad_groups() -> Column:
 
 def exceptions(frames: DataFrame, frames_per_packet: int, *, most: int = MAX_EXCEPTIONS, key: str = "link", order: str = "k") -> DataFrame:
     """(key, pkt, frame, mask): the first ``most`` frames of each packet with any bad header."""
-    rows = frames.withColumn("pkt", F.floor(F.col(order) / frames_per_packet).cast("long")).withColumn("mask", bad_groups()).filter("mask <> 0")
+    rows = frames.withColumn("pkt", floor_div(F.col(order), frames_per_packet)).withColumn("mask", bad_groups()).filter("mask <> 0")
     rank = F.row_number().over(Window.partitionBy(key, "pkt").orderBy(order))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(key, "pkt", (F.col(order) % frames_per_packet).alias("frame"), "mask")
 
 
 def packetise(frames: DataFrame, frames_per_packet: int, *, key: str = "link", order: str = "k") -> DataFrame:
     """Adds pkt and frame to promoted frames, by their running number: dropped frames take no place."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1
-    kept = frames.filter(promoted()).withColumn("_n", number)
-    return kept.withColumn("pkt", F.floor(F.col("_n") / frames_per_packet).cast("long")).withColumn("frame", F.col("_n") % frames_per_packet).drop("_n")
+    kept = numbered(frames.filter(promoted()), out="_n", key=key, order=(order,))
+    return kept.withColumn("pkt", floor_div(F.col("_n"), frames_per_packet)).withColumn("frame", F.col("_n") % frames_per_packet).drop("_n")
 
 
 def packet_summary(packets: DataFrame, *, key: str = "link") -> DataFrame:
@@ -105,16 +119,29 @@ def counters(frames: DataFrame, *, key: str = "link") -> DataFrame:
     sound = good() & ~has("flush")
     out = [F.count(F.lit(1)).alias("frames")]
     out += [F.count_if(good() & (state == s)).alias(name) for s, name in enumerate(("normal", "disabled", "flushed", "disabled_flushed"))]
-    out += [F.count_if(has("sof_missing")).alias("sof_missing"), F.count_if(~has("sof_missing") & has("eof_error")).alias("eof_error")]
+    out += [F.count_if(has("sof_missing")).alias("sof_missing")]
+    out += [F.count_if(~has("sof_missing") & has(name)).alias(name) for name in ("sof_unexpected", "eof_missing", "eof_unexpected", "eof_error")]
     out += [F.count_if(sound & has(name)).alias(name) for name in STATUS_BITS if STATUS_BITS[name] < 24]
     return frames.groupBy(key).agg(*out)
 
 
 def rebuild_headers(exceptions: DataFrame, *, key: str = "link", order: str = "k") -> DataFrame:
-    """Ticks of frames of which only unexpected ones are kept (others null): the last kept value, and 25 for each frame since."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.last(F.when(F.col("tick").isNotNull(), F.struct("tick", order)), ignorenulls=True).over(w)
-    return exceptions.withColumn("rebuilt", known["tick"] + TICKS_PER_SAMPLE * (F.col(order) - known[order]))
+    """Ticks, and convert counts if there are any, of frames of which only unexpected ones are kept (others null): the last kept
+    value and 25, or 1 modulo 65536, for each frame since. A kept value starts a group of its own, dealt out by ranges."""
+    out = exceptions
+    for column, made, step, bits in (("tick", "rebuilt", TICKS_PER_SAMPLE, 63), ("convert", "rebuilt_convert", 1, 16)):
+        if column in exceptions.columns:
+            out = running_sum(out, F.col(column).isNotNull().cast("int"), out="_group", key=key, order=(order,))
+            known = out.filter(F.col(column).isNotNull()).select(F.col(key).alias("_key"), F.col("_group").alias("_known"), F.col(column).alias("_value"), F.col(order).alias("_from"))
+            out = out.join(known, out[key].eqNullSafe(known["_key"]) & (out["_group"] == known["_known"]), "left")
+            out = out.withColumn(made, (F.col("_value") + step * (F.col(order) - F.col("_from"))).bitwiseAND(lit((1 << bits) - 1))).drop("_key", "_known", "_value", "_from", "_group")
+    return out
+
+
+def until_errors(frames: DataFrame, most: int, failed: Column, *, key: str = "link", order: str = "k") -> DataFrame:
+    """Frames up to a link's error number ``most``, with it: a reader stops there."""
+    rows = running_sum(frames.withColumn("_failed", failed.cast("long")), F.col("_failed"), out="_errors", key=key, order=(order,))
+    return rows.filter(F.col("_errors") - F.col("_failed") < most).drop("_errors", "_failed")
 
 
 def frame_symbols(symbols: DataFrame, *, key: str = "lane", order: str = "pos") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywire.functions.scalars import floor_div
+
 
 def in_window(triggers: DataFrame, packets: DataFrame, before: int, length: int, *, keys: dict[str, str] | None = None, span: int | None = None) -> DataFrame:
     """Packets (beg, fin) that overlap a trigger's window [t0 - before, t0 - before + length), both half-open.
@@ -14,7 +16,7 @@ def in_window(triggers: DataFrame, packets: DataFrame, before: int, length: int,
     ``keys`` maps trigger columns to packet columns that must be equal besides.
     """
     span = span or max(1, length)
-    bucket = lambda c: F.floor(c / span).cast("long")
+    bucket = lambda c: floor_div(c, span)
     t = triggers.withColumn("win_beg", F.col("t0") - before).withColumn("win_fin", F.col("win_beg") + length)
     t = t.withColumn("_tb", F.explode(F.sequence(bucket(F.col("win_beg")), bucket(F.col("win_fin") - 1))))
     p = packets.withColumn("_pb", F.explode(F.sequence(bucket(F.col("beg")), bucket(F.col("fin") - 1))))
@@ -30,9 +32,9 @@ def trimmed(selected: DataFrame) -> DataFrame:
     return selected.withColumn("from", F.greatest("beg", "win_beg")).withColumn("upto", F.least("fin", "win_fin"))
 
 
-def prescaled(triggers: DataFrame, keep: int, of: int, *, order: tuple[str, ...] = ("t0", "trg_id"), key: str | None = None) -> DataFrame:
+def prescaled(triggers: DataFrame, keep: int, of: int, *, key: str, order: tuple[str, ...] = ("t0", "trg_id")) -> DataFrame:
     """The first ``keep`` of every ``of`` triggers, counted for each key."""
-    w = Window.partitionBy(*([key] if key else [])).orderBy(*order)
+    w = Window.partitionBy(key).orderBy(*order)
     return triggers.withColumn("seq", F.row_number().over(w).cast("long") - 1).filter(F.col("seq") % of < keep)
 
 
@@ -90,7 +92,7 @@ def toc(parts: DataFrame, *, keys: tuple[str, ...], order: str, size: str) -> Da
     return parts.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 
-def files(records: DataFrame, most: int, *, order: tuple[str, ...], size: str, key: str | None = None) -> DataFrame:
+def files(records: DataFrame, most: int, *, order: tuple[str, ...], size: str, key: str) -> DataFrame:
     """Adds file: a new one begins with the record after that which takes a multiple of ``most`` bytes."""
-    w = Window.partitionBy(*([key] if key else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("file", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most).cast("long"))
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("file", floor_div(F.coalesce(F.sum(size).over(w), F.lit(0)), most))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.bits import bit_length, unzigzag, zigzag
+from tallywire.functions.scalars import floor_div
 from tallywire.schema import HISTOGRAM_BINS
 
 
@@ -55,6 +56,14 @@ def entropy_bits(bins: DataFrame, keys: tuple[str, ...] = ("ch", "pkt")) -> Data
     return bins.withColumn("total", total).groupBy(*keys).agg(F.round(F.sum(F.col("n") * F.log2(F.col("total") / F.col("n"))), 6).alias("bits"), F.max("total").alias("symbols"))
 
 
+def size_estimate(bins: DataFrame, keys: tuple[str, ...] = ("ch", "pkt"), full: int = 1024) -> DataFrame:
+    """A writer's estimate of a packet's size, as if it held ``full`` symbols: bits, the sum of n * log2(full / n), and the 32-bit words
+    to set aside, one more than the bits fill."""
+    bits = F.round(F.sum(F.col("n") * F.log2(F.lit(float(full)) / F.col("n"))), 6)
+    out = bins.groupBy(*keys).agg(bits.alias("bits"))
+    return out.withColumn("words", floor_div(F.floor("bits"), 32) + 1)
+
+
 def header_bits(bins: DataFrame, keys: tuple[str, ...] = ("ch", "pkt"), most: int = 1023) -> DataFrame:
     """Bits of a packet's coded histogram: 32, and for each bin up to the last the least of the bits of what is left
     and of the largest count."""
@@ -84,8 +93,8 @@ def decimate(samples: DataFrame, n: int, order: str = "seq") -> DataFrame:
 
 def decimate_average(samples: DataFrame, n: int, key: str = "ch", order: str = "seq", value: str = "adc") -> DataFrame:
     """Whole-number means over n samples, of full groups only: (key, grp, mean)."""
-    group = F.floor(F.col(order) / n).cast("long").alias("grp")
-    return samples.groupBy(key, group).agg(F.floor(F.sum(value) / n).cast("long").alias("mean"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).drop("n")
+    group = floor_div(F.col(order), n).alias("grp")
+    return samples.groupBy(key, group).agg(floor_div(F.sum(value), n).alias("mean"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).drop("n")
 
 
 def running_extremes(samples: DataFrame, key: str = "ch", order: str = "seq", value: str = "adc") -> DataFrame:

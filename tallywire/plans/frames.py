@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywire.functions import bits as B
 from tallywire.functions import scalars as S
 from tallywire.operators import frames as O
+from tallywire.operators import ranges as R
 from tallywire.plans.register import query
 from tallywire.schema import COMMA, FIRST_FRAME_MASKS, STATUS_BITS, SYNC_PATTERN, TRAILER_PATTERN, UNKNOWN_SOURCE
 from tallywire.sources.generators import frame_rows
@@ -24,7 +25,7 @@ def _status_sql() -> str:
     checks = {
         "bad_comma": f"{head('comma')} <> {COMMA}", "bad_version": f"{head('version')} <> 1", "bad_id": f"{head('id')} <> first_value({head('id')}) {over}",
         "bad_errors": f"{head('errors')} <> 0", "bad_timestamp": f"tick <> lag(tick) {over} + 25", "run_disable": "NOT run_enable", "flush": "flush",
-        "sof_missing": "sof_missing", "eof_error": "eof_error",
+        "sof_missing": "sof_bits & 1 = 0", "sof_unexpected": "sof_bits >> 1 <> 0", "eof_missing": "eof_bits >> 29 = 0", "eof_unexpected": "eof_bits & 536870911 <> 0", "eof_error": "eof_error",
     }
     for n in (0, 1):
         convert, hdrs = _sql_field(f"a{n}", B.COLD_WORD0["convert"]), _sql_field(f"b{n}", B.COLD_WORD1["hdrs"])
@@ -227,23 +228,23 @@ def first32_exceptions(spark, sf_dir):
 
 @query(f"WITH {FRAMES} SELECT link, k, tick, coalesce(tick <> lag(tick) OVER (PARTITION BY link ORDER BY k) + 25, false) AS jump FROM frames")
 def ts_continuity(spark, sf_dir):
-    jump = F.col("tick") != F.lag("tick").over(Window.partitionBy("link").orderBy("k")) + 25
-    return frames(spark, sf_dir).select("link", "k", "tick", F.coalesce(jump, F.lit(False)).alias("jump"))
+    jump = F.col("tick") != F.col("prev.tick") + 25
+    return R.previous(frames(spark, sf_dir), {"tick": F.col("tick")}).select("link", "k", "tick", F.coalesce(jump, F.lit(False)).alias("jump"))
 
 
 @query(f"WITH {FRAMES}, c AS (SELECT link, k, (a0 >> 48) & 65535 AS convert FROM frames) SELECT link, k, convert, coalesce(convert <> ((lag(convert) OVER (PARTITION BY link ORDER BY k) + 1) & 65535), false) AS bad FROM c")
 def convert_count_check(spark, sf_dir):
     convert = B.field(F.col("a0"), *B.COLD_WORD0["convert"])
-    bad = convert != (F.lag(convert).over(Window.partitionBy("link").orderBy("k")) + 1).bitwiseAND(B.lit(65535))
-    return frames(spark, sf_dir).select("link", "k", convert.alias("convert"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    bad = convert != (F.col("prev.convert") + 1).bitwiseAND(B.lit(65535))
+    return R.previous(frames(spark, sf_dir), {"convert": convert}).select("link", "k", convert.alias("convert"), F.coalesce(bad, F.lit(False)).alias("bad"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) AS step FROM orders)
     SELECT o_custkey % 16 AS link, count(*) FILTER (step <> 1) AS gaps, CAST(coalesce(sum(step - 1) FILTER (step > 1), 0) AS BIGINT) AS missing FROM o GROUP BY o_custkey % 16""")
 def seq_gaps(spark, sf_dir):
     link = (F.col("o_custkey") % 16).alias("link")
-    step = F.col("o_orderkey") - F.lag("o_orderkey").over(Window.partitionBy("link").orderBy("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select(link, "o_orderkey").withColumn("step", step)
+    rows = R.previous(table(spark, sf_dir, "orders").select(link, "o_orderkey"), {"key": F.col("o_orderkey")}, order="o_orderkey")
+    rows = rows.withColumn("step", F.col("o_orderkey") - F.col("prev.key"))
     return rows.groupBy("link").agg(F.count_if(F.col("step") != 1).alias("gaps"), F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0)).alias("missing"))
 
 
@@ -252,10 +253,10 @@ def seq_gaps(spark, sf_dir):
     SELECT link, count(*) FILTER (comma <> 188) AS markers, count(*) FILTER (tick <> t + 25) AS ticks, count(*) FILTER (c0 <> ((p0 + 1) & 65535) OR c1 <> ((p1 + 1) & 65535)) AS converts FROM p GROUP BY link""")
 def payload_continuity(spark, sf_dir):
     """Of each link, frames whose marker, timestamp or either convert count is not what the frame before predicts."""
-    w = Window.partitionBy("link").orderBy("k")
-    c = [B.field(F.col(f"a{n}"), *B.COLD_WORD0["convert"]) for n in (0, 1)]
-    off = [x != (F.lag(x).over(w) + 1).bitwiseAND(B.lit(65535)) for x in c]
-    rows = frames(spark, sf_dir).select("link", (B.field(F.col("w0"), 0, 8) != COMMA).alias("m"), (F.col("tick") != F.lag("tick").over(w) + 25).alias("t"), (off[0] | off[1]).alias("c"))
+    c = {f"c{n}": B.field(F.col(f"a{n}"), *B.COLD_WORD0["convert"]) for n in (0, 1)}
+    off = [x != (F.col(f"prev.{n}") + 1).bitwiseAND(B.lit(65535)) for n, x in c.items()]
+    rows = R.previous(frames(spark, sf_dir), {"tick": F.col("tick")} | c)
+    rows = rows.select("link", (B.field(F.col("w0"), 0, 8) != COMMA).alias("m"), (F.col("tick") != F.col("prev.tick") + 25).alias("t"), (off[0] | off[1]).alias("c"))
     return rows.groupBy("link").agg(F.count_if("m").alias("markers"), F.count_if("t").alias("ticks"), F.count_if("c").alias("converts"))
 
 
@@ -321,7 +322,7 @@ _SOUND = "(status >> 26) & 63 = 0 AND (status >> 25) & 1 = 0"
 
 
 @query(f"""WITH {STATUS} SELECT link, count(*) AS frames, {", ".join(f"count(*) FILTER ((status >> 26) & 63 = 0 AND (status >> 24) & 3 = {s}) AS {n}" for s, n in enumerate(("normal", "disabled", "flushed", "disabled_flushed")))},
-    count(*) FILTER ((status >> 26) & 1 = 1) AS sof_missing, count(*) FILTER ((status >> 26) & 1 = 0 AND (status >> 30) & 1 = 1) AS eof_error,
+    count(*) FILTER ((status >> 26) & 1 = 1) AS sof_missing, {", ".join(f"count(*) FILTER ((status >> 26) & 1 = 0 AND (status >> {STATUS_BITS[n]}) & 1 = 1) AS {n}" for n in ("sof_unexpected", "eof_missing", "eof_unexpected", "eof_error"))},
     {", ".join(f"count(*) FILTER ({_SOUND} AND (status >> {b}) & 1 = 1) AS {n}" for n, b in STATUS_BITS.items() if b < 24)} FROM checked GROUP BY link""")
 def read_counters(spark, sf_dir):
     return O.counters(checked(spark, sf_dir))
@@ -340,7 +341,8 @@ def write_counters(spark, sf_dir):
 def rebuild_headers(spark, sf_dir):
     """Timestamps from those alone that the frame before does not predict: all of them again."""
     rows = frames(spark, sf_dir).select("link", "k", "tick")
-    said = F.when((F.col("k") == 0) | (F.col("tick") != F.lag("tick").over(Window.partitionBy("link").orderBy("k")) + 25), F.col("tick"))
+    rows = R.previous(rows, {"tick": F.col("tick")})
+    said = F.when(F.col("prev").isNull() | (F.col("tick") != F.col("prev.tick") + 25), F.col("tick"))
     return O.rebuild_headers(rows.select("link", "k", said.alias("tick"))).select("link", "k", "rebuilt")
 
 
@@ -351,12 +353,47 @@ def stream_diff(spark, sf_dir):
     return O.mismatches(rows.select("link", "k", F.col("w0").alias("word")), changed)
 
 
-@query(f"WITH {FRAMES} SELECT l.k, CAST(l.w0 & 255 AS BIGINT) AS comma0, CAST(r.w0 & 255 AS BIGINT) AS comma1, l.tick AS tick0, r.tick AS tick1 FROM frames l JOIN frames r ON l.k = r.k AND l.link = 0 AND r.link = 1")
+@query(f"WITH {FRAMES} SELECT l.link // 2 AS pair, l.k, CAST(l.w0 & 255 AS BIGINT) AS comma0, CAST(r.w0 & 255 AS BIGINT) AS comma1, l.tick AS tick0, r.tick AS tick1 FROM frames l JOIN frames r ON l.k = r.k AND l.link % 2 = 0 AND r.link = l.link + 1")
 def dual_stream_merge(spark, sf_dir):
-    """Two links' frames of one number in one row."""
-    rows = frames(spark, sf_dir)
-    side = lambda link: rows.filter(F.col("link") == link).select("k", B.field(F.col("w0"), 0, 8).alias(f"comma{link}"), F.col("tick").alias(f"tick{link}"))
-    return side(0).join(side(1), "k").select("k", "comma0", "comma1", "tick0", "tick1")
+    """Frames of one number of two links, 2i and 2i + 1, in one row, for all pairs: one grouping by pair and number."""
+    side = F.col("link") % 2
+    of = lambda n, c: F.max(F.when(side == n, c))
+    rows = frames(spark, sf_dir).groupBy(S.floor_div(F.col("link"), 2).alias("pair"), "k").agg(
+        *[of(n, B.field(F.col("w0"), 0, 8)).alias(f"comma{n}") for n in (0, 1)], *[of(n, F.col("tick")).alias(f"tick{n}") for n in (0, 1)]
+    )
+    return rows.filter("tick0 is not null and tick1 is not null")
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT link, k, (a0 >> 48) & 65535 AS convert FROM frames) SELECT link, k, CAST(convert AS BIGINT) AS convert FROM c""")
+def rebuild_converts(spark, sf_dir):
+    """Convert counts from those alone that the frame before does not predict: all of them again."""
+    rows = frames(spark, sf_dir).select("link", "k", B.field(F.col("a0"), *B.COLD_WORD0["convert"]).alias("convert"))
+    rows = R.previous(rows, {"convert": F.col("convert")})
+    said = F.when(F.col("prev").isNull() | (F.col("convert") != (F.col("prev.convert") + 1).bitwiseAND(B.lit(65535))), F.col("convert"))
+    return O.rebuild_headers(rows.select("link", "k", said.alias("convert"))).select("link", "k", F.col("rebuilt_convert").alias("convert"))
+
+
+@query(f"""WITH {FRAMES} SELECT link, k, sof_bits & 1 = 0 AS sof_missing, sof_bits >> 1 <> 0 AS sof_unexpected, eof_bits >> 29 = 0 AS eof_missing, eof_bits & 536870911 <> 0 AS eof_unexpected FROM frames
+    WHERE sof_bits <> 1 OR eof_bits <> 536870912""")
+def framing_check(spark, sf_dir):
+    """Frames whose start and end marks are not where they belong, and what is wrong with them."""
+    found = O.framing(F.col("sof_bits"), F.col("eof_bits"))
+    return frames(spark, sf_dir).select("link", "k", *[c.alias(n) for n, c in found.items()]).filter(" or ".join(found))
+
+
+@query(f"""WITH {STATUS}, e AS (SELECT link, k, status, sum(CASE WHEN (status >> 26) & 63 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY link ORDER BY k ROWS UNBOUNDED PRECEDING) - (CASE WHEN (status >> 26) & 63 <> 0 THEN 1 ELSE 0 END) AS before FROM checked)
+    SELECT link, k, status FROM e WHERE before < 3""")
+def stop_after_errors(spark, sf_dir):
+    """What a reader takes that stops at the third frame with a framing error."""
+    return O.until_errors(checked(spark, sf_dir), 3, ~O.good()).select("link", "k", "status")
+
+
+@query("SELECT event_id, (1000 * us + 10) // 20 AS ticks, ((1000 * us + 10) // 20) // 25600 AS pkt, CAST(((1000 * us + 10) // 20) % 25600 AS BIGINT) AS at FROM (SELECT event_id, epoch_us(ts) AS us FROM events)")
+def ticks_since_epoch(spark, sf_dir):
+    """Ticks of 20 ns since 1970, beyond what doubles hold exactly, and the packet of 1024 samples that each falls in."""
+    ticks = S.ticks(F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = table(spark, sf_dir, "events").select("event_id", ticks.alias("ticks"))
+    return rows.select("event_id", "ticks", S.floor_div(F.col("ticks"), 25600).alias("pkt"), F.pmod("ticks", F.lit(25600)).cast("long").alias("at"))
 
 
 @query("SELECT user_id AS lane, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events WHERE event_type <> 'view'")
@@ -371,7 +408,7 @@ def word_commit(spark, sf_dir):
 def drop_after_error(spark, sf_dir):
     """A burst of sixteen frames ends at its first error; the rest of it is discarded."""
     w = Window.partitionBy("link", "burst").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = checked(spark, sf_dir).withColumn("burst", F.floor(F.col("k") / 16).cast("long")).withColumn("failed", F.sum(O.has("eof_error").cast("int")).over(w))
+    rows = checked(spark, sf_dir).withColumn("burst", S.floor_div(F.col("k"), 16)).withColumn("failed", F.sum(O.has("eof_error").cast("int")).over(w))
     return rows.groupBy("link", "burst").agg(F.count_if(F.col("failed") == 0).alias("moved"), F.count_if(F.col("failed") > 0).alias("blown"))
 
 

@@ -130,10 +130,10 @@ def source_routing(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY")
 def mysql_poll(spark, sf_dir):
-    """Rows of a table that changed lately."""
+    """Rows of a table that changed lately, in order of the change."""
     orders = table(spark, sf_dir, "orders")
-    last = F.broadcast(orders.agg(F.max("o_orderdate").alias("last")))  # one row
-    return orders.join(last, F.col("o_orderdate") > F.col("last") - F.expr("INTERVAL 30 DAY")).select("o_orderkey", "o_custkey", "o_totalprice")
+    last = orders.agg(F.max("o_orderdate").alias("last")).select(F.col("last") - F.expr("INTERVAL 30 DAY")).scalar()
+    return orders.filter(F.col("o_orderdate") > last).orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1000 ELSE c_acctbal END AS c_acctbal FROM customer")
@@ -193,7 +193,7 @@ def bad_buffer_ranges(spark, sf_dir):
     # joined over block ends by their edges
     begins = bad.join(bad.select((F.col("p_partkey") + 1).alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("at"), F.lit(0).alias("edge"))
     ends = bad.join(bad.select((F.col("p_partkey") - 1).alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("at"), F.lit(1).alias("edge"))
-    edges = begins.unionByName(ends).withColumn("block", F.floor(F.col("at") / 65536))
+    edges = begins.unionByName(ends).withColumn("block", S.floor_div(F.col("at"), 65536))
     carried = edges.groupBy("block").agg(F.min(F.struct("at", "edge")).alias("first"))
     following = Window.orderBy("block")
     after = carried.select("block", F.lead("first").over(following).alias("next"))  # a row for 65536 numbers
@@ -222,13 +222,13 @@ def hex_checksum(spark, sf_dir):
     SELECT image, line_no, coalesce(last_value(base IGNORE NULLS) OVER (PARTITION BY image ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) * 65536 + a AS address FROM t""")
 def hex_addresses(spark, sf_dir):
     """Full addresses of data lines: the last extended address of their image counts."""
-    image = F.floor(F.col("p_partkey") / 50).cast("long")
+    image = S.floor_div(F.col("p_partkey"), 50)
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
     base = F.concat(F.lit(":02000004"), hexed(F.col("p_partkey") % 256, 4), F.lit("00"))
     data = F.concat(F.lit(":01"), hexed(F.col("p_partkey") % 65536, 4), F.lit("00AA00"))
     two = F.when(F.col("p_partkey") % 10 == 0, F.array(base, data)).otherwise(F.array(data))
     lines = table(spark, sf_dir, "part").select(image.alias("image"), F.col("p_partkey").alias("n"), F.posexplode(two).alias("k", "text")).select("image", "n", (2 * F.col("n") + F.col("k")).alias("line_no"), "text")
-    return hex_records(lines, key="image").filter("type = 0").select("image", F.floor(F.col("line_no") / 2).cast("long").alias("line_no"), "address")
+    return hex_records(lines, key="image").filter("type = 0").select("image", S.floor_div(F.col("line_no"), 2).alias("line_no"), "address")
 
 
 @query("SELECT c_custkey, round((CAST(c_acctbal AS DOUBLE) + 273.5) * 0.25 - 10, 6) AS temperature, printf('%.1f', (floor(c_acctbal) + 273.5) * 0.25 - 10) || ' C' AS shown FROM (SELECT c_custkey, c_acctbal FROM customer) WHERE (floor(c_acctbal) * 10) % 2 = 0")
@@ -278,3 +278,33 @@ def time_difference(spark, sf_dir):
 @query("SELECT p_partkey, regexp_replace(p_name || ' ' || chr(10) || p_type, '[ \n\r\t]', '', 'g') AS stripped, hex(p_partkey) AS hexed, bin(p_partkey) AS binary_digits FROM part")
 def number_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.strip(F.concat("p_name", F.lit(" \n"), "p_type")).alias("stripped"), F.hex("p_partkey").alias("hexed"), F.bin("p_partkey").alias("binary_digits"))
+
+
+@query("""SELECT p_partkey, octet_length(CAST(p_name AS BLOB)) // 4 + 1 AS n_words, CAST(ord(substr(p_name, 1, 1)) + 256 * ord(substr(p_name, 2, 1)) + 65536 * ord(substr(p_name, 3, 1)) + 16777216 * CAST(ord(substr(p_name, 4, 1)) AS BIGINT) AS BIGINT) AS first_word, p_name AS again FROM part""")
+def cstring_words(spark, sf_dir):
+    """Names as 32-bit words with a closing zero, and the names again."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", S.string_words(F.col("p_name")).alias("words"))
+    return rows.select("p_partkey", F.size("words").cast("long").alias("n_words"), F.get("words", F.lit(0)).alias("first_word"), S.words_string(F.col("words")).alias("again"))
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 25")
+def run_triggers(spark, sf_dir):
+    """A run of 25 triggers, which then stops."""
+    return table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "ts").orderBy("ts", "event_id").limit(25)
+
+
+@query("SELECT s_suppkey, 'Celsius' AS name, round(s_acctbal * 0.25 - 40, 6) AS value FROM supplier UNION ALL SELECT s_suppkey, 'Negative' AS name, CASE WHEN s_acctbal < 0 THEN 1.0 ELSE 0.0 END AS value FROM supplier")
+def linked_conversions(spark, sf_dir):
+    """Variables that are no registers: each is linked to another one through a function of the user's."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("Balance").alias("name"), F.col("s_acctbal").alias("value"))
+    links = [("Celsius", "Balance", lambda v: F.round(v * 0.25 - 40, 6)), ("Negative", "Balance", lambda v: (v < 0).cast("double"))]
+    return M.linked(rows, links)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'on' ELSE s_name END AS value FROM supplier WHERE s_suppkey % 2 = 0")
+def set_by_name(spark, sf_dir):
+    """Variables set by name, then read by name: the last setting of each counts, unknown names are left out."""
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("name:"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").alias("value"), "s_suppkey")
+    keys = rows.filter("s_suppkey % 3 = 0").select("path")
+    settings = keys.select("path", F.lit(1).alias("n"), F.lit("off").alias("value")).unionByName(keys.select("path", F.lit(2).alias("n"), F.lit("on").alias("value")))
+    return M.set_values(rows, settings.unionByName(spark.createDataFrame([("name:none", 1, "x")], "path string, n int, value string"))).filter("s_suppkey % 2 = 0").select("s_suppkey", "value")

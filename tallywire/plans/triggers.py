@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywire.functions import scalars as S
 from tallywire.functions.bits import TOC_ENTRY, bit_length, compose, fields, lit
 from tallywire.operators import triggers as O
 from tallywire.plans.register import query
@@ -132,14 +133,14 @@ def toc_pack_pairs(spark, sf_dir):
     """Two offsets in each 64-bit word."""
     rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order="n", size="bits")
     moved = F.call_function("shiftleft", F.col("offset"), (32 * (F.col("n") % 2)).cast("int"))
-    return rows.groupBy("l_orderkey", F.floor(F.col("n") / 2).cast("long").alias("word")).agg(F.bit_or(moved).alias("packed"))
+    return rows.groupBy("l_orderkey", S.floor_div(F.col("n"), 2).alias("word")).agg(F.bit_or(moved).alias("packed"))
 
 
 @query(f"WITH {OFFSETS} SELECT l_orderkey, n, (off + 63) // 64 AS offset64, CAST(2 | (1 << 4) | (((off + 63) // 64) << 8) AS BIGINT) AS entry FROM offsets")
 def toc_entries(spark, sf_dir):
     """Table of contents entries: format, type and offset in words, composed and taken apart."""
     rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order="n", size="bits")
-    words = F.floor((F.col("offset") + 63) / 64).cast("long")
+    words = S.floor_div(F.col("offset") + 63, 64)
     made = rows.select("l_orderkey", "n", compose(f=(F.lit(2), 0), t=(F.lit(1), 4), o=(words, 8)).alias("entry"))
     return made.select("l_orderkey", "n", fields(F.col("entry"), TOC_ENTRY)[2], "entry")
 

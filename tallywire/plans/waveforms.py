@@ -48,6 +48,12 @@ def hist_entropy_bits(spark, sf_dir):
     return W.entropy_bits(W.histogram(syms(spark, sf_dir)))
 
 
+@query(f"""WITH {HIST}, t AS (SELECT ch, pkt, round(sum(n * log2(1024.0 / n)), 6) AS bits FROM hist GROUP BY ch, pkt) SELECT ch, pkt, bits, CAST(floor(bits) AS BIGINT) // 32 + 1 AS words FROM t""")
+def hist_size_estimate(spark, sf_dir):
+    """What a writer sets aside for each packet, as if it held 1024 symbols."""
+    return W.size_estimate(W.histogram(syms(spark, sf_dir)))
+
+
 @query(f"""WITH {HIST}, t AS (SELECT ch, pkt, 1023 - coalesce(sum(n) OVER (PARTITION BY ch, pkt ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
     max(n) OVER (PARTITION BY ch, pkt) AS most FROM hist), u AS (SELECT ch, pkt, CAST(rest AS BIGINT) AS rest, most FROM t)
     SELECT ch, pkt, CAST(32 + sum(least({BITS.format('rest')}, {BITS.format('most')})) AS BIGINT) AS header_bits FROM u GROUP BY ch, pkt""")

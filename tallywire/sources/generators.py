@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywire.functions.scalars import floor_div
 from tallywire.schema import CHANNELS, FRAME_WORDS, PEDESTAL, PULSE_BIPOLAR, PULSE_MONO, SAMPLES_PER_PACKET
 
 
 def dummy_pattern(spark: SparkSession, samples: int = SAMPLES_PER_PACKET, words: int = FRAME_WORDS) -> DataFrame:
     """(i, j, bytes): word j of frame i, whose byte k is (i + k + 8j) mod 256, as hexadecimal digits, lowest byte first."""
-    rows = spark.range(samples * words).select(F.floor(F.col("id") / words).alias("i"), (F.col("id") % words).alias("j"))
+    rows = spark.range(samples * words).select(floor_div(F.col("id"), words).alias("i"), (F.col("id") % words).alias("j"))
     byte = lambda k: F.lpad(F.lower(F.hex((F.col("i") + k + 8 * F.col("j")).bitwiseAND(F.lit(255).cast("long")))), 2, "0")
     return rows.select("i", "j", F.concat(*[byte(k) for k in range(8)]).alias("bytes"))
 
@@ -18,7 +19,7 @@ def dummy_pattern(spark: SparkSession, samples: int = SAMPLES_PER_PACKET, words:
 def emulator_pulses(spark: SparkSession, samples: int, every: int, channels: int = CHANNELS) -> DataFrame:
     """(ch, sample, adc): every third channel has the one-sided pulse, others the two-sided one; the pedestal between."""
     pulse = F.broadcast(spark.createDataFrame(list(zip(range(len(PULSE_MONO)), PULSE_MONO, PULSE_BIPOLAR, strict=True)), "step long, mono long, bipolar long"))
-    rows = spark.range(channels * samples).select((F.col("id") % channels).alias("ch"), F.floor(F.col("id") / channels).alias("sample"))
+    rows = spark.range(channels * samples).select((F.col("id") % channels).alias("ch"), floor_div(F.col("id"), channels).alias("sample"))
     adc = F.coalesce(F.when(F.col("ch") % 3 == 2, F.col("mono")).otherwise(F.col("bipolar")), F.lit(PEDESTAL).cast("long"))
     return rows.join(pulse, F.col("sample") % every == F.col("step"), "left").select("ch", "sample", adc.alias("adc"))
 

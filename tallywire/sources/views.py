@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.bits import compose
-from tallywire.schema import COMMA, TICKS_PER_SAMPLE
+from tallywire.functions.scalars import floor_div
+from tallywire.operators.ranges import numbered
+from tallywire.schema import COMMA, FRAME_WORDS, TICKS_PER_SAMPLE
 
 #: Samples in a packet of the sample view.
 PACKET = 64
@@ -28,7 +30,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
         .select(F.col("user_id").alias("ch"), seq.alias("seq"), F.floor(F.col("value") / 8).cast("long").alias("adc"), "ts", "event_id")
-        .withColumn("pkt", F.floor(F.col("seq") / PACKET).cast("long"))
+        .withColumn("pkt", floor_div(F.col("seq"), PACKET))
     )
 
 
@@ -52,12 +54,13 @@ WAVES = """waves AS (
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(link, k, event_id, w0, tick, a0, b0, a1, b1, sof_missing, eof_error, run_enable, flush): events as frame headers, some of them broken by a
-    rule on the event's number."""
+    """(link, k, event_id, w0, tick, a0, b0, a1, b1, sof_bits, eof_bits, eof_error, run_enable, flush): events as frame headers, some of
+    them broken by a rule on the event's number. sof_bits and eof_bits tell at which of a frame's words the marks stand.
+    Links are few, so their frames are numbered by days."""
     e = F.col("event_id")
     every = lambda n, x: F.when(e % n == 0, x).otherwise(0).cast("long")
-    k = F.row_number().over(Window.partitionBy(F.col("user_id") % LINKS).orderBy("ts", "event_id")).cast("long") - 1
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % LINKS).alias("link"), k.alias("k"), "event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % LINKS).alias("link"), "ts", "event_id")
+    rows = numbered(rows, out="k", order=("ts", "event_id"), by=F.col("ts").cast("date")).drop("ts")
     link, k = F.col("link"), F.col("k")
     comma = F.when(e % 97 == 0, 0).otherwise(COMMA)
     w0 = compose(a=(comma, 0), b=(every(89, 1) + 1, 8), c=(link * 9 + every(113, 1), 13), d=(every(101, 5), 24), e=(every(103, 3), 48))
@@ -72,7 +75,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "link", "k", "event_id", w0.alias("w0"), (1_000_000 + TICKS_PER_SAMPLE * k + every(79, TICKS_PER_SAMPLE)).alias("tick"),
         a0.alias("a0"), b0.alias("b0"), a1.alias("a1"), b1.alias("b1"),
-        (e % 149 == 0).alias("sof_missing"), (e % 151 == 0).alias("eof_error"), (e % 17 != 0).alias("run_enable"), (e % 173 == 0).alias("flush"),
+        (1 - every(149, 1) + every(157, 32)).alias("sof_bits"), ((1 << (FRAME_WORDS - 1)) - every(163, 1 << (FRAME_WORDS - 1)) + every(167, 8)).alias("eof_bits"),
+        (e % 151 == 0).alias("eof_error"), (e % 17 != 0).alias("run_enable"), (e % 173 == 0).alias("flush"),
     )
 
 
@@ -91,7 +95,8 @@ FRAMES = f"""frames AS (
             | (CAST(CASE WHEN event_id % 103 = 0 THEN 3 ELSE 0 END AS BIGINT) << 48) AS BIGINT) AS w0,
         1000000 + {TICKS_PER_SAMPLE} * k + CASE WHEN event_id % 79 = 0 THEN {TICKS_PER_SAMPLE} ELSE 0 END AS tick,
         {_cold_sql(0, 0)}, {_cold_sql(1, 6)},
-        event_id % 149 = 0 AS sof_missing, event_id % 151 = 0 AS eof_error, event_id % 17 <> 0 AS run_enable, event_id % 173 = 0 AS flush
+        CAST(CASE WHEN event_id % 149 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 157 = 0 THEN 32 ELSE 0 END AS BIGINT) AS sof_bits,
+        CAST(CASE WHEN event_id % 163 = 0 THEN 0 ELSE {1 << (FRAME_WORDS - 1)} END + CASE WHEN event_id % 167 = 0 THEN 8 ELSE 0 END AS BIGINT) AS eof_bits, event_id % 151 = 0 AS eof_error, event_id % 17 <> 0 AS run_enable, event_id % 173 = 0 AS flush
     FROM (SELECT user_id % {LINKS} AS link, event_id,
         row_number() OVER (PARTITION BY user_id % {LINKS} ORDER BY ts, event_id) - 1 AS k FROM events)
 )"""

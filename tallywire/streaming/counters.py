@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywire.functions.scalars import floor_div
+
 
 def packets_by_tick(stream: DataFrame, *, samples: int = 16, key: str = "ch", tick: str = "seq", value: str = "adc") -> DataFrame:
     """Packets of a fixed number of ticks: their number follows from the tick alone, so no state but the sums is kept."""
-    return stream.groupBy(key, F.floor(F.col(tick) / samples).cast("long").alias("pkt")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return stream.groupBy(key, floor_div(F.col(tick), samples).alias("pkt")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
 def windowed_rates(stream: DataFrame, *, window: str = "1 hour", late: str = "2 hours", ts: str = "ts", size: str = "bytes") -> DataFrame:
@@ -76,9 +78,12 @@ def fan_out(sinks):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as in
+    tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tallywire-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -96,6 +101,19 @@ def replay(rows: DataFrame, operator) -> DataFrame:
     return spark.read.parquet(f"{root}/out/{last}")
 
 
+def replay_append(tables: list[DataFrame], operator) -> DataFrame:
+    """Write tables as files, stream the files through an operator that only adds rows, and return all it added."""
+    spark = tables[0].sparkSession
+    root = shared_root(spark)
+    streams = []
+    for i, rows in enumerate(tables):
+        rows.write.parquet(f"{root}/in{i}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in{i}"))
+    result = operator(*streams)
+    run_available(result, f"{root}/run")
+    return spark.read.schema(result.schema).parquet(f"{root}/run/data")
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,11 +1,13 @@
 import itertools
 import random
+import re
+import struct
 
 from pyspark.sql import functions as F
 
 from tallywire.functions import bits as B
 from tallywire.functions import scalars as S
-from tallywire.operators import frames, triggers
+from tallywire.operators import frames, ranges, triggers
 from tallywire.schema import STATUS_BITS
 from tallywire.sources.text import hex_records
 
@@ -30,7 +32,7 @@ def test_fields_of_all_bits(spark):
     assert r.asDict() == {"comma": 255, "version": 31, "id": 2047, "rsvd": 0xFFFFFF, "errors": 0xFFFF, "nbytes": 0xFFFFFF, "record_type": 15, "frame_type": 15, "status": 0xFFFFFFFF}
 
 
-GOOD = dict(comma=0xBC, version=1, id=5, errors=0, run_enable=True, flush=False, sof_missing=False, eof_error=False)
+GOOD = dict(comma=0xBC, version=1, id=5, errors=0, run_enable=True, flush=False, sof=1, eof=1 << 29, eof_error=False)
 
 
 def _frames(spark, rows):
@@ -41,17 +43,17 @@ def _frames(spark, rows):
         a = r["e1"] | r["convert"] << 48
         a -= (1 << 64) if a >> 63 else 0
         b = r["reg"] | r["hdrs"] << 32
-        made.append((0, k, w0, r["tick"], a, b, a, b, r["sof_missing"], r["eof_error"], r["run_enable"], r["flush"]))
-    return spark.createDataFrame(made, "link long, k long, w0 long, tick long, a0 long, b0 long, a1 long, b1 long, sof_missing boolean, eof_error boolean, run_enable boolean, flush boolean")
+        made.append((0, k, w0, r["tick"], a, b, a, b, r["sof"], r["eof"], r["eof_error"], r["run_enable"], r["flush"]))
+    return spark.createDataFrame(made, "link long, k long, w0 long, tick long, a0 long, b0 long, a1 long, b1 long, sof_bits long, eof_bits long, eof_error boolean, run_enable boolean, flush boolean")
 
 
 def test_status_bits(spark):
     """One change each: the bit it sets, and no bit where a counter wraps from 65535 to 0."""
-    changes = [{}, {}, {}, dict(comma=1), dict(version=2), dict(id=6), dict(errors=1), {}, dict(e1=3), dict(reg=1), dict(run_enable=False), dict(flush=True), dict(sof_missing=True), dict(eof_error=True)]
+    changes = [{}, {}, {}, dict(comma=1), dict(version=2), dict(id=6), dict(errors=1), {}, dict(e1=3), dict(reg=1), dict(run_enable=False), dict(flush=True), dict(sof=0), dict(sof=3), dict(eof=0), dict(eof=1 << 29 | 1), dict(eof_error=True)]
     got = {r.k: r.status for r in frames.status(_frames(spark, changes)).collect()}
     bit = lambda *names: sum(1 << STATUS_BITS[n] for n in names)
     want = [0, 0, 0, bit("bad_comma"), bit("bad_version"), bit("bad_id"), bit("bad_errors"), 0, bit("cd0_stream_err1", "cd1_stream_err1"), bit("cd0_err_reg", "cd1_err_reg")]
-    want += [bit("run_disable"), bit("flush"), bit("sof_missing"), bit("eof_error")]
+    want += [bit("run_disable"), bit("flush"), bit("sof_missing"), bit("sof_unexpected"), bit("eof_missing"), bit("eof_unexpected"), bit("eof_error")]
     assert [got[k] for k in range(len(want))] == want
 
 
@@ -106,3 +108,46 @@ def test_empty(spark):
     df = _frames(spark, [{}]).filter("false")
     assert frames.packetise(frames.status(df), 4).count() == 0
     assert frames.exceptions(frames.status(df), 4).count() == 0
+
+
+def test_ranges_against_plain_windows(spark):
+    """What goes on over the ends of ranges, for null keys, gaps and an empty table."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), k, rng.randrange(100)) for k in rng.sample(range(400), 150)]
+    df = spark.createDataFrame(rows, "link long, k long, v long")
+    got = ranges.previous(df, {"v": F.col("v")}, by=ranges.by_number("k", 16))
+    got = ranges.running_sum(got, F.col("v"), out="total", by=ranges.by_number("k", 7))
+    got = ranges.first_of(ranges.numbered(got, out="number"), {"v0": F.col("v")})
+    for r in got.collect():
+        before = sorted((k, v) for link, k, v in rows if link == r.link and k < r.k)
+        assert (r.prev.v if r.prev else None) == (before[-1][1] if before else None)
+        assert (r.total, r.number, r.v0) == (sum(v for _, v in before) + r.v, len(before), before[0][1] if before else r.v)
+    assert got.count() == len(rows) and set(got.columns) == {"link", "k", "v", "prev", "total", "number", "v0"}
+    assert ranges.numbered(df.limit(0), out="number").collect() == []
+
+
+def test_no_window_over_a_link_alone(spark):
+    """Frames are windowed within ranges of a link; only small rows, one for each range, by the link."""
+    frame = _frames(spark, [{}] * 40)
+    for df in (frames.status(frame), frames.packetise(frames.status(frame), 4)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        for window in re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan):
+            assert "_range" in window or "_key" in window, window
+
+
+def test_whole_division(spark):
+    """Right for all of 64 bits, and rounded down below zero."""
+    values = [1700000000123457, 2**62, -1, -40, -41, 0, 9007199254740993]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert [r[0] for r in df.select(S.floor_div(F.col("v"), 20)).collect()] == [v // 20 for v in values]
+    assert df.filter("v = 1700000000123457").select(S.ticks(F.col("v"))).first()[0] == 85000000006172850
+
+
+def test_strings_as_words(spark):
+    df = spark.createDataFrame([("",), ("abc",), ("abcd",), ("é",), ("x" * 33,), (None,)], "t string")
+    rows = df.select("t", S.string_words(F.col("t")).alias("w"), S.words_string(S.string_words(F.col("t"))).alias("again")).collect()
+    for r in rows:
+        assert r.again == r.t
+        if r.t is not None:
+            data = r.t.encode() + b"\0" * (4 - len(r.t.encode()) % 4)
+            assert r.w == list(struct.unpack(f"<{len(data) // 4}I", data))
