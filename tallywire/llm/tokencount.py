@@ -200,7 +200,7 @@ class CountTree:
 
 EDITS = "array<struct<start:bigint,end:bigint,replacement:string>>"
 #: Columns of a tree beside the id.
-TREE = "text string, sizes array<int>, counts array<int>, run_ends array<int>, chars array<bigint>, tokens array<bigint>"
+TREE = "text string, sizes binary, counts binary, run_ends binary, chars binary, tokens binary"
 COUNTS = ["n_pieces", "n_tokens", "edited_tokens", "edited_chars", "encoded_again"]
 
 
@@ -211,16 +211,24 @@ def _counter(ranks_path: str, pattern: str):
     return splitter(pattern).findall, Remembered(lambda piece: len(ids_of.compute(piece)), ids_of.most).__getitem__
 
 
-def _tree_columns(trees: list[CountTree]) -> dict:
-    import pyarrow as pa
+def packed(values: np.ndarray) -> bytes:
+    """A byte for each number if that is enough, else little-endian 64-bit numbers; the first byte tells which."""
+    small = not len(values) or values.max() < 256
+    return (b"\1" if small else b"\x08") + values.astype("u1" if small else "<i8").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="u1" if raw[0] == 1 else "<i8", offset=1).astype(np.int64)
 
+
+def _tree_columns(trees: list[CountTree]) -> dict:
     states = [t.state() for t in trees]
-    lists = lambda i: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[i]) for s in states)]), pa.int32()), pa.array(np.concatenate([s[i] for s in states])))
-    return {"text": [s[0] for s in states]} | {n: lists(i) for i, n in enumerate(("sizes", "counts", "run_ends", "chars", "tokens"), 1)}
+    return {"text": [s[0] for s in states]} | {n: [packed(s[i]) for s in states] for i, n in enumerate(("sizes", "counts", "run_ends", "chars", "tokens"), 1)}
 
 
 def plant(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The segment tree of each document: the id column, text (null: empty), sizes, counts, run_ends, chars, tokens."""
+    """The segment tree of each document: the id column, text (null: empty), and as ``packed`` numbers sizes, counts, run_ends,
+    chars, tokens."""
     schema = T.StructType([T.StructField(id_col, id_type(docs, id_col)), *T._parse_datatype_string(TREE)])
 
     def work(ids, texts):
@@ -263,10 +271,10 @@ def apply_edits(trees: DataFrame, edits: DataFrame | Column, ranks_path: str, pa
         arrow = to_arrow_schema(schema)
         split, count = _counter(ranks_path, pattern)
         for part in (part for batch in batches for part in parts(batch, STEP_BYTES)):
-            arrays = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in part.columns[2:7]]
+            arrays = [c.to_pylist() for c in part.columns[2:7]]
             done, rows = [], []
             for i, (text, script) in enumerate(zip(part.column(1).to_pylist(), part.column(7).to_pylist(), strict=True)):
-                grown = CountTree(split, count).load(text, *(v[o[i] : o[i + 1]] for o, v in arrays))
+                grown = CountTree(split, count).load(text, *(unpacked(a[i]) for a in arrays))
                 before = len(grown.sizes), grown.total
                 for e in script or ():
                     if e is not None:
