@@ -77,38 +77,32 @@ def segment_entries(lines: DataFrame, threshold: int, carry: tuple[str, ...] = (
 
 
 def sketches(line: Column) -> Column:
-    """struct<n, one, two, three>: length, 64 parities of a line's characters, and 128 of its character pairs."""
-    shift = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63))
-    zero = F.lit(0).cast("long")
-
-    def pair_bits(state: Column, x: Column) -> Column:
-        # bit 6 of the hash says which word, the bits below which bit of it
-        low = x.bitwiseAND(64) == 0
-        return F.struct(F.when(low, state["two"].bitwiseXOR(shift(x))).otherwise(state["two"]).alias("two"), F.when(low, state["three"]).otherwise(state["three"].bitwiseXOR(shift(x))).alias("three"))
+    """struct<n, one, two>: length, and 64 parities each of a line's characters and of its character pairs."""
 
     def parities(chars: Column) -> Column:
-        last, none = F.size(chars) - 1, F.struct(zero.alias("two"), zero.alias("three"))
-        one = F.aggregate(chars, zero, lambda a, c: a.bitwiseXOR(shift(F.hash(c))))
-        pairs = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), none, lambda a, i: pair_bits(a, F.hash(F.get(chars, i), F.get(chars, i + 1))))).otherwise(none)
-        return F.struct(F.size(chars).alias("n"), one.alias("one"), pairs.alias("pairs"))
+        bit = lambda *x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(*x).bitwiseAND(63))
+        zero, last = F.lit(0).cast("long"), F.size(chars) - 1
+        one = F.aggregate(chars, zero, lambda a, c: a.bitwiseXOR(bit(c)))
+        two = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), zero, lambda a, i: a.bitwiseXOR(bit(F.get(chars, i), F.get(chars, i + 1))))).otherwise(zero)
+        return F.struct(F.size(chars).alias("n"), one.alias("one"), two.alias("two"))
 
-    flat = lambda x: F.struct(x["n"].alias("n"), x["one"].alias("one"), x["pairs"]["two"].alias("two"), x["pairs"]["three"].alias("three"))
-    return _let(_let(F.split(line, ""), parities), flat)
+    return _let(F.split(line, ""), parities)
 
 
 def bands(sketch: Column, threshold: int) -> Column:
-    """The parities of pairs in bands: more of them than differ between linked lines, so that one is equal."""
-    each = (4 * threshold + 2) // 2
-    width = 64 // each
-    return F.array(*[F.shiftrightunsigned(sketch[word], width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for word in ("two", "three") for i in range(each)])
+    """The parities of pairs in bands: one more of them than bits differ between linked lines, so that one is equal."""
+    count = 4 * threshold + 1
+    ends = [64 * i // count for i in range(count + 1)]
+    cut = lambda a, b: F.shiftrightunsigned(sketch["two"], a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+    return F.array(*[cut(a, b) for a, b in zip(ends, ends[1:], strict=False)])
 
 
 def within_reach(a: Column, b: Column, threshold: int) -> Column:
     """Whether lines with these sketches can be linked. A substitution changes two characters and four pairs at most,
     an insertion or deletion one and three; a difference in length takes as many of the latter."""
     less = F.abs(a["n"] - b["n"])
-    differ = lambda *words: sum(F.bit_count(a[w].bitwiseXOR(b[w])) for w in words)
-    return (less <= threshold) & (differ("one") <= 2 * threshold - less) & (differ("two", "three") <= 4 * threshold - less)
+    ones = F.bit_count(a["one"].bitwiseXOR(b["one"])) <= 2 * threshold - less
+    return (less <= threshold) & ones & (F.bit_count(a["two"].bitwiseXOR(b["two"])) <= 4 * threshold - less)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -201,7 +195,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     """(id, doc, line_no, line, h, g) of every line long enough and not blank; doc stands for the document's text."""
     text = F.col(f"`{text_col}`")
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    out = out.select("id", "doc", "line_no", F.trim("raw").alias("line")).filter((F.length("line") >= min_chars) & F.col("line").rlike(NOT_BLANK))
+    out = out.select("id", "doc", "line_no", F.trim("raw").alias("line")).filter((F.length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\n\x0b\f\r")) != ""))
     return out.withColumn("h", _first_hash(F.col("line"))).withColumn("g", _second_hash(F.col("line")))
 
 
