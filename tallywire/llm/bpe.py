@@ -82,6 +82,10 @@ class PerfectHash:
         return ((h >> 20) % self.n + self.step[b] * ((h >> 42) % max(1, self.n - 1) + 1) + self.shift[b]) % self.n
 
 
+#: Bytes of the longest piece that is counted without a heap, and the rank of what is no entry.
+SCANNED_BYTES, NO_RANK = 32, 1 << 62
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -92,6 +96,11 @@ class Vocabulary:
         self.slot_rank = [self.ranks[t] for t in self.slot_token]
         self.token = {r: t for t, r in self.ranks.items()}
 
+    @functools.cached_property
+    def two_bytes(self) -> list[int]:
+        """Rank of each two bytes."""
+        return [self.ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
+
     def whole(self, piece: bytes) -> int | None:
         slot = self.hash.slot(piece)
         return self.slot_rank[slot] if slot >= 0 and self.slot_token[slot] == piece else None
@@ -138,6 +147,25 @@ class Vocabulary:
         rank = self.whole(raw)
         return [rank] if rank is not None else self.merge(raw)
 
+    def n_ids(self, piece: str) -> int:
+        """How many ids a piece has. Of few bytes the least pair is found by looking through all of them."""
+        raw, get = piece.encode("utf-8", "surrogatepass"), self.ranks.get
+        if raw in self.ranks:
+            return 1
+        if not 2 <= len(raw) <= SCANNED_BYTES:
+            return len(self.merge(raw))
+        at = list(range(len(raw) + 1))
+        two = self.two_bytes
+        pairs = [two[a << 8 | b] for a, b in zip(raw, raw[1:], strict=False)]
+        while (least := min(pairs)) != NO_RANK:
+            k = pairs.index(least)  # the leftmost among equals
+            del at[k + 1], pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(raw[at[k] : at[k + 2]], NO_RANK)
+            if k:
+                pairs[k - 1] = get(raw[at[k - 1] : at[k + 1]], NO_RANK)
+        return len(at) - 1
+
 
 #: Code points of the longest pre-token that is remembered: longer ones are computed each time.
 REMEMBERED_CHARS = 64

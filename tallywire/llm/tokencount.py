@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywire.llm.arrow import STEP_BYTES, id_type, map_steps, narrow, parts
-from tallywire.llm.bpe import Remembered, piece_ids, splitter
+from tallywire.llm.bpe import Remembered, splitter, vocabulary
 from tallywire.llm.shared import written
 
 #: Pre-tokens in a run when the tree is built; a run may grow to four times that before the tree is built again.
 RUN = 64
+#: Counts of pre-tokens that a worker remembers in a generation.
+REMEMBERED = 400_000
 
 
 def node_sums(leaves: np.ndarray) -> np.ndarray:
@@ -207,8 +209,7 @@ COUNTS = ["n_pieces", "n_tokens", "edited_tokens", "edited_chars", "encoded_agai
 @functools.cache
 def _counter(ranks_path: str, pattern: str):
     """Splits a text into pre-tokens; counts the tokens of one. Made once in each Python worker."""
-    ids_of = piece_ids(ranks_path)
-    return splitter(pattern).findall, Remembered(lambda piece: len(ids_of.compute(piece)), ids_of.most).__getitem__
+    return splitter(pattern).findall, Remembered(vocabulary(ranks_path).n_ids, REMEMBERED).__getitem__
 
 
 def packed(values: np.ndarray) -> bytes:

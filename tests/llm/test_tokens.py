@@ -41,6 +41,13 @@ def test_bpe_as_the_library(spark, sf, encoding):
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).collect() == []
 
 
+def test_counts_without_ids():
+    vocabulary, rng = bpe.vocabulary(PATH), random.Random(4)
+    pieces = ["".join(rng.choices("etaoin shrdé中\n'.17", k=rng.randint(1, 40))) for _ in range(3000)] + ["", "\U0001f600" * 8, "a" * 33]
+    for piece in pieces:
+        assert vocabulary.n_ids(piece) == len(vocabulary.ids(piece)), piece
+
+
 def test_bpe_query(spark, sf, encoding):
     texts = {r["doc_id"]: r["text"] for r in helpers.documents(sf)}
     rows = bpe.op2_bpe(spark, sf).collect()
