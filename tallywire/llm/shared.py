@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting: files of a query's shuffles go when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new place under spark.checkpoint.dir; that setting is filled in only where it is unset and all runs on one machine, as
@@ -22,10 +25,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage is cut, and lost executors lose nothing of it."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a table in the shared folder: its lineage is cut, and lost executors lose nothing of it. Nothing goes back
+    to the shuffles that led to it, so Spark is told to delete their files once the table is written."""
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
