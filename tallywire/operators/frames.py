@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.bits import COLD_WORD0, COLD_WORD1, FRAME_HEADER, compose, field, lit
 from tallywire.functions.scalars import floor_div
-from tallywire.operators.ranges import first_of, numbered, previous, running_sum
+from tallywire.operators.ranges import carried, numbered, running_sum
 from tallywire.schema import COMMA, FIRST_FRAME_MASKS, FRAME_WORDS, FRAMING_SHIFT, MAX_EXCEPTIONS, STATUS_BITS, TICKS_PER_SAMPLE, VERSION
 
 
-def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "link", order: str = "k") -> DataFrame:
+def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "link", order: str = "k", counts: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Adds status to frames (w0, tick, a0, b0, a1, b1, sof_bits, eof_bits, eof_error, run_enable, flush).
 
     Each check compares a field with a constant, with the link's first frame, or with the frame before; the first frame
     of a link has none before it, and keeps the bits of ``first_mask`` only.
+
+    ``counts`` are running counts over a link that later steps need, made on the way so that frames are dealt out once: of frames
+    whose status has a property that run and framing bits alone decide, such as :func:`promoted`.
     """
-    kept_columns = frames.columns
-    frames = previous(frames, {n: F.col(n) for n in ("tick", "a0", "b0", "a1", "b1")}, key=key, order=order)
-    frames = first_of(frames, {"first_id": field(F.col("w0"), *FRAME_HEADER["id"])}, key=key, order=order)
+    kept_columns, kept = frames.columns, FIRST_FRAME_MASKS[first_mask]
+    marks = {"run_disable": ~F.col("run_enable"), "flush": F.col("flush"), **framing(F.col("sof_bits"), F.col("eof_bits")), "eof_error": F.col("eof_error")}
+    marked = _word(marks)
+    counted = {n: has_it(marked).cast("int") for n, has_it in (counts or {}).items()}
+    frames = carried(
+        frames, key=key, order=(order,), sums=counted, previous={n: F.col(n) for n in ("tick", "a0", "b0", "a1", "b1")},
+        first={"first_id": field(F.col("w0"), *FRAME_HEADER["id"])} | ({"first_marks": marked} if counted else {}),
+    )
+    for n, has_it in (counts or {}).items():  # of the first frame, the kept bits count
+        as_kept = has_it(F.col("first_marks").bitwiseAND(lit(kept))).cast("long") - has_it(F.col("first_marks")).cast("long")
+        frames = frames.withColumn(n, F.col(n) + as_kept)
     head = lambda name: field(F.col("w0"), *FRAME_HEADER[name])
     checks = {
         "bad_comma": head("comma") != COMMA,
@@ -28,10 +41,7 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
         "bad_rsvd": F.lit(False),  # declared, never raised
         "bad_errors": head("errors") != 0,
         "bad_timestamp": F.col("tick") != F.col("prev.tick") + TICKS_PER_SAMPLE,
-        "run_disable": ~F.col("run_enable"),
-        "flush": F.col("flush"),
-        **framing(F.col("sof_bits"), F.col("eof_bits")),
-        "eof_error": F.col("eof_error"),
+        **marks,
     }
     for n in (0, 1):
         a, b = F.col(f"a{n}"), F.col(f"b{n}")
@@ -46,11 +56,16 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
             f"cd{n}_rsvd1": field(b, *COLD_WORD1["rsvd1"]) != 0,
             f"cd{n}_hdrs": hdrs != hdrs_before,
         }
+    word = _word(checks)
+    return frames.select(*[c for c in kept_columns if c != "status" and c not in counted], *counted, F.when(F.col("prev").isNull(), word.bitwiseAND(lit(kept))).otherwise(word).alias("status"))
+
+
+def _word(checks: dict[str, Column]) -> Column:
+    """The status bits of checks that are true."""
     word = lit(0)
     for name, check in checks.items():
         word = word.bitwiseOR(F.when(check, lit(1 << STATUS_BITS[name])).otherwise(lit(0)))
-    kept = FIRST_FRAME_MASKS[first_mask]
-    return frames.select(*[c for c in kept_columns if c != "status"], F.when(F.col("prev").isNull(), word.bitwiseAND(lit(kept))).otherwise(word).alias("status"))
+    return word
 
 
 def framing(sof: Column, eof: Column, words: int = FRAME_WORDS) -> dict[str, Column]:
@@ -68,14 +83,19 @@ def has(name: str) -> Column:
     return field(F.col("status"), STATUS_BITS[name], 1) == 1
 
 
-def good() -> Column:
+def good(status: Column | None = None) -> Column:
     """No framing error of any kind."""
-    return field(F.col("status"), FRAMING_SHIFT, 6) == 0
+    return field(F.col("status") if status is None else status, FRAMING_SHIFT, 6) == 0
+
 
+def failed(status: Column | None = None) -> Column:
+    """A framing error of any kind."""
+    return ~good(status)
 
-def promoted() -> Column:
+
+def promoted(status: Column | None = None) -> Column:
     """Neither run-disabled nor a flush frame."""
-    return field(F.col("status"), STATUS_BITS["run_disable"], 2) == 0
+    return field(F.col("status") if status is None else status, STATUS_BITS["run_disable"], 2) == 0
 
 
 #: Groups of status bits: (first bit, bits).
@@ -83,8 +103,10 @@ BAD_GROUPS = {"header0": (0, 5), "timestamp": (5, 1), "cd0_word0": (8, 5), "cd0_
 
 
 def bad_groups() -> Column:
-    """Six bits, one for each group of checks that found anything: an exception's mask."""
-    return compose(**{name: (F.when(field(F.col("status"), *at) != 0, 1).otherwise(0), i) for i, (name, at) in enumerate(BAD_GROUPS.items())})
+    """Six bits, one for each group of checks that found anything: an exception's mask. The status is made once for all six: its
+    checks six times over are more code than a method may hold."""
+    mask = lambda status: compose(**{name: (F.when(field(status, *at) != 0, 1).otherwise(0), i) for i, (name, at) in enumerate(BAD_GROUPS.items())})
+    return F.transform(F.array("status"), mask)[0]
 
 
 def exceptions(frames: DataFrame, frames_per_packet: int, *, most: int = MAX_EXCEPTIONS, key: str = "link", order: str = "k") -> DataFrame:
@@ -94,10 +116,26 @@ def exceptions(frames: DataFrame, frames_per_packet: int, *, most: int = MAX_EXC
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(key, "pkt", (F.col(order) % frames_per_packet).alias("frame"), "mask")
 
 
-def packetise(frames: DataFrame, frames_per_packet: int, *, key: str = "link", order: str = "k") -> DataFrame:
-    """Adds pkt and frame to promoted frames, by their running number: dropped frames take no place."""
-    kept = numbered(frames.filter(promoted()), out="_n", key=key, order=(order,))
-    return kept.withColumn("pkt", floor_div(F.col("_n"), frames_per_packet)).withColumn("frame", F.col("_n") % frames_per_packet).drop("_n")
+def packetise(frames: DataFrame, frames_per_packet: int, *, key: str = "link", order: str = "k", number: str | None = None) -> DataFrame:
+    """Adds pkt and frame to promoted frames, by their running number: dropped frames take no place.
+
+    ``number`` names a running count of promoted frames that is there already, such as a count of :func:`status`."""
+    kept = frames.filter(promoted())
+    kept = numbered(kept, out="_n", key=key, order=(order,)) if number is None else kept.withColumn("_n", F.col(number) - 1)
+    return kept.withColumn("pkt", floor_div(F.col("_n"), frames_per_packet)).withColumn("frame", F.col("_n") % frames_per_packet).drop("_n", *([number] if number else []))
+
+
+def write_counters(frames: DataFrame, frames_per_packet: int, *, words: int = FRAME_WORDS, key: str = "link", number: str = "written") -> DataFrame:
+    """Counters of a writer: packets, bytes, the last and the largest packet's bytes, dropped frames; links with packets only. One grouping
+    by packet, in which the dropped frames of a link are a group of their own, then one by link."""
+    pkt = F.when(promoted(), floor_div(F.col(number) - 1, frames_per_packet)).alias("pkt")
+    counted = frames.groupBy(key, pkt).agg(F.count(F.lit(1)).alias("n"))
+    nbytes = F.when(F.col("pkt").isNotNull(), F.col("n") * 8 * words + 16)
+    sums = counted.groupBy(key).agg(
+        F.count("pkt").alias("packets"), F.sum(nbytes).alias("bytes"), F.max_by(nbytes, "pkt").alias("last_bytes"), F.max(nbytes).alias("max_bytes"),
+        F.coalesce(F.max(F.when(F.col("pkt").isNull(), F.col("n"))), F.lit(0)).alias("dropped"),
+    )
+    return sums.filter("packets > 0")
 
 
 def packet_summary(packets: DataFrame, *, key: str = "link") -> DataFrame:
@@ -127,21 +165,21 @@ def counters(frames: DataFrame, *, key: str = "link") -> DataFrame:
 
 def rebuild_headers(exceptions: DataFrame, *, key: str = "link", order: str = "k") -> DataFrame:
     """Ticks, and convert counts if there are any, of frames of which only unexpected ones are kept (others null): the last kept
-    value and 25, or 1 modulo 65536, for each frame since. A kept value starts a group of its own, dealt out by ranges."""
-    out = exceptions
-    for column, made, step, bits in (("tick", "rebuilt", TICKS_PER_SAMPLE, 63), ("convert", "rebuilt_convert", 1, 16)):
-        if column in exceptions.columns:
-            out = running_sum(out, F.col(column).isNotNull().cast("int"), out="_group", key=key, order=(order,))
-            known = out.filter(F.col(column).isNotNull()).select(F.col(key).alias("_key"), F.col("_group").alias("_known"), F.col(column).alias("_value"), F.col(order).alias("_from"))
-            out = out.join(known, out[key].eqNullSafe(known["_key"]) & (out["_group"] == known["_known"]), "left")
-            out = out.withColumn(made, (F.col("_value") + step * (F.col(order) - F.col("_from"))).bitwiseAND(lit((1 << bits) - 1))).drop("_key", "_known", "_value", "_from", "_group")
-    return out
-
-
-def until_errors(frames: DataFrame, most: int, failed: Column, *, key: str = "link", order: str = "k") -> DataFrame:
-    """Frames up to a link's error number ``most``, with it: a reader stops there."""
-    rows = running_sum(frames.withColumn("_failed", failed.cast("long")), F.col("_failed"), out="_errors", key=key, order=(order,))
-    return rows.filter(F.col("_errors") - F.col("_failed") < most).drop("_errors", "_failed")
+    value and 25, or 1 modulo 65536, for each frame since. Last kept values are carried over ranges; rows are dealt out once."""
+    made = {"tick": ("rebuilt", TICKS_PER_SAMPLE, 63), "convert": ("rebuilt_convert", 1, 16)}
+    there = [c for c in made if c in exceptions.columns]
+    out = carried(exceptions, key=key, order=(order,), known={f"_{c}": F.col(c) for c in there})
+    for c in there:
+        name, step, bits = made[c]
+        out = out.withColumn(name, (F.col(f"_{c}.value") + step * (F.col(order) - F.col(f"_{c}.at"))).bitwiseAND(lit((1 << bits) - 1)))
+    return out.drop(*[f"_{c}" for c in there])
+
+
+def until_errors(frames: DataFrame, most: int, failed: Column, *, key: str = "link", order: str = "k", total: str | None = None) -> DataFrame:
+    """Frames up to a link's error number ``most``, with it: a reader stops there. ``total`` names a running count of errors that is there
+    already."""
+    rows = frames if total else running_sum(frames, failed.cast("long"), out="_errors", key=key, order=(order,))
+    return rows.filter(F.col(total or "_errors") - F.coalesce(failed.cast("long"), lit(0)) < most).drop(total or "_errors")
 
 
 def frame_symbols(symbols: DataFrame, *, key: str = "lane", order: str = "pos") -> DataFrame:

@@ -1,16 +1,16 @@
 """Running values over keys that are few and long: dealt out by ranges of the order, so that a key is many tasks.
 
-A range is a monotone function of the order: a number of the sequence divided, a time cut to hours. What goes on from one range
-to the next is one small row for each (key, range); rows themselves are windowed within their range only, and the small
-rows come back by an equal join.
+A range is a monotone function of the order: a number of the sequence divided, a time cut to hours. One aggregate makes a small
+row for each (key, range): its first and last row, its sums. What goes on from one range to the next is found on these
+small rows alone. The rows themselves are dealt out once, by key and range, windowed within their range, and meet the small
+rows by an equal join on the same two columns, which moves none of them again. Everything that a key's rows need is asked for
+at once (``carried``): a second call would deal them out a second time.
 
 Defined cases: an empty table gives an empty one; a null key is a key of its own; rows without an order come first.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,37 +19,75 @@ from tallywire.functions.scalars import floor_div
 #: Numbers of a sequence in a range.
 RANGE = 1 << 16
 
+Columns = dict[str, Column]
+
 
 def by_number(order: str, size: int = RANGE) -> Column:
     """Ranges of a running number."""
     return floor_div(F.col(order), F.lit(size).cast("long"))
 
 
-def _onto(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of a table (_key, _at, ...) by key and range, nulls equal."""
-    on = reduce(lambda a, b: a & b, [rows[key].eqNullSafe(few["_key"]), rows["_range"].eqNullSafe(few["_at"])])
-    return rows.join(few, on, "left").drop("_key", "_at", "_range")
-
-
-def previous(rows: DataFrame, columns: dict[str, Column], *, key: str = "link", order: str = "k", by: Column | None = None, out: str = "prev") -> DataFrame:
+def _struct(columns: Columns) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def carried(
+    rows: DataFrame, *, key: str = "link", order: tuple[str, ...] = ("k",), by: Column | None = None, previous: Columns | None = None, prev: str = "prev",
+    first: Columns | None = None, sums: Columns | None = None, known: Columns | None = None,
+) -> DataFrame:
+    """Adds to each row, of its key's rows in order:
+
+    * ``prev``: a struct of the columns ``previous`` of the row before, null for the first one,
+    * the columns ``first`` of the first row,
+    * ``sums``: sums of values up to and with the row,
+    * ``known``: of each value the last one that is not null, up to and with the row, as a struct (value, at) with the first order
+      column of its row.
+    """
+    columns, place = rows.columns, F.struct(*order)
+    # within a struct, nulls are equal: the columns that rows are dealt out by are those that they are joined by
+    within = F.struct((by_number(order[0]) if by is None else by).alias("range"))
+    rows = rows.select("*", F.struct(F.col(key).alias("key")).alias("_key"), within.alias("_range"))
+    inside = Window.partitionBy("_key", "_range").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("_of").orderBy("_at")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    here, facts, over, out = [], [], [], []
+    if previous:
+        here.append(F.lag(_struct(previous)).over(inside).alias("_lag"))
+        facts.append(F.max_by(_struct(previous), place).alias("_last"))
+        over.append(F.lag("_last").over(ranges).alias("_before"))
+        out.append(F.coalesce("_lag", "_before").alias(prev))
+    if first:
+        facts.append(F.min_by(_struct(first), place).alias("_head"))
+        over.append(F.first("_head").over(ranges).alias("_first"))
+        out += [F.col(f"_first.{n}").alias(n) for n in first]
+    for n, value in (sums or {}).items():
+        value = value.cast("long")
+        here.append(F.sum(value).over(upto).alias(f"_in_{n}"))
+        facts.append(F.sum(value).alias(f"_sum_{n}"))
+        over.append(F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_to_{n}"))
+        out.append((F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.col(f"_to_{n}")).alias(n))
+    for n, value in (known or {}).items():
+        said = F.when(value.isNotNull(), F.struct(value.alias("value"), F.col(order[0]).alias("at")))
+        here.append(F.last(said, True).over(upto).alias(f"_said_{n}"))
+        facts.append(F.max_by(said, F.when(value.isNotNull(), place)).alias(f"_end_{n}"))
+        over.append(F.last(f"_end_{n}", True).over(earlier).alias(f"_old_{n}"))
+        out.append(F.coalesce(f"_said_{n}", f"_old_{n}").alias(n))
+    few = rows.groupBy(F.col("_key").alias("_of"), F.col("_range").alias("_at")).agg(*facts).select("_of", "_at", *over)
+    placed = rows.select("*", *here)
+    met = placed.join(few, (placed["_key"] == few["_of"]) & (placed["_range"] == few["_at"]), "left")
+    made = {prev if previous else None, *(first or {}), *(sums or {}), *(known or {})}
+    return met.select(*[c for c in columns if c not in made], *out)
+
+
+def previous(rows: DataFrame, columns: Columns, *, key: str = "link", order: str = "k", by: Column | None = None, out: str = "prev") -> DataFrame:
     """Adds ``out``: a struct of columns of the row before, null for a key's first row."""
-    rows = rows.withColumn("_range", by_number(order) if by is None else by).withColumn("_own", F.struct(*[c.alias(n) for n, c in columns.items()]))
-    inside = F.lag("_own").over(Window.partitionBy(key, "_range").orderBy(order))
-    ends = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.max_by("_own", F.struct(order)).alias("_end"))
-    # one row for each range of a key
-    ends = ends.select("_key", "_at", F.lag("_end").over(Window.partitionBy("_key").orderBy("_at")).alias("_before"))
-    placed = _onto(rows.withColumn("_inside", inside), ends, key)
-    return placed.withColumn(out, F.coalesce("_inside", "_before")).drop("_inside", "_before", "_own")
+    return carried(rows, key=key, order=(order,), by=by, previous=columns, prev=out)
 
 
 def running_sum(rows: DataFrame, value: Column, *, out: str, key: str = "link", order: tuple[str, ...] = ("k",), by: Column | None = None) -> DataFrame:
     """Adds ``out``: the sum of a value up to and with each row."""
-    rows = rows.withColumn("_range", by_number(order[0]) if by is None else by).withColumn("_value", value.cast("long"))
-    w = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum("_value").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = _onto(rows.withColumn("_inside", F.sum("_value").over(w)), sums.select("_key", "_at", before.alias("_before")), key)
-    return placed.withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_value")
+    return carried(rows, key=key, order=order, by=by, sums={out: value})
 
 
 def numbered(rows: DataFrame, *, out: str, key: str = "link", order: tuple[str, ...] = ("k",), by: Column | None = None) -> DataFrame:
@@ -57,8 +95,6 @@ def numbered(rows: DataFrame, *, out: str, key: str = "link", order: tuple[str,
     return running_sum(rows, F.lit(1), out=out, key=key, order=order, by=by).withColumn(out, F.col(out) - 1)
 
 
-def first_of(rows: DataFrame, columns: dict[str, Column], *, key: str = "link", order: str = "k") -> DataFrame:
-    """Adds columns of each key's first row, by one small row for each key."""
-    own = F.struct(*[c.alias(n) for n, c in columns.items()])
-    few = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(own, F.struct(order)).alias("_first"))
-    return rows.join(few, rows[key].eqNullSafe(few["_key"]), "left").select(*rows.columns, *[F.col(f"_first.{n}").alias(n) for n in columns])
+def first_of(rows: DataFrame, columns: Columns, *, key: str = "link", order: str = "k") -> DataFrame:
+    """Adds columns of each key's first row."""
+    return carried(rows, key=key, order=(order,), first=columns)

@@ -11,6 +11,7 @@ from tallywire.operators import frames as O
 from tallywire.operators import ranges as R
 from tallywire.plans.register import query
 from tallywire.schema import COMMA, FIRST_FRAME_MASKS, STATUS_BITS, SYNC_PATTERN, TRAILER_PATTERN, UNKNOWN_SOURCE
+from tallywire.sources.folders import written
 from tallywire.sources.generators import frame_rows
 from tallywire.sources.views import FRAMES, FRAMES_PER_PACKET, frames, table
 
@@ -41,12 +42,13 @@ KEPT = f"""{STATUS}, kept AS (SELECT *, n // {FRAMES_PER_PACKET} AS pkt, n % {FR
     SELECT *, row_number() OVER (PARTITION BY link ORDER BY k) - 1 AS n FROM checked WHERE (status >> 24) & 3 = 0))"""
 
 
-def checked(spark, sf_dir):
-    return O.status(frames(spark, sf_dir))
+def checked(spark, sf_dir, **counts):
+    """Frames with their status. They are numbered once, in a table, so that numbering is not planned again for every use."""
+    return O.status(written(frames(spark, sf_dir), "frames"), counts=counts)
 
 
 def kept(spark, sf_dir):
-    return O.packetise(checked(spark, sf_dir), FRAMES_PER_PACKET)
+    return O.packetise(checked(spark, sf_dir, written=O.promoted), FRAMES_PER_PACKET, number="written")
 
 
 def _extract(word: str, layout: dict) -> str:
@@ -330,17 +332,13 @@ def read_counters(spark, sf_dir):
 
 @query(f"WITH {KEPT}, p AS (SELECT link, pkt, count(*) * 240 + 16 AS nbytes FROM kept GROUP BY link, pkt), d AS (SELECT link, count(*) FILTER ((status >> 24) & 3 <> 0) AS dropped FROM checked GROUP BY link) SELECT link, count(*) AS packets, CAST(sum(nbytes) AS BIGINT) AS bytes, arg_max(nbytes, pkt) AS last_bytes, max(nbytes) AS max_bytes, max(dropped) AS dropped FROM p JOIN d USING (link) GROUP BY link")
 def write_counters(spark, sf_dir):
-    frames_ = checked(spark, sf_dir)
-    packets = O.packetise(frames_, FRAMES_PER_PACKET).groupBy("link", "pkt").agg((F.count(F.lit(1)) * 240 + 16).alias("nbytes"))
-    dropped = frames_.groupBy("link").agg(F.count_if(~O.promoted()).alias("dropped"))
-    sums = packets.groupBy("link").agg(F.count(F.lit(1)).alias("packets"), F.sum("nbytes").alias("bytes"), F.max_by("nbytes", "pkt").alias("last_bytes"), F.max("nbytes").alias("max_bytes"))
-    return sums.join(dropped, "link")
+    return O.write_counters(checked(spark, sf_dir, written=O.promoted), FRAMES_PER_PACKET)
 
 
 @query(f"WITH {FRAMES}, e AS (SELECT link, k, tick, CASE WHEN k = 0 OR tick <> lag(tick) OVER w + 25 THEN tick END AS said FROM frames WINDOW w AS (PARTITION BY link ORDER BY k)) SELECT link, k, tick AS rebuilt FROM e")
 def rebuild_headers(spark, sf_dir):
     """Timestamps from those alone that the frame before does not predict: all of them again."""
-    rows = frames(spark, sf_dir).select("link", "k", "tick")
+    rows = written(frames(spark, sf_dir).select("link", "k", "tick"), "ticks")
     rows = R.previous(rows, {"tick": F.col("tick")})
     said = F.when(F.col("prev").isNull() | (F.col("tick") != F.col("prev.tick") + 25), F.col("tick"))
     return O.rebuild_headers(rows.select("link", "k", said.alias("tick"))).select("link", "k", "rebuilt")
@@ -367,7 +365,7 @@ def dual_stream_merge(spark, sf_dir):
 @query(f"""WITH {FRAMES}, c AS (SELECT link, k, (a0 >> 48) & 65535 AS convert FROM frames) SELECT link, k, CAST(convert AS BIGINT) AS convert FROM c""")
 def rebuild_converts(spark, sf_dir):
     """Convert counts from those alone that the frame before does not predict: all of them again."""
-    rows = frames(spark, sf_dir).select("link", "k", B.field(F.col("a0"), *B.COLD_WORD0["convert"]).alias("convert"))
+    rows = written(frames(spark, sf_dir).select("link", "k", B.field(F.col("a0"), *B.COLD_WORD0["convert"]).alias("convert")), "converts")
     rows = R.previous(rows, {"convert": F.col("convert")})
     said = F.when(F.col("prev").isNull() | (F.col("convert") != (F.col("prev.convert") + 1).bitwiseAND(B.lit(65535))), F.col("convert"))
     return O.rebuild_headers(rows.select("link", "k", said.alias("convert"))).select("link", "k", F.col("rebuilt_convert").alias("convert"))
@@ -385,7 +383,7 @@ def framing_check(spark, sf_dir):
     SELECT link, k, status FROM e WHERE before < 3""")
 def stop_after_errors(spark, sf_dir):
     """What a reader takes that stops at the third frame with a framing error."""
-    return O.until_errors(checked(spark, sf_dir), 3, ~O.good()).select("link", "k", "status")
+    return O.until_errors(checked(spark, sf_dir, errors=O.failed), 3, O.failed(), total="errors").select("link", "k", "status")
 
 
 @query("SELECT event_id, (1000 * us + 10) // 20 AS ticks, ((1000 * us + 10) // 20) // 25600 AS pkt, CAST(((1000 * us + 10) // 20) % 25600 AS BIGINT) AS at FROM (SELECT event_id, epoch_us(ts) AS us FROM events)")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.functions.scalars import floor_div
+from tallywire.sources.folders import names, shared_root
 
 
 def packets_by_tick(stream: DataFrame, *, samples: int = 16, key: str = "ch", tick: str = "seq", value: str = "adc") -> DataFrame:
@@ -77,18 +75,6 @@ def fan_out(sinks):
     return each
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as in
-    tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tallywire-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replay(rows: DataFrame, operator) -> DataFrame:
     """Write rows as files, stream the files through an aggregating operator, and return its last table."""
     spark = rows.sparkSession
@@ -97,7 +83,7 @@ def replay(rows: DataFrame, operator) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     result = operator(stream)
     run_available(result, f"{root}/run", mode="complete", batch=lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/{number}"))
-    last = max((int(p) for p in _names(spark, f"{root}/out")), default=None)
+    last = max((int(p) for p in names(spark, f"{root}/out")), default=None)
     return spark.read.parquet(f"{root}/out/{last}")
 
 
@@ -113,8 +99,3 @@ def replay_append(tables: list[DataFrame], operator) -> DataFrame:
     run_available(result, f"{root}/run")
     return spark.read.schema(result.schema).parquet(f"{root}/run/data")
 
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []

@@ -126,13 +126,45 @@ def test_ranges_against_plain_windows(spark):
     assert ranges.numbered(df.limit(0), out="number").collect() == []
 
 
-def test_no_window_over_a_link_alone(spark):
-    """Frames are windowed within ranges of a link; only small rows, one for each range, by the link."""
+def _exchanges(df):
+    """Of the plan as it is before anything runs: scans, and the columns of each exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?:FileScan|Scan parquet|Scan ExistingRDD)", plan)), re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan), plan
+
+
+def test_frames_are_dealt_out_once(spark, sf):
+    """Two scans, one for the small rows of ranges and one for frames; frames move once, by link and range, and only small rows by the
+    link alone."""
+    from tallywire import catalogue
+
+    small = ["_key, _range", "_of"]  # grouped by range, then windowed by link
+    more = {"status_flags": 0, "good_frames": 0, "packetise": 0, "stop_after_errors": 0, "read_counters": 1, "packet_status_or": 1, "write_counters": 2}
+    for limit in ("10MB", "-1"):  # small rows are broadcast, or moved to the rows
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            for name, groups in more.items():
+                scans, by, plan = _exchanges(catalogue.QUERIES[name](spark, sf))
+                by = sorted(re.sub(r"#\d+L?", "", c) for c in by)
+                assert scans == 2, (name, plan)
+                moved = [c for c in by if c not in ("link", "link, pkt", "link, _groupingexpression")]
+                assert sorted(small + ["_key, _range"] + (["_of, _at"] if limit == "-1" else [])) == moved and len(by) == len(moved) + groups, (name, by)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     frame = _frames(spark, [{}] * 40)
     for df in (frames.status(frame), frames.packetise(frames.status(frame), 4)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         for window in re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan):
-            assert "_range" in window or "_key" in window, window
+            assert "_range" in window or "_of" in window, window
+
+
+def test_known_values_are_carried(spark):
+    """The last value that is not null, over the ends of ranges."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, None]), k, rng.choice([None, None, None, k * 3])) for k in range(200)]
+    df = spark.createDataFrame(rows, "link long, k long, v long")
+    for r in ranges.carried(df, by=ranges.by_number("k", 16), known={"last": F.col("v")}).collect():
+        said = [(v, k) for link, k, v in rows if link == r.link and k <= r.k and v is not None]
+        assert (tuple(r.last) if r.last else None) == (said[-1] if said else None)
 
 
 def test_whole_division(spark):

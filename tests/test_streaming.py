@@ -1,11 +1,12 @@
 from pyspark.sql import functions as F
 
+from tallywire.sources.folders import shared_root
 from tallywire.streaming import counters as C
 
 
 def test_exact_count_packets(spark):
     rows = spark.range(0, 50).select((F.col("id") % 2).alias("link"), F.floor(F.col("id") / 2).alias("k"))
-    root = C.shared_root(spark)
+    root = shared_root(spark)
     rows.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     C.run_available(C.count_packets(stream, size=10), f"{root}/run")
@@ -15,7 +16,7 @@ def test_exact_count_packets(spark):
 
 def test_watermarked_rates(spark):
     rows = spark.range(0, 500).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(2).alias("bytes"))
-    root = C.shared_root(spark)
+    root = shared_root(spark)
     rows.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     C.run_available(C.windowed_rates(stream), f"{root}/run")
@@ -24,7 +25,7 @@ def test_watermarked_rates(spark):
 
 
 def test_stream_join_around_triggers(spark):
-    root = C.shared_root(spark)
+    root = shared_root(spark)
     at = F.timestamp_seconds(F.col("id") * 10)
     spark.range(0, 60).select(F.lit(1).alias("src"), at.alias("at"), "id").coalesce(1).write.parquet(f"{root}/p")
     spark.range(10, 40, 10).select(F.lit(1).alias("trg_src"), at.alias("t0"), F.col("id").alias("trg")).coalesce(1).write.parquet(f"{root}/t")
