@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.functions.bits import COLD_WORD0, COLD_WORD1, FRAME_HEADER, compose, field, lit, pack_adcs, unpack_adcs
+from tallywire.functions.scalars import floor_div
 from tallywire.schema import CHANNELS, COMMA, FRAME_WORDS, SAMPLES_PER_PACKET, VERSION
+from tallywire.sources.files import SPLIT, opened, read_fixed, read_range, write_fixed
+from tallywire.sources.folders import written
 
 #: Words of one of a frame's two streams: two of headers, twelve of samples.
 STREAM_WORDS = 14
@@ -36,65 +39,78 @@ def create_frames(samples: DataFrame, *, source: Column, tick: Column, number: C
     return samples.withColumn("words", F.array(*words))
 
 
-def words_of(content: Column, n: int = FRAME_WORDS) -> Column:
-    """array<array<long>>: little-endian 64-bit words of a binary column, n to a frame; a rest that fills no frame is left out."""
-    word = lambda f, i: F.conv(_swapped(F.hex(F.substring(content, (f * n + i) * 8 + 1, F.lit(8)))), 16, -10).cast("decimal(20,0)").cast("long")
-    frames = F.floor(F.octet_length(content) / (8 * n)).cast("int")
-    listed = F.transform(F.sequence(F.lit(1), frames), lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: word(f - 1, i)))
-    return F.when(frames > 0, listed).otherwise(F.array().cast("array<array<bigint>>"))
+def read_frames(spark: SparkSession, path: str, *, split: int = SPLIT) -> DataFrame:
+    """(file, k, words): the frames of binary files, by byte ranges. A frame that is cut short ends its file."""
+    return read_fixed(spark, path, word="i64", words=FRAME_WORDS, split=split).withColumnRenamed("n", "k")
 
 
-def _swapped(digits: Column) -> Column:
-    return F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))), "")
+def write_frames(frames: DataFrame, path: str, *, words: str = "words") -> None:
+    """Frames (words) as binary files, one for each partition, in the order of its rows."""
+    write_fixed(frames, path, word="i64", words=FRAME_WORDS, column=words)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(file, k, words): the frames of binary files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("file"), F.posexplode(words_of(F.col("content"))).alias("k", "words"))
+def write_samples(packets: DataFrame, path: str, *, samples: int = SAMPLES_PER_PACKET, channels: int = CHANNELS, adcs: str = "adcs") -> None:
+    """Packets, each an array of samples time-major, as dumps of unsigned 16-bit numbers."""
+    write_fixed(packets, path, word="u16", words=samples * channels, column=adcs)
 
 
-def read_samples(spark: SparkSession, path: str, *, samples: int = SAMPLES_PER_PACKET, channels: int = CHANNELS) -> DataFrame:
-    """(file, pkt, ch, adcs array<int>): dumps of unsigned 16-bit samples, time-major, turned channel-major. A packet that is cut
-    short ends its file."""
-    size = 2 * samples * channels
+def read_samples(spark: SparkSession, path: str, *, samples: int = SAMPLES_PER_PACKET, channels: int = CHANNELS, split: int = SPLIT) -> DataFrame:
+    """(file, pkt, ch, adcs array<int>): dumps of unsigned 16-bit samples, time-major, turned channel-major; read by byte ranges. A
+    packet that is cut short ends its file."""
 
-    def run(batches):
+    def turned(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw = memoryview(content.as_buffer())
-                for pkt in range(len(raw) // size):
-                    grid = np.frombuffer(raw[pkt * size : (pkt + 1) * size], dtype="<u2").reshape(samples, channels).T.astype(np.int32)
-                    lists = pa.ListArray.from_arrays(np.arange(0, samples * channels + 1, samples, dtype=np.int32), pa.array(grid.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * channels), pa.array([pkt] * channels, pa.int64()), pa.array(range(channels), pa.int32()), lists], names=["file", "pkt", "ch", "adcs"])
+            grid = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, samples, channels).transpose(0, 2, 1)
+            rows = batch.num_rows * channels
+            of = pa.array(np.repeat(np.arange(batch.num_rows), channels))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * samples), pa.array(np.ascontiguousarray(grid, dtype=np.int32).ravel()))
+            ch = pa.array(np.tile(np.arange(channels, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), ch, lists], names=["file", "pkt", "ch", "adcs"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, pkt long, ch int, adcs array<int>")
+    packets = read_fixed(spark, path, word="u16", words=samples * channels, split=split)
+    return packets.mapInArrow(turned, "file string, pkt long, ch int, adcs array<int>")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, type, payload): records of a 32-bit little-endian size whose top four bits are the type, and the payload. A
-    record that is cut short ends its file."""
+    """(file, n, at, type, payload): records of a 32-bit little-endian size whose top four bits are the type, and the payload. A
+    record that is cut short ends its file.
 
-    def run(batches):
-        import struct
+    A task hops through a file from size to size, reading no payloads; these are then read by many tasks."""
 
+    def hop(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, at, rows = memoryview(content.as_buffer()), 0, []
-                while at + 4 <= len(raw):
-                    (head,) = struct.unpack_from("<I", raw, at)
-                    stop = at + 4 + (head & 0x0FFFFFFF)
-                    if stop > len(raw):
-                        break
-                    rows.append((name, len(rows), head >> 28, bytes(raw[at + 4 : stop])))
-                    at = stop
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "n", "type", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long, type int, payload binary")
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, place = opened(name)
+                with system.open_input_file(place) as file:
+                    at, n, rows = 0, 0, []
+                    while at + 4 <= size:
+                        head = int.from_bytes(file.read_at(4, at), "little")
+                        stop = at + 4 + (head & 0x0FFFFFFF)
+                        if stop > size:
+                            break
+                        rows.append((name, n, at, head >> 28, stop - at - 4))
+                        at, n = stop, n + 1
+                        if len(rows) == 10_000 or at + 4 > size:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "n", "at", "type", "size"])
+                            rows = []
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "n", "at", "type", "size"])
+
+    def take(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = [read_range(name, begin + 4, size) for name, begin, size in zip(*(part.column(i).to_pylist() for i in (0, 2, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(3).cast(pa.int32()), pa.array(data, pa.binary())], names=["file", "n", "at", "type", "payload"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    listed = written(files.mapInArrow(hop, "file string, n long, at long, type long, size long"), "records")
+    share = F.struct("file", floor_div(F.col("n"), 256))  # neighbours are read together
+    return listed.repartition(max(spark.sparkContext.defaultParallelism, listed.count() >> 14), share).mapInArrow(take, "file string, n long, at long, type int, payload binary")
