@@ -23,8 +23,7 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
     whose status has a property that run and framing bits alone decide, such as :func:`promoted`.
     """
     kept_columns, kept = frames.columns, FIRST_FRAME_MASKS[first_mask]
-    marks = {"run_disable": ~F.col("run_enable"), "flush": F.col("flush"), **framing(F.col("sof_bits"), F.col("eof_bits")), "eof_error": F.col("eof_error")}
-    marked = _word(marks)
+    marked = _word(_marks())
     counted = {n: has_it(marked).cast("int") for n, has_it in (counts or {}).items()}
     frames = carried(
         frames, key=key, order=(order,), sums=counted, previous={n: F.col(n) for n in ("tick", "a0", "b0", "a1", "b1")},
@@ -33,6 +32,16 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
     for n, has_it in (counts or {}).items():  # of the first frame, the kept bits count
         as_kept = has_it(F.col("first_marks").bitwiseAND(lit(kept))).cast("long") - has_it(F.col("first_marks")).cast("long")
         frames = frames.withColumn(n, F.col(n) + as_kept)
+    return status_of(frames, first_mask=first_mask).select(*[c for c in kept_columns if c != "status" and c not in counted], *counted, "status")
+
+
+def _marks() -> dict[str, Column]:
+    """The checks of a frame's run and framing bits."""
+    return {"run_disable": ~F.col("run_enable"), "flush": F.col("flush"), **framing(F.col("sof_bits"), F.col("eof_bits")), "eof_error": F.col("eof_error")}
+
+
+def status_of(frames: DataFrame, *, first_mask: str = "as_written") -> DataFrame:
+    """Adds status to frames that have their context: ``prev``, the words of the frame before, and ``first_id``, the id of the first."""
     head = lambda name: field(F.col("w0"), *FRAME_HEADER[name])
     checks = {
         "bad_comma": head("comma") != COMMA,
@@ -41,7 +50,7 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
         "bad_rsvd": F.lit(False),  # declared, never raised
         "bad_errors": head("errors") != 0,
         "bad_timestamp": F.col("tick") != F.col("prev.tick") + TICKS_PER_SAMPLE,
-        **marks,
+        **_marks(),
     }
     for n in (0, 1):
         a, b = F.col(f"a{n}"), F.col(f"b{n}")
@@ -57,7 +66,7 @@ def status(frames: DataFrame, *, first_mask: str = "as_written", key: str = "lin
             f"cd{n}_hdrs": hdrs != hdrs_before,
         }
     word = _word(checks)
-    return frames.select(*[c for c in kept_columns if c != "status" and c not in counted], *counted, F.when(F.col("prev").isNull(), word.bitwiseAND(lit(kept))).otherwise(word).alias("status"))
+    return frames.withColumn("status", F.when(F.col("prev").isNull(), word.bitwiseAND(lit(FIRST_FRAME_MASKS[first_mask]))).otherwise(word))
 
 
 def _word(checks: dict[str, Column]) -> Column:

@@ -1,4 +1,4 @@
-"""Queries through the entropy codec, checksums and streams."""
+"""Queries through the entropy codec, and checksums."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from tallywire.operators import codec as C
 from tallywire.operators import waveforms as W
 from tallywire.plans.register import query
 from tallywire.sources.generators import noise
-from tallywire.sources.views import SAMPLES, WAVES, samples, table, waves
-from tallywire.streaming.counters import packets_by_tick, replay, replay_append, triggered, windowed_rates
+from tallywire.sources.views import WAVES, table, waves
 
 
 def _arrays(spark, sf_dir):
@@ -50,27 +49,3 @@ def crc32_check(spark, sf_dir):
 @query()
 def prbs_noise(spark, sf_dir):
     return noise(spark, 16, 64).select("ch", F.array_join("noise", ",").alias("noise"))
-
-
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS beg, count(*) AS records, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY 1")
-def stream_rates(spark, sf_dir):
-    """Records and bytes by the hour, counted by a stream over written files; the same as a batch."""
-    rows = table(spark, sf_dir, "events").select("ts", F.length("props").alias("bytes"))
-    out = replay(rows.withColumn("ts", F.col("ts").cast("timestamp")), lambda stream: windowed_rates(stream, late="3650 days"))
-    return out.withColumn("beg", F.col("beg").cast("timestamp_ntz"))
-
-
-@query("""SELECT t.event_id AS trg_id, p.event_id AS event_id FROM events p JOIN events t ON p.user_id = t.user_id AND t.event_type = 'error' AND p.event_type <> 'error'
-    AND p.ts >= t.ts - INTERVAL 6 HOUR AND p.ts < t.ts + INTERVAL 6 HOUR""")
-def stream_trigger_window(spark, sf_dir):
-    """What lies six hours around each trigger, by a join of two streams. Files come in any order here, so the watermark waits for all."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.col("ts").cast("timestamp").alias("at"), "event_id", "event_type")
-    trg = rows.filter("event_type = 'error'").select(F.col("src").alias("trg_src"), F.col("at").alias("t0"), F.col("event_id").alias("trg_id"))
-    found = replay_append([rows.filter("event_type <> 'error'").drop("event_type"), trg], lambda p, t: triggered(p, t, before="6 hours", after="6 hours", late="3650 days"))
-    return found.select("trg_id", "event_id")
-
-
-@query(f"WITH {SAMPLES} SELECT ch, seq // 16 AS pkt, count(*) AS n, CAST(sum(adc) AS BIGINT) AS total FROM samples GROUP BY ch, seq // 16")
-def stream_packets(spark, sf_dir):
-    """Packets by tick, counted by a stream over written files; the same as a batch."""
-    return replay(samples(spark, sf_dir).select("ch", "seq", "adc"), packets_by_tick)

@@ -26,9 +26,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def names(spark: SparkSession, path: str) -> list[str]:
-    """What lies in a folder, through the file system that Spark uses for it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.functions.scalars import floor_div
-from tallywire.sources.folders import names, shared_root
+from tallywire.sources.folders import shared_root
 
 
-def packets_by_tick(stream: DataFrame, *, samples: int = 16, key: str = "ch", tick: str = "seq", value: str = "adc") -> DataFrame:
-    """Packets of a fixed number of ticks: their number follows from the tick alone, so no state but the sums is kept."""
-    return stream.groupBy(key, floor_div(F.col(tick), samples).alias("pkt")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+def packets_by_tick(stream: DataFrame, *, late: str, samples: int = 16, key: str = "ch", tick: str = "seq", value: str = "adc", at: str = "at") -> DataFrame:
+    """Packets of a fixed number of ticks, of which there is one a second in ``at``: a packet is a window of time, and goes out when the
+    watermark has passed it."""
+    rows = stream.withWatermark(at, late).groupBy(key, F.window(at, f"{samples} seconds").alias("w"), floor_div(F.col(tick), samples).alias("pkt"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(key, "pkt", "n", "total")
 
 
 def windowed_rates(stream: DataFrame, *, window: str = "1 hour", late: str = "2 hours", ts: str = "ts", size: str = "bytes") -> DataFrame:
@@ -32,30 +34,6 @@ def software_triggers(spark: SparkSession, per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("trg_id"), F.col("timestamp").alias("t0"))
 
 
-def count_packets(stream: DataFrame, *, size: int, key: str = "link") -> DataFrame:
-    """Packets of exactly ``size`` frames in the order of arrival: (key, pkt, frames, first, last) of frames (key, k).
-
-    The count carries over batches, so it is kept as state by key; an incomplete packet waits in it.
-    """
-    import pandas as pd
-
-    schema = f"{key} long, pkt long, frames long, first long, last long"
-
-    def step(group, frames, state):
-        pkt, n, first = state.get if state.exists else (0, 0, -1)
-        out = []
-        for k in sorted(k for part in frames for k in part["k"]):
-            first = k if n == 0 else first
-            n += 1
-            if n == size:
-                out.append((group[0], pkt, n, first, k))
-                pkt, n = pkt + 1, 0
-        state.update((pkt, n, first))
-        yield pd.DataFrame(out, columns=[key, "pkt", "frames", "first", "last"])
-
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "pkt long, n long, first long", "append", "NoTimeout")
-
-
 def run_available(result: DataFrame, path: str, *, mode: str = "append", batch=None) -> None:
     """Run a stream over all that is there, then stop. The checkpoint lies beside the result, so a restart goes on."""
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
@@ -75,27 +53,32 @@ def fan_out(sinks):
     return each
 
 
-def replay(rows: DataFrame, operator) -> DataFrame:
-    """Write rows as files, stream the files through an aggregating operator, and return its last table."""
-    spark = rows.sparkSession
-    root = shared_root(spark)
-    rows.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
-    result = operator(stream)
-    run_available(result, f"{root}/run", mode="complete", batch=lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/{number}"))
-    last = max((int(p) for p in names(spark, f"{root}/out")), default=None)
-    return spark.read.parquet(f"{root}/out/{last}")
-
+def replay(tables: list[DataFrame], operator, *, order: str, slices: int = 2, tail: list[DataFrame] | None = None) -> DataFrame:
+    """Stream tables through an operator in slices of time, and return all rows that it added.
 
-def replay_append(tables: list[DataFrame], operator) -> DataFrame:
-    """Write tables as files, stream the files through an operator that only adds rows, and return all it added."""
+    The tables are cut at the same times and written slice by slice; after each slice the query goes on from its checkpoint over
+    what is there and stops, so that every slice begins with a restart. ``tail`` is a last slice, such as rows that push the watermark
+    on."""
     spark = tables[0].sparkSession
     root = shared_root(spark)
-    streams = []
-    for i, rows in enumerate(tables):
-        rows.write.parquet(f"{root}/in{i}")
-        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in{i}"))
+    times = [t.select(F.col(order).alias("t")) for t in tables]
+    every = times[0]
+    for t in times[1:]:
+        every = every.unionByName(t)
+    shares = [i / slices for i in range(1, slices)]
+    cuts = every.select(F.unix_micros("t").alias("t")).agg(F.percentile_approx("t", F.lit(shares)) if shares else F.array()).first()[0] or []
+    at = F.unix_micros(order)
+    bounds = [(a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+    for i, t in enumerate(tables):
+        t.limit(0).write.parquet(f"{root}/in{i}")  # the folders are there before the streams
+    streams = [spark.readStream.schema(t.schema).parquet(f"{root}/in{i}") for i, t in enumerate(tables)]
     result = operator(*streams)
-    run_available(result, f"{root}/run")
+    for k, (low, high) in enumerate([*bounds, (None, None)] if tail else bounds):
+        last = bool(tail) and k == len(bounds)
+        for i, rows in enumerate(tail if last else tables):
+            if not last:
+                rows = rows if low is None else rows.filter(at > low)
+                rows = rows if high is None else rows.filter(at.isNull() | (at <= high)) if k == 0 else rows.filter(at <= high)
+            rows.write.mode("append").parquet(f"{root}/in{i}")
+        run_available(result, f"{root}/run")
     return spark.read.schema(result.schema).parquet(f"{root}/run/data")
-

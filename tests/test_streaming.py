@@ -1,17 +1,22 @@
+import json
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from tallywire.operators import frames as O
 from tallywire.sources.folders import shared_root
+from tallywire.sources.views import frames
 from tallywire.streaming import counters as C
+from tallywire.streaming import state as S
 
 
-def test_exact_count_packets(spark):
-    rows = spark.range(0, 50).select((F.col("id") % 2).alias("link"), F.floor(F.col("id") / 2).alias("k"))
-    root = shared_root(spark)
-    rows.coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    C.run_available(C.count_packets(stream, size=10), f"{root}/run")
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/run/data").collect())
-    assert got == [(link, p, 10, 10 * p, 10 * p + 9) for link in (0, 1) for p in (0, 1)]
+def _run(spark, result, root, mode="append"):
+    """Runs a stream over what is there, and tells the state rows it is left with."""
+    writer = result.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/checkpoint")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(op["numRowsTotal"] for op in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
 
 
 def test_watermarked_rates(spark):
@@ -35,7 +40,92 @@ def test_stream_join_around_triggers(spark):
     assert got == [(t, t + d) for t in (10, 20, 30) for d in (-2, -1, 0, 1)]
 
 
+def test_software_triggers(spark):
+    root = shared_root(spark)
+    made = C.software_triggers(spark, 20)
+    query = made.writeStream.format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/c").start()
+    while query.lastProgress is None or not spark.read.schema(made.schema).parquet(f"{root}/data").count():
+        assert query.isActive
+    query.stop()
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{root}/data").collect())
+    assert [n for n, _ in rows] == list(range(len(rows)))
+    assert rows[-1][1] > rows[0][1] or len(rows) == 1
+
+
 def test_fan_out(spark):
     seen = []
     C.fan_out([lambda b, n: seen.append(("a", n, b.count())), lambda b, n: seen.append(("b", n, b.count()))])(spark.range(3), 7)
     assert seen == [("a", 7, 3), ("b", 7, 3)]
+
+
+class Feed:
+    """A folder that is streamed, batch by batch, with a restart of the query before each."""
+
+    def __init__(self, spark, schema, operator):
+        self.spark, self.schema, self.operator, self.root = S.with_timers(spark), schema, operator, shared_root(spark)
+        spark.createDataFrame([], schema).write.parquet(f"{self.root}/in")
+
+    def add(self, rows):
+        self.spark.createDataFrame(rows, self.schema).repartition(2).write.mode("append").parquet(f"{self.root}/in")
+        return _run(self.spark, self.operator(self.spark.readStream.schema(self.spark.read.parquet(f"{self.root}/in").schema).parquet(f"{self.root}/in")), self.root)
+
+    def rows(self):
+        return sorted((tuple(r) for r in self.spark.read.parquet(f"{self.root}/data").collect()), key=repr)
+
+
+def test_packets_flush_and_forget(spark):
+    """Full packets at once; a flush frame closes its key's packet; a key that is idle is flushed by its timer, and no state is left."""
+    t = lambda s: __import__("datetime").datetime.fromtimestamp(1_700_000_000 + s)
+    schema = "ch long, seq long, value long, flush boolean, at timestamp"
+    feed = Feed(spark, schema, lambda s: S.packets_by_count(s, size=4, idle="60 seconds", late="10 seconds"))
+    feed.add([(1, i, i, False, t(i)) for i in range(6)] + [(2, i, 1, False, t(i)) for i in range(3)] + [(None, 0, None, False, t(0))])
+    assert feed.rows() == [(1, 0, 3, 4, 6, False)]
+    feed.add([(1, i, i, False, t(i)) for i in range(4, 9)] + [(2, None, None, True, t(9)), (3, 7, 7, False, t(9)), (4, None, None, True, t(9))])
+    # frames 4 and 5 came again and count once
+    assert feed.rows() == [(1, 0, 3, 4, 6, False), (1, 4, 7, 4, 22, False), (2, 0, 2, 3, 3, True)]
+    left = feed.add([(9, 1, 1, False, t(500))])
+    assert [r for r in feed.rows() if r[0] != 9][-2:] == [(3, 7, 7, 1, 7, True), (None, 0, 0, 1, 0, True)] and (1, 8, 8, 1, 8, True) in feed.rows()
+    last = feed.add([(9, None, None, True, t(501)), (None, None, None, True, t(5000))])
+    assert (9, 1, 1, 1, 1, True) in feed.rows() and len(feed.rows()) == 7
+    assert last[-1] < left[0]  # the state of all but the latest is gone
+    assert last[-1] == 0, last
+
+
+def test_stream_status_equals_batch(spark, sf):
+    """Over restarts, with repeated frames, equal to the batch."""
+    rows = frames(spark, sf).filter("k < 40").cache()
+    want = sorted((r.link, r.k, r.status) for r in O.status(rows).collect())
+    feed = Feed(spark, rows.schema, lambda s: S.stream_status(s).select("link", "k", "status"))
+    every = [tuple(r) for r in rows.collect()]
+    left = [feed.add([r for r in every if low <= r[1] < high]) for low, high in ((0, 15), (10, 16), (16, 40))]
+    assert feed.rows() == sorted(want, key=repr)
+    assert left[0][-1] == left[-1][-1]  # one row a link, whatever has passed
+
+
+@pytest.mark.parametrize("late", [0, 30])
+def test_gating_in_any_order(spark, late):
+    rng = random.Random(5)
+    t = lambda s: __import__("datetime").datetime.fromtimestamp(1_700_000_000 + s)
+    rows = [(rng.choice([1, 2, None]), i, rng.randrange(10 * i, 10 * i + 1 + late), rng.choice([0, 0, 0, 1, 2])) for i in range(60)]
+    schema = "ch long, id long, at timestamp, cmd int"
+    feed = Feed(spark, schema, lambda s: S.gated(s.filter("cmd = 0"), s.filter("cmd <> 0"), late="40 seconds"))
+    mixed = [rows[i : i + 20] for i in range(0, 60, 20)]
+    for part in mixed:
+        rng.shuffle(part)
+        feed.add([(c, i, t(s), cmd) for c, i, s, cmd in part])
+    feed.add([(7, 1000, t(5000), 0)])
+    want, on = [], {}
+    for c, i, s, cmd in sorted(rows, key=lambda r: (r[2], r[1])):
+        on[c] = cmd == 1 or (on.get(c, False) and cmd != 2)
+        want.append((c, i, t(s), cmd, on[c]))
+    assert feed.rows() == sorted(want, key=repr)
+
+
+def test_reconnect_and_restart(spark):
+    """A gap within a connection is told, one over a new connection is not; rows that come twice count once."""
+    feed = Feed(spark, "link long, epoch long, seq long", S.sequence_gaps)
+    feed.add([(1, 0, s) for s in (5, 6, 9)] + [(2, 0, 1)])
+    feed.add([(1, 0, 9), (1, 0, 10), (1, 1, 0), (1, 1, 3), (2, 0, 2)])
+    feed.add([(1, 1, 4), (1, 2, 77)])
+    want = [(1, 0, 5, 0), (1, 0, 6, 0), (1, 0, 9, 2), (1, 0, 10, 0), (1, 1, 0, 0), (1, 1, 3, 2), (1, 1, 4, 0), (1, 2, 77, 0), (2, 0, 1, 0), (2, 0, 2, 0)]
+    assert feed.rows() == sorted(want, key=repr)
