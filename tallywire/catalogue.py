@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywire.plans import codecs, control, files, frames, monitoring, streams, triggers, waveforms
+from tallywire.plans import codecs, control, files, frames, monitoring, packets, streams, triggers, waveforms
 from tallywire.plans.register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "codecs", "control", "files", "frames", "monitoring", "streams", "triggers", "waveforms"]
+__all__ = ["ORACLES", "QUERIES", "codecs", "control", "files", "frames", "monitoring", "packets", "streams", "triggers", "waveforms"]

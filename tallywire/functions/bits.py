@@ -111,6 +111,17 @@ def little_endian(data: Column, at: int, n: int = 4) -> Column:
     return F.conv(swapped(F.hex(F.substring(data, at + 1, n)), n), 16, 10).cast("decimal(20,0)").cast("long")
 
 
+def digits_of(word: Column, n: int = 8) -> Column:
+    """The n low bytes of a word as hexadecimal digits, least byte first: as they stand in a file."""
+    return swapped(F.substring(F.lpad(F.hex(word.cast("long")), 16, "0"), 17 - 2 * n, 2 * n), n)
+
+
+def word_at(data: Column, at: Column, n: int = 8) -> Column:
+    """The little-endian number of ``n`` bytes from byte ``at`` (0 is the first) of a binary column; one of eight is signed."""
+    taken = F.conv(swapped(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(n))), n), 16, -10)
+    return taken.cast("decimal(20,0)").cast("long")
+
+
 def swapped(digits: Column, n: int) -> Column:
     """Hexadecimal digits of n bytes with the bytes in the other order."""
     return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
