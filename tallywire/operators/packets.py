@@ -55,10 +55,19 @@ def _closed(body: Column, status: Column, record_type: int, version: Column) ->
 def _read_closing(packets: DataFrame, record_type: int) -> DataFrame:
     """Adds status and sound: the trailer's own length, type and pattern are right."""
     size = F.octet_length("payload")
-    first, second = word_at(F.col("payload"), size - 16), word_at(F.col("payload"), size - 8)
+    closed = (size >= CLOSING) & (size % 8 == 0)
+    taken = _made(packets, _first=F.when(closed, word_at(F.col("payload"), size - 16)), _second=F.when(closed, word_at(F.col("payload"), size - 8)))
+    first, second = F.col("_first"), F.col("_second")
     right = (field(first, *TRAILER["nbytes"]) == size) & (field(first, *TRAILER["record_type"]) == record_type) & (field(second, 32, 32) == lit(TRAILER_PATTERN))
-    sound = (size >= CLOSING) & (size % 8 == 0) & right
-    return packets.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("status", F.when(F.col("sound"), field(first, *TRAILER["status"])))
+    right = F.coalesce(right, F.lit(False))
+    return _made(taken, sound=right, status=F.when(right, field(first, *TRAILER["status"]))).drop("_first", "_second")
+
+
+def _made(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are made once for a row, however often they are looked at: what a generator makes is not put in for its name."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_one")
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select("*", one).select(*kept, *[F.col(f"_one.{n}").alias(n) for n in columns])
 
 
 def _whole(digits: Column) -> Column:
@@ -82,8 +91,8 @@ def copied_frames(packets: DataFrame, *, n: int = FRAME_WORDS) -> DataFrame:
     row without a frame."""
     whole = _read_closing(packets, COPY)
     count = F.call_function("div", (F.octet_length("payload") - CLOSING).cast("long"), lit(8 * n))
-    fits = F.col("sound") & (F.pmod(F.octet_length("payload") - CLOSING, F.lit(8 * n)) == 0) & (count > 0)
-    rows = whole.withColumn("sound", fits).withColumn("frame", F.explode_outer(F.when(fits, F.sequence(lit(0), count - 1))))
+    fits = F.coalesce(F.col("sound") & (F.pmod(F.octet_length("payload") - CLOSING, F.lit(8 * n)) == 0) & (count > 0), F.lit(False))
+    rows = _made(whole, sound=fits).withColumn("frame", F.explode_outer(F.when(F.col("sound"), F.sequence(lit(0), count - 1))))
     words = F.transform(F.sequence(lit(0), lit(n - 1)), lambda i: word_at(F.col("payload"), (F.col("frame") * n + i) * 8))
     return rows.withColumn("words", F.when(F.col("frame").isNotNull(), words)).drop("payload")
 
@@ -113,23 +122,23 @@ def channel_blocks(packets: DataFrame, *, channels: str = "channels") -> DataFra
     where the table begins, or the packet is not sound and is one row without samples."""
     whole = _read_closing(packets, COMPRESSED)
     data, size = F.col("payload"), F.octet_length("payload")
-    whole = whole.withColumn("_told", F.when(F.col("sound") & (size >= CLOSING + 8), word_at(data, size - CLOSING - 8)))
+    whole = _made(whole, _told=F.when(F.col("sound") & (size >= CLOSING + 8), word_at(data, size - CLOSING - 8)))
     told = lambda name: field(F.col("_told"), *TOC_TRAILER[name])
-    start = size - CLOSING - 8 * told("n64")
-    n, each = told("channels") + 1, told("samples") + 1
-    right = (told("format") == TOC_FORMAT) & (told("type") == TOC_TYPE) & (start >= 0) & (F.size(channels) == n) & (told("n64") == F.ceil((n + 1) / 2) + 1)
-    whole = whole.withColumn("_start", start).withColumn("_n", n).withColumn("_each", each).withColumn("sound", F.coalesce(right, F.lit(False)))
+    whole = _made(whole, _start=size - CLOSING - 8 * told("n64"), _n=told("channels") + 1, _each=told("samples") + 1)
+    right = (told("format") == TOC_FORMAT) & (told("type") == TOC_TYPE) & (F.col("_start") >= 0) & (F.size(channels) == F.col("_n")) & (told("n64") == F.ceil((F.col("_n") + 1) / 2) + 1)
     offsets = F.transform(F.sequence(lit(0), F.col("_n")), lambda i: word_at(data, F.col("_start") + 4 * i, 4))
-    whole = whole.withColumn("_offsets", F.when(F.col("sound"), offsets))
+    whole = _made(whole, _offsets=F.when(F.coalesce(right, F.lit(False)), offsets))
     rise = F.forall(F.sequence(lit(1), F.col("_n")), lambda i: F.get("_offsets", i.cast("int")) >= F.get("_offsets", (i - 1).cast("int")))
     ends = (F.get("_offsets", F.lit(0)) == 0) & (F.ceil(F.element_at("_offsets", -1) / 64) * 8 == F.col("_start"))
-    whole = whole.withColumn("sound", F.coalesce(F.col("sound") & rise & ends, F.lit(False)))
+    whole = _made(whole, sound=F.when(F.col("_offsets").isNull(), F.lit(False)).otherwise(F.coalesce(rise & ends, F.lit(False))))
     rows = whole.withColumn("_i", F.explode_outer(F.when(F.col("sound"), F.sequence(lit(0), F.col("_n") - 1))))
     begin, end = (F.call_function("div", F.get("_offsets", (F.col("_i") + k).cast("int")), lit(8)) for k in (0, 1))
-    held = F.least(F.col("_each"), F.call_function("div", end - begin, lit(2)))
-    adcs = F.transform(F.sequence(lit(0), held - 1), lambda i: word_at(data, begin + 2 * i, 2))
-    rows = rows.withColumn("ch", F.get(channels, F.col("_i").cast("int"))).withColumn("adcs", F.when(F.col("_i").isNotNull(), F.when(held > 0, adcs).otherwise(F.array().cast("array<bigint>"))))
-    return rows.drop("payload", "status", channels, "_told", "_start", "_n", "_each", "_offsets", "_i")
+    held = F.when(F.col("_i").isNotNull(), F.least(F.col("_each"), F.call_function("div", end - begin, lit(2))))
+    rows = _made(rows, _begin=begin, _held=held)
+    adcs = F.transform(F.sequence(lit(0), F.col("_held") - 1), lambda i: word_at(data, F.col("_begin") + 2 * i, 2))
+    adcs = F.when(F.col("_held") > 0, adcs).when(F.col("_held") == 0, F.array().cast("array<bigint>"))
+    rows = rows.withColumn("ch", F.get(channels, F.col("_i").cast("int"))).withColumn("adcs", adcs)
+    return rows.drop("payload", "status", channels, "_told", "_start", "_n", "_each", "_offsets", "_i", "_begin", "_held")
 
 
 # ---- header records
@@ -163,17 +172,16 @@ def rebuilt_frames(records: DataFrame, *, most: int = MAX_EXCEPTIONS) -> DataFra
     data, head = F.col("record"), word_at(F.col("record"), lit(0))
     part = lambda name: field(head, *RECORD_WORD[name])
     n = len(HEADERS)
-    rows = records.withColumn("_found", part("exceptions")).withColumn("_n64", part("n64"))
-    rows = rows.withColumn("_kept", F.least("_found", lit(most))).withColumn("_frames", word_at(data, lit(8 * (n + 2))))
+    rows = _made(records, _found=part("exceptions"), _n64=part("n64"), _kept=F.least(part("exceptions"), lit(most)), _frames=word_at(data, lit(8 * (n + 2))))
     place = (F.col("_n64") - F.ceil(F.col("_kept") / 4)) * 8  # entries end the record
     entry = lambda i: word_at(data, place + 2 * i, 2)
     of = lambda i: F.struct(field(entry(i), *EXCEPTION["frame"]).alias("frame"), field(entry(i), *EXCEPTION["mask"]).alias("mask"))
     entries = F.when(F.col("_kept") > 0, F.transform(F.sequence(lit(0), F.col("_kept") - 1), of)).otherwise(F.array().cast("array<struct<frame:bigint,mask:bigint>>"))
-    rows = rows.withColumn("_entries", entries)
+    rows = _made(rows, _entries=entries)
     # where an exception's words begin: behind those of the exceptions before it
     counts = F.transform("_entries", lambda e: F.bit_count(e["mask"]).cast("long"))
     starts = F.aggregate(counts, F.array(lit(0)), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c)))
-    rows = rows.withColumn("_starts", starts)
+    rows = _made(rows, _starts=starts)
 
     def known(w: int) -> Column:
         """Of word w, the frames at which it is told, and its values."""
@@ -183,7 +191,7 @@ def rebuilt_frames(records: DataFrame, *, most: int = MAX_EXCEPTIONS) -> DataFra
         told = F.transform(F.filter(told, lambda e: field(e["mask"], w, 1) == 1), lambda e: F.struct(e["frame"].alias("frame"), e["value"].alias("value")))
         return F.concat(F.array(first), told)
 
-    rows = rows.select("*", *[known(w).alias(f"_w{w}") for w in range(n)])
+    rows = _made(rows, **{f"_w{w}": known(w) for w in range(n)})
     rows = rows.withColumn("frame", F.explode(F.sequence(lit(0), F.col("_frames") - 1)))
     lost = (F.col("_found") > most) & (F.col("frame") > F.get("_entries", F.size("_entries") - 1)["frame"])
 
@@ -191,6 +199,6 @@ def rebuilt_frames(records: DataFrame, *, most: int = MAX_EXCEPTIONS) -> DataFra
         last = F.element_at(F.filter(f"_w{w}", lambda k: k["frame"] <= F.col("frame")), -1)
         return F.when(~F.col("lost"), _later(last["value"], kind, F.col("frame") - last["frame"]))
 
-    rows = rows.withColumn("lost", F.coalesce(lost, F.lit(False)))
+    rows = _made(rows, lost=F.coalesce(lost, F.lit(False)))
     others = [c for c in records.columns if c != "record"]
     return rows.select(*others, "frame", "lost", *[at(w, kind).alias(name) for w, (name, kind) in enumerate(HEADERS.items())])
