@@ -74,6 +74,56 @@ def bit_length(x: Column) -> Column:
     return F.when(x > 0, F.length(F.bin(x))).otherwise(0)
 
 
+def count_ones(x: Column, bits: int = 64) -> Column:
+    """Bits that are set among the low ``bits`` of a word."""
+    return F.bit_count(field(x, 0, bits) if bits < 64 else x).cast("long")
+
+
+def find_first(x: Column, bits: int = 32) -> Column:
+    """Place of the first set bit of a word of ``bits``, the leftmost being 0; ``bits`` if none is set."""
+    return (bits - bit_length(field(x, 0, bits))).cast("long")
+
+
+def find_last(x: Column, bits: int = 32) -> Column:
+    """Place of the last set bit from the right; ``bits`` if none is set."""
+    low = field(x, 0, bits)
+    lowest = low.bitwiseAND(F.bitwise_not(low) + 1)
+    return F.when(low == 0, bits).otherwise(bit_length(lowest) - 1).cast("long")
+
+
+def extract_left(x: Column, at: int, n: int, bits: int = 32) -> Column:
+    """``n`` bits of a word of ``bits`` from place ``at``, counted from the left."""
+    return field(x, bits - at - n, n)
+
+
+def tree_counts(mask: Column, bits: int = 32) -> dict[str, Column]:
+    """Of the binary tree over a mask (a node is set if any bit below it is), the pairs of siblings that are 01, 10 and 11 (right, left, both
+    set), over all levels. A level is the one below it, its pairs joined by OR; a pair is counted where both levels' bits still stand
+    in place, spread by the level's width."""
+    counts = {"n01": lit(0), "n10": lit(0), "n11": lit(0)}
+    level, width = field(mask, 0, bits), 1
+    while width < bits:
+        places = lit(sum(1 << i for i in range(0, bits, 2 * width)))
+        right, left = level.bitwiseAND(places), F.shiftrightunsigned(level, width).bitwiseAND(places)
+        for name, pair in (("n01", right.bitwiseAND(F.bitwise_not(left))), ("n10", left.bitwiseAND(F.bitwise_not(right))), ("n11", right.bitwiseAND(left))):
+            counts[name] = counts[name] + F.bit_count(pair)
+        level, width = right.bitwiseOR(left), 2 * width
+    return counts
+
+
+def tree_size(mask: Column, bits: int = 32) -> Column:
+    """struct<scheme, bits>: how a mask is coded shortest as a binary tree. A pair of siblings takes two bits, but one for the pattern that
+    the scheme favours (1: 01, 2: 10, 3: 11) and none where nothing is set; scheme 0 is the mask itself, which an empty one is too.
+    Of equal sizes the lowest scheme counts, but the mask itself only if it is shorter than scheme 1."""
+    n = tree_counts(mask, bits)
+    twice = 2 * (n["n01"] + n["n10"] + n["n11"])
+    sizes = [twice - n["n01"], twice - n["n10"], twice - n["n11"]]
+    best = F.when(lit(bits) < sizes[0], F.struct(lit(0).alias("scheme"), lit(bits).alias("bits"))).otherwise(F.struct(lit(1).alias("scheme"), sizes[0].alias("bits")))
+    for scheme, size in ((2, sizes[1]), (3, sizes[2])):
+        best = F.transform(F.array(best), lambda b: F.when(size < b["bits"], F.struct(lit(scheme).alias("scheme"), size.alias("bits"))).otherwise(b))[0]  # noqa: B023
+    return F.when(field(mask, 0, bits) == 0, F.struct(lit(0).alias("scheme"), lit(bits).alias("bits"))).otherwise(best)
+
+
 def unpack_adcs(words: list[Column]) -> list[Column]:
     """Sixteen 12-bit samples of three 64-bit words: groups of 48 bits in which the high nibbles of a pair share a byte."""
     w0, w1, w2 = words

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.bits import bit_length, unzigzag, zigzag
+from tallywire.functions.bits import bit_length, compose, field, unzigzag, zigzag
 from tallywire.functions.scalars import floor_div
 from tallywire.schema import HISTOGRAM_BINS
 
@@ -73,6 +73,26 @@ def header_bits(bins: DataFrame, keys: tuple[str, ...] = ("ch", "pkt"), most: in
     return bins.withColumn("bits", F.least(bit_length(left), widest)).groupBy(*keys).agg((F.sum("bits") + 32).cast("long").alias("header_bits"))
 
 
+def histogram_header(bins: DataFrame, firsts: DataFrame, keys: tuple[str, ...] = ("ch", "pkt"), *, most: int = 1023, size: int = HISTOGRAM_BINS) -> DataFrame:
+    """(keys, header): the bits of each packet's coded histogram, as text. 32 bits tell format 0, bins less 1, bits of the largest count, the
+    first sample and the bits of the largest overflow symbol; then each of ``size`` counts in as few bits as what is left and the
+    largest count allow. ``bins`` (keys, bin, n); ``firsts`` (keys, first, over_bits)."""
+    listed = bins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"), F.max("n").alias("largest"))
+    rows = listed.join(firsts, list(keys))
+    width = bit_length(F.col("largest")).cast("long")
+    prefix = compose(f=(F.lit(0), 28), b=(F.lit(size - 1), 20), m=(width, 16), a=(field(F.col("first"), 0, 12), 4), o=(F.col("over_bits"), 0))
+    digits = lambda x, n: F.when(n > 0, F.lpad(F.bin(x), n.cast("int"), "0")).otherwise("")
+    start = F.struct(F.lit(most).cast("long").alias("left"), digits(prefix, F.lit(32)).alias("text"))
+
+    def told(state: Column, b: Column) -> Column:
+        n = F.coalesce(F.try_element_at("counts", b), F.lit(0).cast("long"))
+        bits = F.least(bit_length(state["left"]).cast("long"), width)
+        return F.struct((state["left"] - n).alias("left"), F.concat(state["text"], digits(n, bits)).alias("text"))
+
+    header = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), start, told)
+    return rows.select(*keys, header["text"].alias("header"))
+
+
 def reconstruct(syms: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ("ch", "pkt"), order: str = "seq") -> DataFrame:
     """Samples from seeds (keys, order, adc) and symbols (keys, order, sym): (keys, order, adc)."""
     steps = seeds.select(*keys, order, F.col("adc").alias("step")).unionByName(syms.select(*keys, order, unzigzag(F.col("sym")).cast("long").alias("step")))

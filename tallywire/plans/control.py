@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywire.functions.scalars import number_or_zero
+from tallywire.functions.scalars import number_or_zero, path_of, path_parts
 from tallywire.operators import monitor as M
+from tallywire.operators import server as V
 from tallywire.operators import tree as O
 from tallywire.plans.register import query
 from tallywire.sources.text import flatten_xml, to_xml
@@ -133,3 +134,46 @@ def xml_write(spark, sf_dir):
 def xml_flatten(spark, sf_dir):
     """Documents written, parsed and flattened again."""
     return flatten_xml(to_xml(tree(spark, sf_dir), key="s_suppkey", root="supplier"), id_col="s_suppkey")
+
+
+@query("SELECT r_name || ':' || n_name || '(' || n_nationkey || '):Key' AS path, n_name AS name, CAST(n_nationkey AS INTEGER) AS idx FROM nation JOIN region ON n_regionkey = r_regionkey")
+def path_build(spark, sf_dir):
+    """Paths built from names and indices, and taken apart again."""
+    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    made = rows.select(path_of([(F.col("r_name"), None), (F.col("n_name"), F.col("n_nationkey")), (F.lit("Key"), F.lit(None).cast("int"))]).alias("path"))
+    part = path_parts(F.col("path"))[1]
+    return made.select("path", part["name"].alias("name"), part["idx"].alias("idx"))
+
+
+_CONVERSIONS = {"Balance": V.Conversion(lambda v: F.format_string("%.2f C", v.cast("double") / 4 - 40), lambda v: F.round((F.regexp_replace(v, " C$", "").cast("double") + 40) * 4).cast("long").cast("string"))}
+
+
+@query("""SELECT s_suppkey, 'Balance' AS name, printf('%.2f C', CAST(floor(s_acctbal) AS DOUBLE) / 4 - 40) AS shown, CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS written FROM supplier
+    UNION ALL SELECT s_suppkey, 'Name', s_name, s_name FROM supplier""")
+def conversions_both_ways(spark, sf_dir):
+    """Values as they are shown, through a conversion of the user's, and written back through its other direction."""
+    rows = tree(spark, sf_dir).filter("name IN ('Balance', 'Name')").select("s_suppkey", "name", "value")
+    seen = V.shown(rows, _CONVERSIONS).withColumn("shown", F.col("value"))
+    return V.to_write(seen, _CONVERSIONS).withColumnRenamed("value", "written")
+
+
+@query(f"WITH {TREE} SELECT path || '/' || s_suppkey AS path, s_suppkey, kind, CASE WHEN kind = 'config' AND s_suppkey % 3 = 0 THEN 'default ' || (s_suppkey % 5) ELSE value END AS value FROM tree")
+def set_defaults(spark, sf_dir):
+    """Configuration variables set to their defaults; status variables, and those that have none, stay."""
+    rows = tree(spark, sf_dir).select(F.concat("path", F.lit("/"), "s_suppkey").alias("path"), "s_suppkey", "kind", "value")
+    defaults = rows.filter("s_suppkey % 3 = 0").select("path", F.concat(F.lit("default "), F.col("s_suppkey") % 5).alias("value"))
+    return V.set_defaults(rows, defaults)
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id, ts, event_type, length(props) AS size, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS resets,
+        last_value(CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'Enable' ELSE 'Stopped' END END IGNORE NULLS) OVER w AS said FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT key, event_id, coalesce(said, 'Stopped') AS state, CAST(sum(CASE WHEN event_type = 'signup' THEN 0 ELSE size END) OVER (PARTITION BY key, resets ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS count FROM e""")
+def run_commands(spark, sf_dir):
+    """Commands among the data they work on: the run state as last set, and bytes since the last reset."""
+    kind = F.col("event_type")
+    command = F.when(kind == "signup", "ResetCount").when(kind == "purchase", "SetRunState")
+    state = F.when(F.col("event_id") % 2 == 0, "Enable").otherwise("Stopped")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "ts", command.alias("command"), state.alias("argument"), F.length("props").alias("size"))
+    day, order = F.col("ts").cast("date"), ("ts", "event_id")
+    out = V.since_reset(V.run_states(rows, order=order, by=day), order=order, by=day, size=F.col("size"))
+    return out.select("key", "event_id", "state", "count")

@@ -9,6 +9,7 @@ from tallywire.operators.waveforms import transpose
 from tallywire.plans.register import query
 from tallywire.schema import TRAILER_PATTERN
 from tallywire.sources import binary
+from tallywire.sources.decoders import decoded, decoders
 from tallywire.sources.files import write_bytes
 from tallywire.sources.folders import shared_root
 from tallywire.sources.resync import read_slices
@@ -55,3 +56,40 @@ def resync_records(spark, sf_dir):
     write_bytes(table(spark, sf_dir, "events").select(F.concat(*head, body, little(F.lit(TRAILER_PATTERN))).alias("data")), path)
     text = F.rtrim(F.decode(F.substring("data", F.lit(17), F.col("size").cast("int") - 20), "UTF-8"), F.lit("\0"))
     return read_slices(spark, path, block=1 << 18).select("sequence", "second", "type", "kind", "size", F.when(F.col("kind") == "record", F.md5(F.encode(text, "UTF-8"))).alias("body"))
+
+
+def record_bytes(kind, payload):
+    """A record as a file holds it: a 32-bit size with the type in its top four bits, then the payload."""
+    size = F.octet_length(payload).cast("long").bitwiseOR(F.shiftleft(kind.cast("long"), 28))
+    return F.concat(F.unhex(swapped(F.lpad(F.hex(size), 8, "0"), 4)), payload)
+
+
+def _props(payload: bytes):
+    """Of a JSON payload, its fields."""
+    import json
+
+    return ((name, json.dumps(value) if isinstance(value, (dict, list)) else value) for name, value in json.loads(payload).items())
+
+
+def _user(payload: bytes):
+    """Of two little-endian numbers, each by its name."""
+    import struct
+
+    return zip(("user", "event"), struct.unpack("<qq", payload), strict=True)
+
+
+@query("""SELECT event_id, 'event' AS name, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_id % 2 = 1 UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 1
+    UNION ALL SELECT event_id, k AS name, props ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE event_id % 2 = 0)""")
+def decoded_records(spark, sf_dir):
+    """Records of two types, written to files, read and decoded by a decoder of the user's for each, in one query."""
+    swap = lambda x: F.unhex(swapped(F.lpad(F.hex(x.cast("long")), 16, "0"), 8))
+    even = F.col("event_id") % 2 == 0
+    payload = F.when(even, F.encode("props", "UTF-8")).otherwise(F.concat(swap(F.col("user_id")), swap(F.col("event_id"))))
+    # a record before each says whose it is
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(even, 1).otherwise(2).alias("type"), payload.alias("payload"))
+    path = shared_root(spark, "records")
+    write_bytes(rows.select(record_bytes(F.col("type"), F.concat(swap(F.col("event_id")), F.col("payload"))).alias("data")), path)
+    read = binary.read_records(spark, path)
+    number = F.conv(swapped(F.hex(F.substring("payload", 1, 8)), 8), 16, -10).cast("long")
+    records = read.select(number.alias("event_id"), "type", F.expr("substring(payload, 9)").alias("payload"))
+    return decoded(records, decoders(spark, {1: _props, 2: _user}), keep=["event_id"])

@@ -5,11 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywire.plans.files import record_bytes
 from tallywire.plans.frames import STATUS
 from tallywire.plans.register import query
+from tallywire.sources import binary
+from tallywire.sources.files import sizes, write_bytes
+from tallywire.sources.folders import shared_root
 from tallywire.sources.views import COMMANDS, SAMPLES, commands, frames, samples, table
 from tallywire.streaming import state as S
-from tallywire.streaming.counters import packets_by_tick, replay, triggered, windowed_rates
+from tallywire.streaming.counters import packets_by_tick, replay, run_available, source, triggered, windowed_rates
 
 
 def _later(rows, at: str, by: str):
@@ -99,3 +103,36 @@ def stream_reconnects(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 16).alias("link"), F.call_function("div", key, F.lit(97)).alias("epoch"), key.alias("seq"), F.timestamp_seconds(key).alias("at"))
     S.with_timers(spark)
     return replay([rows], lambda stream: S.sequence_gaps(stream), order="at")
+
+
+@query("""WITH e AS (SELECT user_id AS path, ts, event_id AS n, event_type AS value, lag(event_type) OVER w AS before, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT path, n, value, CASE WHEN i = 1 THEN 'new' ELSE 'changed' END AS kind FROM e WHERE i = 1 OR value <> before""")
+def stream_poll(spark, sf_dir):
+    """A stream of polled values, of which only what is new or changed goes out."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), F.col("event_type").alias("value"))
+    S.with_timers(spark)
+    return replay([rows], lambda stream: S.changes(stream), order="at").drop("at")
+
+
+@query("SELECT CAST(user_id % 16 AS INTEGER) AS type, md5(props) AS body FROM events")
+def stream_records(spark, sf_dir):
+    """A stream written to a data file's records batch by batch, at most one file of the stream in a batch, and read back."""
+    root = shared_root(spark, "channel")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("type"), F.encode("props", "UTF-8").alias("payload"))
+    rows.repartition(3).write.parquet(f"{root}/in")
+
+    def write(batch, number: int) -> None:
+        spark.range(0).write.mode("ignore").parquet(f"{root}/out")  # the folder is there, whatever comes
+        place = f"{root}/out/batch-{number}"
+        if not _there(place):  # a batch that is run again is written already
+            write_bytes(batch.select(record_bytes(F.col("type"), F.col("payload")).alias("data")), place)
+
+    run_available(source(spark, f"{root}/in", rows.schema, files=1), f"{root}/run", batch=write)
+    return binary.read_records(spark, f"{root}/out/batch-*").select("type", F.md5("payload").alias("body"))
+
+
+def _there(place: str) -> bool:
+    try:
+        return bool(sizes(place))
+    except FileNotFoundError:
+        return False

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions import scalars as S
 from tallywire.functions.bits import TOC_ENTRY, bit_length, compose, fields, lit
+from tallywire.operators import queues as Q
 from tallywire.operators import triggers as O
 from tallywire.plans.register import query
 from tallywire.sources.views import COMMANDS, PACKETS, TRIGGERS, commands, packets, samples, table, triggers
@@ -207,3 +208,14 @@ def list_split(spark, sf_dir):
 @query(f"WITH {NUMBERED} SELECT l_orderkey, n, CAST(CASE WHEN bits > 0 THEN length(ltrim(bin(bits), '0')) ELSE 0 END AS BIGINT) AS bit_length FROM numbered")
 def bit_lengths(spark, sf_dir):
     return _numbered(spark, sf_dir).select("l_orderkey", "n", bit_length(F.col("bits")).cast("long").alias("bit_length"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT user_id % 8 AS link, event_id, event_id % 3 AS served, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS i FROM events),
+    q AS (SELECT link, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS level, false AS dropped FROM (SELECT DISTINCT link FROM a)
+        UNION ALL SELECT a.link, a.i, a.event_id, least(6, greatest(0, q.level - a.served) + 1), greatest(0, q.level - a.served) = 6 FROM q JOIN a ON a.link = q.link AND a.i = q.i + 1)
+    SELECT link, event_id, level, dropped FROM q WHERE i > 0""")
+def queue_admission(spark, sf_dir):
+    """A queue of six places on each link: how full it is, and what it drops. By days, as links are few."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("link"), "event_id", "ts")
+    day = F.unix_date(F.col("ts").cast("date"))
+    return Q.admit(rows, room=6, served=F.col("event_id") % 3, order=("ts", "event_id"), by=day).select("link", "event_id", "level", "dropped")

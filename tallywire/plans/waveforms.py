@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywire.functions.bits import count_ones, extract_left, find_first, find_last, tree_size
 from tallywire.operators import waveforms as W
 from tallywire.plans.register import query
 from tallywire.schema import PEDESTAL, PULSE_BIPOLAR, PULSE_MONO
 from tallywire.sources.generators import dummy_pattern as pattern
 from tallywire.sources.generators import emulator_pulses
-from tallywire.sources.views import SAMPLES, WAVES, samples, waves
+from tallywire.sources.views import SAMPLES, WAVES, samples, table, waves
 
 DELTAS = f"{SAMPLES}, deltas AS (SELECT *, adc - lag(adc) OVER (PARTITION BY ch, pkt ORDER BY seq) AS delta FROM samples)"
 SYMS = f"{DELTAS}, syms AS (SELECT *, CASE WHEN delta > 0 THEN 2 * delta ELSE -2 * delta + 1 END AS sym FROM deltas WHERE delta IS NOT NULL)"
@@ -146,3 +147,59 @@ _PULSES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(PULSE_MONO
 def emulator_pulse(spark, sf_dir):
     """128 channels with a pulse every 64 samples."""
     return emulator_pulses(spark, 256, 64)
+
+
+_LEVELS = ", ".join(f"({d}, {j})" for d in (1, 2, 4, 8, 16) for j in range(16 // d))
+TREES = f"""{HIST}, masks AS (SELECT ch, pkt, CAST(bit_or(CAST(1 AS BIGINT) << CAST(bin AS INTEGER)) AS BIGINT) AS mask FROM hist GROUP BY ch, pkt),
+pairs AS (SELECT ch, pkt, mask, (mask >> (2 * j * d)) & ((1 << d) - 1) <> 0 AS r, (mask >> ((2 * j + 1) * d)) & ((1 << d) - 1) <> 0 AS l FROM masks, (VALUES {_LEVELS}) t(d, j)),
+sizes AS (SELECT ch, pkt, mask, [32, sum(CASE WHEN r AND l THEN 2 WHEN r THEN 1 WHEN l THEN 2 ELSE 0 END), sum(CASE WHEN r AND l THEN 2 WHEN r THEN 2 WHEN l THEN 1 ELSE 0 END),
+    sum(CASE WHEN r AND l THEN 1 WHEN r THEN 2 WHEN l THEN 2 ELSE 0 END)] AS s FROM pairs GROUP BY ch, pkt, mask)"""
+
+
+@query(f"""WITH {TREES} SELECT ch, pkt, CAST(list_min(s) AS BIGINT) AS bits, CAST(CASE WHEN list_min(s) = s[2] THEN 1 WHEN list_min(s) = s[1] THEN 0 WHEN list_min(s) = s[3] THEN 2 ELSE 3 END AS BIGINT) AS scheme FROM sizes""")
+def tree_sizes(spark, sf_dir):
+    """How each packet's mask of occupied bins is coded shortest as a binary tree."""
+    size = tree_size(F.col("mask"))
+    return W.histogram_summary(W.histogram(syms(spark, sf_dir))).select("ch", "pkt", size["bits"].alias("bits"), size["scheme"].alias("scheme"))
+
+
+@query(f"""WITH {HIST}, packets AS (SELECT ch, pkt, max(n) AS most FROM hist GROUP BY ch, pkt),
+    every AS (SELECT p.ch, p.pkt, most, b, coalesce(h.n, 0) AS n FROM packets p CROSS JOIN range(32) r(b) LEFT JOIN hist h ON h.ch = p.ch AND h.pkt = p.pkt AND h.bin = r.b),
+    rest AS (SELECT *, CAST(1023 - coalesce(sum(n) OVER (PARTITION BY ch, pkt ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_ FROM every),
+    told AS (SELECT ch, pkt, most, string_agg(CASE WHEN w > 0 THEN lpad(bin(n), CAST(w AS INTEGER), '0') ELSE '' END, '' ORDER BY b) AS counts FROM (SELECT *, least({BITS.format('left_')}, {BITS.format('most')}) AS w FROM rest) GROUP BY ch, pkt, most),
+    firsts AS (SELECT ch, pkt, arg_min(adc, seq) AS first FROM samples GROUP BY ch, pkt),
+    overs AS (SELECT ch, pkt, coalesce(max({BITS.format('(sym - 32)')}) FILTER (sym >= 32), 0) AS over FROM syms GROUP BY ch, pkt)
+    SELECT ch, pkt, lpad(bin(CAST((31 << 20) | ({BITS.format('most')} << 16) | ((first & 4095) << 4) | over AS BIGINT)), 32, '0') || counts AS header FROM told JOIN firsts USING (ch, pkt) JOIN overs USING (ch, pkt)""")
+def histogram_header(spark, sf_dir):
+    """The coded histogram of each packet, bit by bit."""
+    return W.histogram_header(W.histogram(syms(spark, sf_dir)), _firsts(spark, sf_dir))
+
+
+def _firsts(spark, sf_dir):
+    over = F.max(F.when(F.col("sym") >= 32, F.length(F.bin(F.col("sym") - 32)) * (F.col("sym") > 32).cast("int")))
+    found = W.deltas(samples(spark, sf_dir)).withColumn("sym", F.when(F.col("delta") > 0, 2 * F.col("delta")).otherwise(-2 * F.col("delta") + 1))
+    return found.groupBy("ch", "pkt").agg(F.min_by("adc", "seq").alias("first"), F.coalesce(over, F.lit(0)).cast("long").alias("over_bits"))
+
+
+@query(f"""WITH {HIST}, overs AS (SELECT ch, pkt, count(*) FILTER (sym >= 32) AS over, coalesce(max({BITS.format('(sym - 32)')}) FILTER (sym >= 32), 0) AS width FROM syms GROUP BY ch, pkt),
+    t AS (SELECT *, sum(n) OVER (PARTITION BY ch, pkt) AS total, 1023 - coalesce(sum(n) OVER (PARTITION BY ch, pkt ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_
+        FROM (SELECT p.ch, p.pkt, most, b, coalesce(h.n, 0) AS n FROM (SELECT ch, pkt, max(n) AS most FROM hist GROUP BY ch, pkt) p CROSS JOIN range(32) r(b) LEFT JOIN hist h ON h.ch = p.ch AND h.pkt = p.pkt AND h.bin = r.b)),
+    u AS (SELECT ch, pkt, CAST(sum(n) AS BIGINT) AS symbols, CAST(32 + sum(least({BITS.format('CAST(left_ AS BIGINT)')}, {BITS.format('most')})) AS BIGINT) AS header, coalesce(sum(n * log2(total / n)) FILTER (n > 0), 0) AS code FROM t GROUP BY ch, pkt)
+    SELECT ch, pkt, symbols, header + over * width + CAST(ceil(round(code, 6)) AS BIGINT) AS bits, round(12.0 * (symbols + 1) / (header + over * width + CAST(ceil(round(code, 6)) AS BIGINT)), 6) AS ratio FROM u JOIN overs USING (ch, pkt)""")
+def coded_ratio(spark, sf_dir):
+    """Bare 12-bit samples over what a packet is coded in: its histogram's bits, the overflow symbols' and those that an ideal coder needs."""
+    bins = W.histogram(syms(spark, sf_dir))
+    header = W.histogram_header(bins, _firsts(spark, sf_dir)).select("ch", "pkt", F.length("header").cast("long").alias("header"))
+    over = W.overflow(syms(spark, sf_dir)).select("ch", "pkt", (F.col("over") * F.col("over_bits")).alias("over"))
+    rows = W.entropy_bits(bins).join(header, ["ch", "pkt"]).join(over, ["ch", "pkt"], "left")
+    bits = F.col("header") + F.coalesce("over", F.lit(0)) + F.ceil("bits")
+    return rows.select("ch", "pkt", "symbols", bits.alias("bits"), F.round(12.0 * (F.col("symbols") + 1) / bits, 6).alias("ratio"))
+
+
+@query("""SELECT o_orderkey, CAST(bit_count(w) AS BIGINT) AS ones, CAST(32 - (CASE WHEN w > 0 THEN length(ltrim(bin(w), '0')) ELSE 0 END) AS BIGINT) AS first, CAST(CASE WHEN w = 0 THEN 32 ELSE length(bin(w)) - length(rtrim(bin(w), '0')) END AS BIGINT) AS last,
+    CAST((w >> 17) & 1023 AS BIGINT) AS taken FROM (SELECT o_orderkey, CAST((o_orderkey * 2654435761) % 4294967296 AS BIGINT) AS w FROM orders)""")
+def bit_units(spark, sf_dir):
+    """Set bits counted, the first one found from either side, a field taken from the left."""
+    w = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(1 << 32))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", w.alias("w"))
+    return rows.select("o_orderkey", count_ones(F.col("w")).alias("ones"), find_first(F.col("w")).alias("first"), find_last(F.col("w")).alias("last"), extract_left(F.col("w"), 5, 10).alias("taken"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.functions.scalars import floor_div
@@ -41,6 +41,50 @@ def run_available(result: DataFrame, path: str, *, mode: str = "append", batch=N
     writer.start().awaitTermination()
 
 
+def source(spark: SparkSession, path: str, schema, *, files: int | None = None, size: str | None = None) -> DataFrame:
+    """A stream of Parquet files with admission control: at most so many files, or so many bytes of them, in a batch; what is beyond waits in
+    its folder."""
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return (reader.option("maxBytesPerTrigger", size) if size is not None else reader).parquet(path)
+
+
+def listen(listeners: dict, *, kind: str = "kind"):
+    """A batch function that calls each kind's listener with its rows, kinds in order of their names; ``None`` gets all rows. A listener that has
+    no rows in a batch is not called."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        there = {r[0] for r in batch.select(kind).distinct().limit(len(listeners) + 64).collect()}
+        for name in sorted(n for n in listeners if n is not None):
+            if name in there:
+                listeners[name](batch.filter(F.col(kind) == name), number)
+        if None in listeners and there:
+            listeners[None](batch, number)
+        batch.unpersist()
+
+    return each
+
+
+def wait_for(stream: DataFrame, condition: Column, path: str, *, seconds: float, mode: str = "append") -> bool:
+    """Runs a stream until a row meets a condition, or for so many seconds: whether one did."""
+    import threading
+
+    met = threading.Event()
+
+    def look(batch: DataFrame, number: int) -> None:
+        if not batch.filter(condition).isEmpty():
+            met.set()
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(look).option("checkpointLocation", f"{path}/checkpoint").start()
+    try:
+        met.wait(seconds)
+    finally:
+        query.stop()
+    return met.is_set()
+
+
 def fan_out(sinks):
     """A batch function that gives each batch to several sinks; the batch is computed once."""
 

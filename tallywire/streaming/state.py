@@ -263,3 +263,44 @@ def sequence_gaps(stream: DataFrame, *, key: str = "link") -> DataFrame:
     first record of each is never behind a gap. Records behind the expected one are late or repeated and are passed over."""
     schema = T.StructType([T.StructField(key, stream.schema[key].dataType)] + [T.StructField(c, T.LongType()) for c in ("epoch", "seq", "missing")])
     return stream.select(key, "epoch", "seq").groupBy(key).transformWithStateInPandas(_Sequence(key), schema, "append", "none")
+
+
+# ---- polls
+
+
+class _Poll(_Quiet):
+    """State by path: the last value, whether it was there, and its time."""
+
+    def __init__(self, key: str, value: str) -> None:
+        self.key, self.value = key, value
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "us long, value string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
+        import pandas as pd
+
+        found = _ordered(rows, ["us", "n"])
+        if found is None:
+            return
+        at, before = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for us, n, value in zip(found["us"], found["n"], found[self.value], strict=True):
+            us, value = int(us), None if value is None or value != value else value
+            if at is not None and us < at:
+                continue  # an older poll
+            if at is None or value != before:
+                out.append((key[0], us, int(n), value, "new" if at is None else "gone" if value is None else "changed"))
+            at, before = us, value
+        self.last.update((at, before))
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "us", "n", self.value, "kind"])
+
+
+def changes(polls: DataFrame, *, key: str = "path", at: str = "at", order: str = "n", value: str = "value") -> DataFrame:
+    """Polls (key, at, order, value) of a tree's leaves: only the leaves that are new, changed or gone (null), with their kind. The compact form of
+    a status; the full one is every poll as it came."""
+    rows = polls.filter(F.col(at).isNotNull()).select(key, F.unix_micros(at).alias("us"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("n"), F.col(value).cast("string").alias(value))
+    fields = [(key, polls.schema[key].dataType), ("us", T.LongType()), ("n", T.LongType()), (value, T.StringType()), ("kind", T.StringType())]
+    made = rows.groupBy(key).transformWithStateInPandas(_Poll(key, value), T.StructType([T.StructField(n, t) for n, t in fields]), "append", "none")
+    return made.select(key, F.timestamp_micros("us").alias(at), F.col("n").alias(order), value, "kind")
