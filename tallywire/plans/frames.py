@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions import bits as B
 from tallywire.functions import scalars as S
+from tallywire.operators import framer as L
 from tallywire.operators import frames as O
 from tallywire.operators import ranges as R
 from tallywire.plans.register import query
@@ -418,3 +419,23 @@ def flag_frames(spark, sf_dir):
     for k in kinds[1:]:
         out = out.unionByName(frame_rows(spark, 4, **k))
     return out
+
+
+@query(f"""WITH {FRAMES} SELECT link AS lane, k * 130 + event_id % 5 AS start, event_id % 19 = 0 OR event_id % 29 = 0 AS length_error, event_id % 23 = 0 AND NOT (event_id % 19 = 0 OR event_id % 29 = 0) AS crc_error,
+    event_id % 19 = 0 OR event_id % 29 = 0 OR event_id % 23 = 0 AS eof_error, CAST(list_sum([(event_id * 31 + i * 7) % 65536 for i in range(1, 120)]) + 188 - (CASE WHEN event_id % 29 = 0 THEN (event_id * 31 + 350) % 65536 - 188 ELSE 0 END) AS BIGINT) AS total FROM frames WHERE event_id % 31 <> 0""")
+def link_frames(spark, sf_dir):
+    """Frames of a link's symbols: starts found past damage, 120 words taken, checksum and idle checked. Some frames hold a wrong symbol, a
+    start among their words or a wrong checksum, and some are cut."""
+    e = F.col("event_id")
+    word = lambda i: F.when(i == 0, COMMA).when((i == 50) & (e % 29 == 0), COMMA).otherwise((e * 31 + i * 7) % 65536)
+    words = F.transform(F.sequence(F.lit(0), F.lit(L.WORDS - 1)), word)
+    crc = F.crc32(F.unhex(F.array_join(F.transform("words", lambda w: B.digits_of(w, 2)), "")))
+    rows = frames(spark, sf_dir).select("link", "event_id", (F.col("k") * 130 + e % 5).alias("at"), words.alias("words")).withColumn("crc", crc + F.when(e % 23 == 0, 1).otherwise(0))
+    ends = F.array(F.col("crc").bitwiseAND(B.lit(0xFFFF)), F.shiftright("crc", 16), B.lit(L.IDLE))
+    sent = F.slice(F.concat("words", ends), 1, F.when(e % 31 == 0, 40).otherwise(L.SYMBOLS))
+    rows = rows.select(F.col("link").alias("lane"), "event_id", "at", F.posexplode(sent).alias("n", "word"))
+    n = F.col("n")
+    control = F.when(n == 0, 1).when((n == 50) & (e % 29 == 0), 1).when((n == 7) & (e % 19 == 0), 2).when(n == L.SYMBOLS - 1, 3).otherwise(0)
+    symbols = rows.select("lane", (F.col("at") + n).alias("pos"), "word", control.alias("control"), F.lit(True).alias("valid"))
+    total = F.aggregate("words", B.lit(0), lambda s, w: s + w)
+    return L.framed(L.place(symbols)).select("lane", "start", "length_error", "crc_error", "eof_error", total.alias("total"))
