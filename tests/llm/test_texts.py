@@ -318,6 +318,18 @@ def test_near_classes(spark):
     assert editembed.near_classes(_prints(spark, rows).limit(0)).collect() == []
 
 
+def test_near_classes_keep_texts_of_one_id_apart(spark):
+    """Two unlike texts of one id do not join the classes of their copies."""
+    rng = random.Random(11)
+    a, b = ("".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (2, b), (5, a[:390] + "xyz" + a[393:]), (5, b[:390] + "xyz" + b[393:]), (6, "another text, like nothing else here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = editembed.near_classes(_prints(spark, rows)).collect()
+    assert sorted((r.doc_id, r.near_id) for r in got) == [(5, 1), (5, 2)]
+    whole = editembed.edited_and_next(df, near=True).collect()
+    assert sorted((r.doc_id, r.near_id) for r in whole) == [(1, 1), (2, 2), (5, 1), (5, 2), (6, 6)]
+
+
 def test_near_classes_of_large_groups(spark):
     """Groups of hundreds of near copies: recall of links against all pairs."""
     rng = random.Random(4)
