@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from tallywire.functions.scalars import floor_div
 
 
+#: Levels of buckets, and how much longer those of the next level are.
+LEVELS, WIDER = 3, 64
+
+
 def in_window(triggers: DataFrame, packets: DataFrame, before: int, length: int, *, keys: dict[str, str] | None = None, span: int | None = None) -> DataFrame:
     """Packets (beg, fin) that overlap a trigger's window [t0 - before, t0 - before + length), both half-open.
 
-    A range join as an equal join: time is cut into buckets of ``span`` (the window's length, if not given). A trigger and a
-    packet each enter all buckets they touch; a pair is kept in the first bucket that both touch, so that it comes once.
+    A range join as an equal join: time is cut into buckets of ``span`` (the window's length, if not given), and again into buckets
+    ``WIDER`` times as long for packets that are longer than so many buckets, on ``LEVELS`` levels. A packet enters the buckets it touches on
+    its level, a trigger those on all levels; a pair is kept in the first bucket that both touch, so that it comes once.
     ``keys`` maps trigger columns to packet columns that must be equal besides.
     """
     span = span or max(1, length)
-    bucket = lambda c: floor_div(c, span)
+    size = lambda level: F.get(F.array(*[F.lit(span * WIDER**i).cast("long") for i in range(LEVELS)]), level)
     t = triggers.withColumn("win_beg", F.col("t0") - before).withColumn("win_fin", F.col("win_beg") + length)
-    t = t.withColumn("_tb", F.explode(F.sequence(bucket(F.col("win_beg")), bucket(F.col("win_fin") - 1))))
-    p = packets.withColumn("_pb", F.explode(F.sequence(bucket(F.col("beg")), bucket(F.col("fin") - 1))))
-    on = (F.col("_tb") == F.col("_pb")) & (F.col("beg") < F.col("win_fin")) & (F.col("fin") > F.col("win_beg"))
-    on &= F.col("_tb") == F.greatest(bucket(F.col("win_beg")), bucket(F.col("beg")))
+    t = t.withColumn("_tl", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)])))
+    t = t.withColumn("_tb", F.explode(F.sequence(floor_div(F.col("win_beg"), size(F.col("_tl"))), floor_div(F.col("win_fin") - 1, size(F.col("_tl"))))))
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(F.col("fin") - F.col("beg") <= span * WIDER ** (i + 1), i).otherwise(level)
+    p = packets.withColumn("_pl", level)
+    p = p.withColumn("_pb", F.explode(F.sequence(floor_div(F.col("beg"), size(F.col("_pl"))), floor_div(F.col("fin") - 1, size(F.col("_pl"))))))
+    on = (F.col("_tl") == F.col("_pl")) & (F.col("_tb") == F.col("_pb")) & (F.col("beg") < F.col("win_fin")) & (F.col("fin") > F.col("win_beg"))
+    on &= F.col("_tb") == F.greatest(floor_div(F.col("win_beg"), size(F.col("_tl"))), floor_div(F.col("beg"), size(F.col("_pl"))))
     for left, right in (keys or {}).items():
         on &= triggers[left] == packets[right]
-    return t.join(p, on).drop("_tb", "_pb")
+    return t.join(p, on).drop("_tl", "_tb", "_pl", "_pb")
 
 
 def trimmed(selected: DataFrame) -> DataFrame:

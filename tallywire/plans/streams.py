@@ -43,14 +43,9 @@ def stream_trigger_window(spark, sf_dir):
 
 @query(f"WITH {SAMPLES} SELECT ch, seq // 16 AS pkt, count(*) AS n, CAST(sum(adc) AS BIGINT) AS total FROM samples GROUP BY ch, seq // 16")
 def stream_ticks(spark, sf_dir):
-    """Packets by tick: their number follows from the tick, their times from the samples; each goes out behind the watermark."""
-    rows = samples(spark, sf_dir).select("ch", "seq", "adc", F.col("ts").cast("timestamp").alias("at"))
-    return _whole(spark, rows)
-
-
-def _whole(spark, rows):
-    # the tick is the number of the sample, and its time that of the stream: a second for each
-    rows = rows.withColumn("at", F.timestamp_seconds("seq"))
+    """Packets by tick, whose number follows from the tick alone; each goes out behind the watermark."""
+    # a sample's time is that of its tick: a second for each
+    rows = samples(spark, sf_dir).select("ch", "seq", "adc", F.timestamp_seconds("seq").alias("at"))
     end = _later(rows, "at", "1 hour").select(F.lit(None).cast("long").alias("ch"), F.unix_seconds("at").alias("seq"), F.lit(0).cast("long").alias("adc"), "at")
     found = replay([rows], lambda stream: packets_by_tick(stream, late="1 minute"), order="at", tail=[end])
     return found.filter("ch IS NOT NULL")
@@ -85,16 +80,10 @@ def stream_gating(spark, sf_dir):
     end = _later(rows, "at", "2 days").select(none.alias("ch"), none.alias("id"), "at", F.lit(0).alias("cmd"))
     S.with_timers(spark)
     data, control = rows.filter("cmd NOT IN (1, 2)"), rows.filter("cmd IN (1, 2)")
-    found = replay([data, control], lambda d, c: _gated(d, c), order="at", tail=[end, end.limit(0)])
+    found = replay([data, control], lambda d, c: S.gated(d, c, late="1 day"), order="at", tail=[end, end.limit(0)])
     return found.filter("ch IS NOT NULL").select("ch", F.col("id").alias("event_id"), "cmd", "running")
 
 
-def _gated(data, control):
-    # triggers are data here, and keep their command
-    both = S.gated(data.select("ch", F.col("id") * 16 + F.col("cmd"), "at").toDF("ch", "id", "at"), control.withColumn("id", F.col("id") * 16 + F.col("cmd")), late="1 day")
-    return both.select("ch", F.shiftright("id", 4).alias("id"), F.col("id").bitwiseAND(F.lit(15).cast("long")).cast("int").alias("cmd"), "running")
-
-
 @query("""WITH r AS (SELECT c_custkey % 16 AS link, k // 97 AS epoch, k AS seq FROM (SELECT o_custkey AS c_custkey, o_orderkey AS k FROM orders))
     SELECT link, epoch, seq, coalesce(seq - 1 - lag(seq) OVER (PARTITION BY link, epoch ORDER BY seq), 0) AS missing FROM r""")
 def stream_reconnects(spark, sf_dir):

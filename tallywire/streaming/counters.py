@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,24 +107,17 @@ def replay(tables: list[DataFrame], operator, *, order: str, slices: int = 2, ta
     on."""
     spark = tables[0].sparkSession
     root = shared_root(spark)
-    times = [t.select(F.col(order).alias("t")) for t in tables]
-    every = times[0]
-    for t in times[1:]:
-        every = every.unionByName(t)
+    times = reduce(DataFrame.unionByName, [t.select(F.unix_micros(order).alias("t")) for t in tables])
     shares = [i / slices for i in range(1, slices)]
-    cuts = every.select(F.unix_micros("t").alias("t")).agg(F.percentile_approx("t", F.lit(shares)) if shares else F.array()).first()[0] or []
-    at = F.unix_micros(order)
-    bounds = [(a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+    cuts = (times.agg(F.percentile_approx("t", F.lit(shares))).first()[0] or []) if shares else []
+    at = F.coalesce(F.unix_micros(order), F.lit(-(1 << 63)))  # rows without a time come first
     for i, t in enumerate(tables):
         t.limit(0).write.parquet(f"{root}/in{i}")  # the folders are there before the streams
-    streams = [spark.readStream.schema(t.schema).parquet(f"{root}/in{i}") for i, t in enumerate(tables)]
-    result = operator(*streams)
-    for k, (low, high) in enumerate([*bounds, (None, None)] if tail else bounds):
-        last = bool(tail) and k == len(bounds)
-        for i, rows in enumerate(tail if last else tables):
-            if not last:
-                rows = rows if low is None else rows.filter(at > low)
-                rows = rows if high is None else rows.filter(at.isNull() | (at <= high)) if k == 0 else rows.filter(at <= high)
+    result = operator(*[spark.readStream.schema(t.schema).parquet(f"{root}/in{i}") for i, t in enumerate(tables)])
+    edges = [-(1 << 63), *[c + 1 for c in cuts], (1 << 63) - 1]
+    parts = [[t.filter((at >= low) & (at < high)) for t in tables] for low, high in zip(edges, edges[1:], strict=False)]
+    for part in [*parts, *([tail] if tail else [])]:
+        for i, rows in enumerate(part):
             rows.write.mode("append").parquet(f"{root}/in{i}")
         run_available(result, f"{root}/run")
     return spark.read.schema(result.schema).parquet(f"{root}/run/data")

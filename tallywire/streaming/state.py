@@ -215,12 +215,13 @@ class _Gate(StatefulProcessor):
 
 def gated(data: DataFrame, control: DataFrame, *, late: str, key: str = "ch") -> DataFrame:
     """Data (key, id, at) and commands (key, id, at, cmd) of two streams in one: (key, id, at, cmd, running), each with the state of the run as
-    of its time; commands 1 and 2 start and stop it, with their own row.
+    of its time; commands 1 and 2 start and stop it, with their own row. Data may carry commands of another kind.
 
     A row waits in state until the watermark has passed it, as a command before it may still come; rows come in any order of files within
     ``late``. Rows of one time go by id; rows without a time are left out, as they
     are never due; a null id is -1, a null command is data."""
-    both = data.select(key, "id", "at", F.lit(0).alias("cmd")).unionByName(control.select(key, "id", "at", "cmd")).withWatermark("at", late)
+    own = F.col("cmd") if "cmd" in data.columns else F.lit(0).alias("cmd")
+    both = data.select(key, "id", "at", own).unionByName(control.select(key, "id", "at", "cmd")).withWatermark("at", late)
     # no filter but on the time: it would go below the watermark, which rows of any kind move on
     both = both.filter("at IS NOT NULL").select(key, F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("cmd", F.lit(0)).alias("cmd"), "at", F.unix_micros("at").alias("us"))
     fields = [(key, data.schema[key].dataType), ("id", T.LongType()), ("us", T.LongType()), ("cmd", T.IntegerType()), ("running", T.BooleanType())]

@@ -80,6 +80,16 @@ def test_interval_join(spark):
         assert sorted((r.trg_id, r.pkt) for r in triggers.in_window(t, p, 30, 50, span=span).collect()) == want
 
 
+def test_interval_join_of_long_packets(spark):
+    """Packets of all lengths against a short window: each pair once, and no packet in more than some dozens of buckets."""
+    rng = random.Random(5)
+    trg = [(i, rng.randrange(10**6)) for i in range(50)]
+    pkt = [(i, b, b + rng.choice([1, 40, 3000, 10**5, 10**7])) for i, b in enumerate(rng.randrange(10**6) for _ in range(80))]
+    t, p = spark.createDataFrame(trg, "trg_id long, t0 long"), spark.createDataFrame(pkt, "pkt long, beg long, fin long")
+    want = sorted((i, j) for (i, t0), (j, b, f) in itertools.product(trg, pkt) if b < t0 + 30 and f > t0 - 20)
+    assert sorted((r.trg_id, r.pkt) for r in triggers.in_window(t, p, 20, 50).collect()) == want
+
+
 def test_interval_plan(spark):
     t, p = spark.range(3).select(F.col("id").alias("trg_id"), F.col("id").alias("t0")), spark.range(3).select(F.col("id").alias("beg"), (F.col("id") + 1).alias("fin"))
     plan = triggers.in_window(t, p, 1, 2)._jdf.queryExecution().executedPlan().toString()
