@@ -13,7 +13,7 @@ from tallywire.sources.files import sizes, write_bytes
 from tallywire.sources.folders import shared_root
 from tallywire.sources.views import COMMANDS, SAMPLES, commands, frames, samples, table
 from tallywire.streaming import state as S
-from tallywire.streaming.counters import packets_by_tick, replay, run_available, source, triggered, windowed_rates
+from tallywire.streaming.counters import fan_out, listen, packets_by_tick, replay, run_available, source, triggered, windowed_rates
 
 
 def _later(rows, at: str, by: str):
@@ -125,3 +125,33 @@ def _there(place: str) -> bool:
         return bool(sizes(place))
     except FileNotFoundError:
         return False
+
+
+def _kept(place: str, name: str, columns: list[str]):
+    """A sink that keeps each batch's rows in a table; a batch that comes again takes the place of itself."""
+    return lambda batch, number: batch.select(F.lit(name).alias("sink"), *columns).write.mode("overwrite").parquet(f"{place}/{name}/{number}")
+
+
+@query("SELECT 'all' AS sink, event_id FROM events UNION ALL SELECT 'errors', event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'runs', event_id FROM events WHERE event_type IN ('signup', 'purchase')")
+def stream_fan_out(spark, sf_dir):
+    """A stream given to three sinks, each of which takes what it is for; a batch is computed once."""
+    root = shared_root(spark, "sinks")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    rows.repartition(4).write.parquet(f"{root}/in")
+    keep = lambda name, which: lambda batch, number: _kept(f"{root}/out", name, ["event_id"])(batch.filter(which), number)
+    sinks = [keep("all", F.lit(True)), keep("errors", F.col("event_type") == "error"), keep("runs", F.col("event_type").isin("signup", "purchase"))]
+    run_available(source(spark, f"{root}/in", rows.schema, files=2), f"{root}/run", batch=fan_out(sinks))
+    return spark.read.schema("sink string, event_id long").parquet(f"{root}/out/*/*")
+
+
+@query("""WITH e AS (SELECT user_id AS path, ts, event_id AS n, event_type AS value, lag(event_type) OVER w AS before, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT CASE WHEN i = 1 THEN 'new' ELSE 'changed' END AS sink, path, n FROM e WHERE i = 1 OR value <> before""")
+def stream_listeners(spark, sf_dir):
+    """Polled values whose changes go to listeners by their kind."""
+    root = shared_root(spark, "listeners")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), F.col("event_type").alias("value"))
+    S.with_timers(spark)
+    rows.write.parquet(f"{root}/in")
+    listeners = {kind: _kept(f"{root}/out", kind, ["path", "n"]) for kind in ("new", "changed", "gone")}
+    run_available(S.changes(source(spark, f"{root}/in", rows.schema)), f"{root}/run", batch=listen(listeners))
+    return spark.read.schema("sink string, path long, n long").parquet(f"{root}/out/*/*")
