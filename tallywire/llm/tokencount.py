@@ -306,5 +306,5 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    trees = written(plant(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), "trees")
+    trees = written(plant(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), "trees", "zstd")
     return apply_edits(trees, sample_edits(F.col("text")), path, public_tokenizers.PATTERN)
