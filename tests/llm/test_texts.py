@@ -330,6 +330,24 @@ def test_near_classes_keep_texts_of_one_id_apart(spark):
     assert sorted((r.doc_id, r.near_id) for r in whole) == [(1, 1), (2, 2), (5, 1), (5, 2), (6, 6)]
 
 
+def test_near_classes_lose_no_link(spark):
+    """Pairs at the threshold whose differences lie where every band begins, and pairs one sample beyond it."""
+    import numpy as np
+
+    order = editembed.mix(np.arange(editembed.BANDS * editembed.SAMPLES, dtype=np.uint64) + np.uint64(0xBA9D)).reshape(editembed.BANDS, editembed.SAMPLES).argsort(axis=1)
+    begins, rng = sorted({int(p) for p in order[:, 0]}), np.random.default_rng(5)
+    rows = []
+    for n, differ in enumerate([48] * 30 + [49] * 30):
+        a = rng.integers(0, 16, editembed.SAMPLES)
+        others = rng.permutation([p for p in range(editembed.SAMPLES) if p not in begins]).tolist()
+        b = a.copy()
+        at = begins + others[: differ - len(begins)]
+        b[at] = (b[at] + rng.integers(1, 16, len(at))) % 16
+        rows += [(2 * n + k, (x[::2] << 4 | x[1::2]).astype(np.uint8).tobytes()) for k, x in enumerate((a, b))]
+    got = {(r.doc_id, r.near_id) for r in editembed.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint binary")).collect()}
+    assert got == {(2 * n + 1, 2 * n) for n in range(30)}
+
+
 def test_near_classes_of_large_groups(spark):
     """Groups of hundreds of near copies: recall of links against all pairs."""
     rng = random.Random(4)
