@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywire.functions.bits import EXCEPTION, TRAILER, compose, digits_of, field, lit, trailer_words, word_at
 from tallywire.schema import FRAME_WORDS, MAX_EXCEPTIONS, TICKS_PER_SAMPLE, TRAILER_PATTERN
@@ -78,11 +79,53 @@ def _whole(digits: Column) -> Column:
 # ---- copy packets
 
 
+def _in_bytes(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """A column of words (array<long>) as their bytes, last; nulls have none."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            flat, of = column.flatten(), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+            if flat.null_count:
+                of, flat = of[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+            ends = np.cumsum(np.append(0, 8 * np.bincount(of, minlength=batch.num_rows))).astype(np.int32)
+            data = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), dtype="<i8")
+            made = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
+
+    others = [c for c in rows.columns if c != words]
+    return rows.select(*others, words).mapInArrow(run, T.StructType([*[rows.schema[c] for c in others], T.StructField(out, T.BinaryType())]))
+
+
+def _in_words(rows: DataFrame, data: str, out: str, n: int) -> DataFrame:
+    """A column of binaries of ``n`` words each as arrays of long, last; null stays null."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            flat = np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype="<i8")
+            begins = np.cumsum(np.append(0, n * there)).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(begins, mask=np.append(~there, False)), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
+
+    others = [c for c in rows.columns if c != data]
+    schema = T.StructType([*[rows.schema[c] for c in others], T.StructField(out, T.ArrayType(T.LongType()))])
+    return rows.select(*others, data).mapInArrow(run, schema)
+
+
 def copy_payloads(frames: DataFrame, *, key: str = "link", words: str = "words", version: int = 0x01000000) -> DataFrame:
     """(key, pkt, frames, payload): one binary of all frames (key, pkt, frame, status, words array<long>) of a packet."""
-    written = F.struct("frame", F.array_join(F.transform(words, lambda w: digits_of(w)), "").alias("digits"))
-    made = frames.groupBy(key, "pkt").agg(F.sort_array(F.collect_list(written)).alias("all"), F.bit_or("status").alias("status"))
-    body = F.array_join(F.transform("all", lambda f: f["digits"]), "")
+    rows = _in_bytes(frames.select(key, "pkt", "frame", "status", F.col(words).cast("array<long>").alias("words")), "words", "data")
+    made = rows.groupBy(key, "pkt").agg(F.sort_array(F.collect_list(F.struct("frame", "data"))).alias("all"), F.bit_or("status").alias("status"))
+    body = F.array_join(F.transform("all", lambda f: F.hex(f["data"])), "")
     return made.select(key, "pkt", F.size("all").cast("long").alias("frames"), _closed(body, F.col("status"), COPY, lit(version)).alias("payload"))
 
 
@@ -92,9 +135,11 @@ def copied_frames(packets: DataFrame, *, n: int = FRAME_WORDS) -> DataFrame:
     whole = _read_closing(packets, COPY)
     count = F.call_function("div", (F.octet_length("payload") - CLOSING).cast("long"), lit(8 * n))
     fits = F.coalesce(F.col("sound") & (F.pmod(F.octet_length("payload") - CLOSING, F.lit(8 * n)) == 0) & (count > 0), F.lit(False))
-    rows = _made(whole, sound=fits).withColumn("frame", F.explode_outer(F.when(F.col("sound"), F.sequence(lit(0), count - 1))))
-    words = F.transform(F.sequence(lit(0), lit(n - 1)), lambda i: word_at(F.col("payload"), (F.col("frame") * n + i) * 8))
-    return rows.withColumn("words", F.when(F.col("frame").isNotNull(), words)).drop("payload")
+    rows = _made(whole, sound=fits)
+    pieces = F.transform(F.sequence(lit(0), count - 1), lambda i: F.substring("payload", (i * (8 * n) + 1).cast("int"), F.lit(8 * n)))
+    others = [c for c in rows.columns if c != "payload"]
+    rows = rows.select(*others, F.posexplode_outer(F.when(F.col("sound"), pieces)).alias("_frame", "_data"))
+    return _in_words(rows.select(*others, F.col("_frame").cast("long").alias("frame"), "_data"), "_data", "words", n)
 
 
 # ---- channel packets

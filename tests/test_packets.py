@@ -79,3 +79,15 @@ def test_headers_rebuilt_or_lost(spark):
     assert lost[0] == lost[1] == 0 and 0 < lost[3] < 100
     sizes = {r.pkt: len(r.record) for r in records.collect()}
     assert sizes[0] == 8 * 9 and sizes[0] < sizes[1] < sizes[3]
+
+
+def test_words_of_copy_packets_are_not_taken_out_one_by_one(spark):
+    """Frames are written and read as bytes: the plans have no digits of a word, whatever a frame holds."""
+    rows = [(1, 0, f, f, [f * 40 + i - 7 for i in range(30)]) for f in (2, 0, 1)] + [(2, 0, 0, 4, None), (2, 0, 1, 0, [None] + [-(1 << 63)] * 30)]
+    made = P.copy_payloads(spark.createDataFrame(rows, "link long, pkt long, frame long, status long, words array<long>"))
+    read = P.copied_frames(made.select("link", "pkt", "payload"))
+    for df in (made, read):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "transform(words" not in plan
+    got = sorted((r.link, r.frame, r.sound, r.status, r.words) for r in read.collect())
+    assert got == [(1, f, True, 3, [f * 40 + i - 7 for i in range(30)]) for f in range(3)] + [(2, 0, True, 4, [-(1 << 63)] * 30)]
