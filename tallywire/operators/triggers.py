@@ -96,9 +96,9 @@ def fragments(selected: DataFrame, *, trigger: str = "trg_id", source: str = "sr
     return streams.groupBy(trigger).agg(F.sort_array(F.collect_list(F.struct(source, "left", "beg", "fin", "bytes", "packets"))).alias("streams"), F.sum("bytes").alias("bytes"))
 
 
-def toc(parts: DataFrame, *, keys: tuple[str, ...], order: str, size: str) -> DataFrame:
+def toc(parts: DataFrame, *, keys: tuple[str, ...], order: tuple[str, ...], size: str) -> DataFrame:
     """Adds offset: the sum of sizes before each part."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 

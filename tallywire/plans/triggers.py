@@ -115,8 +115,13 @@ def lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity").cast("long") * 13).alias("bits"))
 
 
+#: The order of an order's lines. Whatever is asked for in their order is windowed by it, so that lines are sorted once; lines that tie
+#: are equal in all that is shown of them.
+_ORDER = ("l_linenumber", "l_partkey", "bits")
+
+
 def _numbered(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "bits")).cast("long") - 1
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long") - 1
     return lines(spark, sf_dir).withColumn("n", n)
 
 
@@ -126,21 +131,22 @@ OFFSETS = f"{NUMBERED}, offsets AS (SELECT *, CAST(coalesce(sum(bits) OVER (PART
 
 @query(f'WITH {OFFSETS} SELECT l_orderkey, n, bits, off AS "offset" FROM offsets')
 def toc_offsets(spark, sf_dir):
-    return O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order="n", size="bits").select("l_orderkey", "n", "bits", "offset")
+    return O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order=_ORDER, size="bits").select("l_orderkey", "n", "bits", "offset")
 
 
 @query(f"WITH {OFFSETS} SELECT l_orderkey, n // 2 AS word, CAST(sum(off << CAST(32 * (n % 2) AS INTEGER)) AS BIGINT) AS packed FROM offsets GROUP BY l_orderkey, n // 2")
 def toc_pack_pairs(spark, sf_dir):
     """Two offsets in each 64-bit word."""
-    rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order="n", size="bits")
-    moved = F.call_function("shiftleft", F.col("offset"), (32 * (F.col("n") % 2)).cast("int"))
-    return rows.groupBy("l_orderkey", S.floor_div(F.col("n"), 2).alias("word")).agg(F.bit_or(moved).alias("packed"))
+    rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order=_ORDER, size="bits")
+    after = F.shiftleft(F.lead("offset").over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)), 32)
+    packed = F.col("offset").bitwiseOR(F.coalesce(after, F.lit(0).cast("long")))
+    return rows.withColumn("packed", packed).filter("n % 2 = 0").select("l_orderkey", S.floor_div(F.col("n"), 2).alias("word"), "packed")
 
 
 @query(f"WITH {OFFSETS} SELECT l_orderkey, n, (off + 63) // 64 AS offset64, CAST(2 | (1 << 4) | (((off + 63) // 64) << 8) AS BIGINT) AS entry FROM offsets")
 def toc_entries(spark, sf_dir):
     """Table of contents entries: format, type and offset in words, composed and taken apart."""
-    rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order="n", size="bits")
+    rows = O.toc(_numbered(spark, sf_dir), keys=("l_orderkey",), order=_ORDER, size="bits")
     words = S.floor_div(F.col("offset") + 63, 64)
     made = rows.select("l_orderkey", "n", compose(f=(F.lit(2), 0), t=(F.lit(1), 4), o=(words, 8)).alias("entry"))
     return made.select("l_orderkey", "n", fields(F.col("entry"), TOC_ENTRY)[2], "entry")
@@ -167,7 +173,7 @@ def remaining_count(spark, sf_dir):
 
 @query(f"WITH {NUMBERED} SELECT l_orderkey, n, max(bits) OVER (PARTITION BY l_orderkey ORDER BY n ROWS UNBOUNDED PRECEDING) AS most FROM numbered")
 def running_max_bytes(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     return _numbered(spark, sf_dir).select("l_orderkey", "n", F.max("bits").over(w).alias("most"))
 
 

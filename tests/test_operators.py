@@ -3,6 +3,7 @@ import random
 import re
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallywire.functions import bits as B
@@ -193,3 +194,12 @@ def test_strings_as_words(spark):
         if r.t is not None:
             data = r.t.encode() + b"\0" * (4 - len(r.t.encode()) % 4)
             assert r.w == list(struct.unpack(f"<{len(data) // 4}I", data))
+
+
+@pytest.mark.parametrize("name", ["toc_offsets", "toc_pack_pairs", "toc_entries", "running_max_bytes"])
+def test_lines_of_an_order_are_sorted_once(spark, sf, name):
+    """A task holds one sort of its lines, and no table of their groups."""
+    from tallywire import catalogue
+
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
