@@ -163,6 +163,10 @@ def little_endian(data: Column, at: int, n: int = 4) -> Column:
 
 def digits_of(word: Column, n: int = 8) -> Column:
     """The n low bytes of a word as hexadecimal digits, least byte first: as they stand in a file."""
+    if n == 2:
+        low = word.cast("long").bitwiseAND(lit(0xFFFF))
+        turned = F.shiftleft(low.bitwiseAND(lit(0xFF)), 8).bitwiseOR(F.shiftright(low, 8)).bitwiseOR(lit(0x10000))
+        return F.substring(F.hex(turned), 2, 4)
     return swapped(F.substring(F.lpad(F.hex(word.cast("long")), 16, "0"), 17 - 2 * n, 2 * n), n)
 
 

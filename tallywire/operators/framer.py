@@ -56,9 +56,24 @@ def _composed(numbers: list[int], maps: list[list[int]], entry: list[int]) -> tu
     return handed, entry
 
 
-def place(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: int = BLOCK) -> DataFrame:
-    """Adds start and i to symbols (key, order, word, control, valid): the place of the frame's start, and the symbol's number in the frame;
-    both null outside of frames."""
+def _starts(table, free: int) -> tuple:
+    """Of symbols sorted by place: their places, the start of the last frame that begins at or before each, and whether it holds it. The first
+    frame begins at or behind ``free``; one begun before ends there."""
+    import numpy as np
+
+    there = table.column("_pos").is_valid().to_numpy()
+    pos = table.column("_pos").fill_null(1 << 62).to_numpy()
+    begins = pos[table.column("_begins").to_numpy().astype(bool) & there]
+    firsts, i = [free - SYMBOLS], np.searchsorted(begins, free)
+    while i < len(begins):
+        firsts.append(int(begins[i]))
+        i = np.searchsorted(begins, firsts[-1] + SYMBOLS)
+    start = np.array(firsts)[np.searchsorted(firsts, pos, side="right") - 1]
+    return pos, start, there & (pos - start < SYMBOLS)
+
+
+def _entered(symbols: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    """Adds to symbols _key, _block, _begins, _pos, and entry: of the block's first places, how many belong to a frame begun before."""
     import pyarrow as pa
 
     columns, long = [c for c in symbols.columns if c not in ("start", "i")], T.LongType()
@@ -92,18 +107,6 @@ def place(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: i
         handed, _ = _composed(table.column("_block").to_pylist(), table.column("ahead").to_pylist(), [table.column("entry")[0].as_py()])
         return pa.table({"_key": table.column("_key"), "_block": table.column("_block"), "entry": pa.array([h[0] for h in handed], pa.int64())})
 
-    def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_pos")
-        free = table.column("_block")[0].as_py() * block + table.column("entry")[0].as_py()
-        start, starts, numbers = free - SYMBOLS, [], []
-        for p, b in zip(table.column("_pos").to_pylist(), table.column("_begins").to_pylist(), strict=True):
-            if p is not None and p >= free and b:
-                start, free = p, p + SYMBOLS
-            inside = p is not None and p < free
-            starts.append(start if inside else None)
-            numbers.append(p - start if inside else None)
-        return pa.table({**{c: table.column(c) for c in columns}, "start": pa.array(starts, pa.int64()), "i": pa.array(numbers, pa.int64())})
-
     of = lambda *fields: T.StructType([T.StructField("_key", T.StringType()), *[T.StructField(n, t) for n, t in fields]])
     ahead = ("ahead", T.ArrayType(long))
     # a block without starts hands on nothing, but it is there: what it is handed must not reach the next one as a gap would
@@ -114,8 +117,55 @@ def place(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: i
     groups = few.groupBy("_key", "_group").applyInArrow(join, of(("_group", long), ("low", long), ("high", long), ahead))
     given = groups.groupBy("_key").applyInArrow(hand, of(("_group", long), ("entry", long)))
     entries = few.join(given, ["_key", "_group"]).groupBy("_key", "_group").applyInArrow(within, of(("_block", long), ("entry", long)))
+    return rows.join(entries, ["_key", "_block"])
+
+
+def place(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Adds start and i to symbols (key, order, word, control, valid): the place of the frame's start, and the symbol's number in the frame;
+    both null outside of frames."""
+    import pyarrow as pa
+
+    columns, long = [c for c in symbols.columns if c not in ("start", "i")], T.LongType()
+    rows = _entered(symbols, key, order, block)
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        pos, start, inside = _starts(table, table.column("_block")[0].as_py() * block + table.column("entry")[0].as_py())
+        found = {"start": pa.array(start, pa.int64(), mask=~inside), "i": pa.array(pos - start, pa.int64(), mask=~inside)}
+        return pa.table({c: table.column(c) for c in columns} | found)
+
     made = T.StructType([*[rows.schema[c] for c in columns], T.StructField("start", long), T.StructField("i", long)])
-    return rows.join(entries, ["_key", "_block"]).groupBy("_key", "_block").applyInArrow(settle, made)
+    return rows.groupBy("_key", "_block").applyInArrow(settle, made)
+
+
+def received(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: int = BLOCK) -> DataFrame:
+    """What ``framed`` makes of placed symbols, straight from symbols (key, order, word, control, valid): a block hands on a row for each frame, or
+    part of one, and not its symbols."""
+    import pyarrow as pa
+
+    rows = _entered(symbols.select(key, order, "word", "control", "valid"), key, order, block).drop(*{order} - {key})
+
+    def take(table: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        table = table.sort_by([("_pos", "ascending"), ("word", "ascending")])
+        pos, start, inside = _starts(table, table.column("_block")[0].as_py() * block + table.column("entry")[0].as_py())
+        table, pos, start = table.filter(pa.array(inside)), pos[inside], start[inside]
+        i, size = pos - start, len(pos)
+        is_not = lambda name, value: pc.fill_null(pc.not_equal(table.column(name), value), False).to_numpy().astype(bool)
+        bad, last = is_not("valid", True), i == SYMBOLS - 1
+        wrong = np.where(last, bad | is_not("control", 3) | is_not("word", IDLE), (i > 0) & (bad | is_not("control", 0)))
+        at = np.flatnonzero(np.append(True, start[1:] != start[:-1])) if size else np.zeros(0, dtype=np.int64)
+        words = pc.cast(table.column("word"), pa.int32(), safe=False).combine_chunks()
+        made = {key: table.column(key).take(pa.array(at)), "start": start[at], "i": i[at], "words": pa.ListArray.from_arrays(pa.array(np.append(at, size), pa.int32()), words)}
+        return pa.table(made | {"wrong": np.logical_or.reduceat(wrong, at) if size else wrong})
+
+    long = T.LongType()
+    made = T.StructType([rows.schema[key], T.StructField("start", long), T.StructField("i", long), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("wrong", T.BooleanType())])
+    parts = rows.groupBy("_key", "_block").applyInArrow(take, made)
+    frames = parts.groupBy(key, "start").agg(F.sort_array(F.collect_list(F.struct("i", "words"))).alias("all"), F.max("wrong").alias("length_error"))
+    return _verified(frames.withColumn("every", F.flatten(F.transform("all", lambda x: x["words"]))).filter(F.size("every") == SYMBOLS), key)
 
 
 def framed(placed: DataFrame, *, key: str = "lane") -> DataFrame:
@@ -126,6 +176,11 @@ def framed(placed: DataFrame, *, key: str = "lane") -> DataFrame:
     taken = F.sort_array(F.collect_list(F.struct("i", "word")))
     frames = placed.filter("start IS NOT NULL").groupBy(key, "start").agg(taken.alias("all"), F.max(F.coalesce(wrong, F.lit(False))).alias("length_error"))
     frames = frames.filter(F.size("all") == SYMBOLS).withColumn("every", F.transform("all", lambda x: x["word"].cast("int")))
+    return _verified(frames, key)
+
+
+def _verified(frames: DataFrame, key: str) -> DataFrame:
+    """Frames (key, start, every, length_error) with their checksum looked at."""
     words = F.slice("every", 1, WORDS)
     at = lambda i: F.get("every", F.lit(i)).cast("long")
     told = at(WORDS).bitwiseOR(F.shiftleft(at(WORDS + 1), 16))

@@ -438,4 +438,4 @@ def link_frames(spark, sf_dir):
     control = F.when(n == 0, 1).when((n == 50) & (e % 29 == 0), 1).when((n == 7) & (e % 19 == 0), 2).when(n == L.SYMBOLS - 1, 3).otherwise(0)
     symbols = rows.select("lane", (F.col("at") + n).alias("pos"), "word", control.alias("control"), F.lit(True).alias("valid"))
     total = F.aggregate("words", B.lit(0), lambda s, w: s + w)
-    return L.framed(L.place(symbols)).select("lane", "start", "length_error", "crc_error", "eof_error", total.alias("total"))
+    return L.received(symbols).select("lane", "start", "length_error", "crc_error", "eof_error", total.alias("total"))

@@ -54,3 +54,19 @@ def test_frames_of_symbols(spark, monkeypatch):
         assert placed.count() == len(rows)
     assert any(r.crc_error for r in got.values()) and any(r.length_error for r in got.values()) and not all(r.eof_error for r in got.values())
     assert framer.framed(framer.place(df.limit(0))).count() == 0
+
+
+def test_received_is_what_is_placed_and_framed(spark, monkeypatch):
+    """Frames straight from symbols, whole ones and those that blocks cut, damaged and with gaps; blocks hand on no symbols."""
+    monkeypatch.setattr(framer, "FAN", 3)
+    rng, rows = random.Random(8), []
+    for lane in (None, 1):
+        symbols = [s for _ in range(30) for s in [(framer.IDLE, 3)] * rng.choice([0, 3, 150]) + _frame(rng, rng.random() < 0.6)[: rng.choice([123, 123, 40])]]
+        rows += [(lane, p, w, c, rng.random() > 0.0005) for p, (w, c) in enumerate(symbols) if rng.random() > 0.0003]
+    df = spark.createDataFrame(rows, "lane long, pos long, word long, control int, valid boolean")
+    plain = lambda f: sorted(map(tuple, f.collect()), key=repr)
+    for block in (64, 1000):
+        got = plain(framer.received(df, block=block))
+        want = plain(framer.framed(framer.place(df, block=block)))
+        assert got
+        assert got == want, [(a[:2], a[3:], b[:2], b[3:]) for a, b in zip(got, want, strict=False) if a != b][:3]
