@@ -11,6 +11,8 @@ from tallywire.schema import CHANNELS, COMMA, FRAME_WORDS, SAMPLES_PER_PACKET, V
 from tallywire.sources.files import SPLIT, opened, read_fixed, read_range, write_fixed
 from tallywire.sources.folders import written
 
+#: Bytes of records that are read at once, and of a file that is looked at for sizes.
+SPAN, WINDOW = 1 << 20, 1 << 16
 #: Words of one of a frame's two streams: two of headers, twelve of samples.
 STREAM_WORDS = 14
 
@@ -74,11 +76,12 @@ def read_samples(spark: SparkSession, path: str, *, samples: int = SAMPLES_PER_P
     return packets.mapInArrow(turned, "file string, pkt long, ch int, adcs array<int>")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, *, span: int = SPAN) -> DataFrame:
     """(file, n, at, type, payload): records of a 32-bit little-endian size whose top four bits are the type, and the payload. A
     record that is cut short ends its file.
 
-    A task hops through a file from size to size, reading no payloads; these are then read by many tasks."""
+    A task hops through a file from size to size and notes a row for each ``span`` bytes of whole records (or one larger record); spans are then
+    read by many tasks, each at once."""
 
     def hop(batches):
         import pyarrow as pa
@@ -86,31 +89,40 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, place = opened(name)
+                rows, at, n, begin, first, base, held = [], 0, 0, 0, 0, 0, b""
                 with system.open_input_file(place) as file:
-                    at, n, rows = 0, 0, []
                     while at + 4 <= size:
-                        head = int.from_bytes(file.read_at(4, at), "little")
-                        stop = at + 4 + (head & 0x0FFFFFFF)
+                        if at + 4 > base + len(held):
+                            base, held = at, file.read_at(min(WINDOW, size - at), at)
+                        stop = at + 4 + (int.from_bytes(held[at - base : at - base + 4], "little") & 0x0FFFFFFF)
                         if stop > size:
                             break
-                        rows.append((name, n, at, head >> 28, stop - at - 4))
+                        if n > first and stop - begin > span:
+                            rows.append((name, first, begin, at))
+                            begin, first = at, n
                         at, n = stop, n + 1
-                        if len(rows) == 10_000 or at + 4 > size:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "n", "at", "type", "size"])
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "n", "at", "type", "size"])
+                if n > first:
+                    rows.append((name, first, begin, at))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "n", "at", "stop"])
 
     def take(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                data = [read_range(name, begin + 4, size) for name, begin, size in zip(*(part.column(i).to_pylist() for i in (0, 2, 4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(3).cast(pa.int32()), pa.array(data, pa.binary())], names=["file", "n", "at", "type", "payload"])
+            for name, n, begin, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, at, places, kinds, payloads = read_range(name, begin, stop - begin), 0, [], [], []
+                while at < len(data):
+                    head = int.from_bytes(data[at : at + 4], "little")
+                    end = at + 4 + (head & 0x0FFFFFFF)
+                    places.append(begin + at)
+                    kinds.append(head >> 28)
+                    payloads.append(data[at + 4 : end])
+                    at = end
+                numbers = pa.array(range(n, n + len(places)), pa.int64())
+                columns = [pa.array([name] * len(places)), numbers, pa.array(places, pa.int64()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "n", "at", "type", "payload"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-    listed = written(files.mapInArrow(hop, "file string, n long, at long, type long, size long"), "records")
-    share = F.struct("file", floor_div(F.col("n"), 256))  # neighbours are read together
-    return listed.repartition(max(spark.sparkContext.defaultParallelism, listed.count() >> 14), share).mapInArrow(take, "file string, n long, at long, type int, payload binary")
+    listed = written(files.mapInArrow(hop, "file string, n long, at long, stop long"), "records")
+    return listed.repartition(max(spark.sparkContext.defaultParallelism, listed.count() >> 6), "file", "n").mapInArrow(take, "file string, n long, at long, type int, payload binary")

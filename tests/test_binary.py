@@ -137,3 +137,21 @@ def test_damaged_streams(spark, tmp_path):
             assert got == _sequential(raw), (name, block)
     header = next(r for r in rows if r.file.endswith("header.bin"))
     assert (header.size, header.sequence, header.second, header.type) == (16, 7, 8, 9)
+
+
+def test_records_are_read_by_spans(spark, tmp_path, monkeypatch):
+    """Files are read by spans of records, not opened for each record; whatever a span holds, every record comes once, as it is."""
+    rng, held, keep = random.Random(4), [], binary.written
+    monkeypatch.setattr(binary, "written", lambda df, name: held.append(keep(df, name)) or held[-1])
+    want = []
+    for f in range(2):
+        data = b""
+        for n in range(300):
+            payload = rng.randbytes(rng.choice([0, 1, 50, 90_000 if n % 100 == 5 else 7]))
+            want.append((f, n, len(data), n % 16, payload))
+            data += struct.pack("<I", len(payload) | (n % 16) << 28) + payload
+        (tmp_path / f"{f}.dat").write_bytes(data + struct.pack("<I", 100) + b"cut")
+    for span in (1, 500, 1 << 20):
+        got = binary.read_records(spark, str(tmp_path), span=span) if span < 1 << 20 else binary.read_records(spark, str(tmp_path))
+        assert sorted((int(r.file[-5]), r.n, r.at, r.type, bytes(r.payload)) for r in got.collect()) == want
+    assert held[-1].count() == 2
