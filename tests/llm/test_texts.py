@@ -367,6 +367,59 @@ def test_near_classes_of_large_groups(spark):
     assert all(whole[near.get(i, i)] == whole[i] for i in prints) and sum(near.get(i, i) == whole[i] for i in prints) >= 0.9 * len(prints)
 
 
+def _digits(rows):
+    import numpy as np
+
+    return [(i, (x[::2] << 4 | x[1::2]).astype(np.uint8).tobytes()) for i, x in enumerate(rows)]
+
+
+def _changed(rng, x, n):
+    x, at = x.copy(), rng.permutation(editembed.SAMPLES)[:n]
+    x[at] = (x[at] + rng.integers(1, 16, n)) % 16
+    return x
+
+
+def test_classes_just_below_the_threshold_are_not_paired_by_members(spark, monkeypatch):
+    """A class of 90 and 40 unlike rows that share keys with all of it: pairs do not grow with their product."""
+    import numpy as np
+
+    rng, made, real = np.random.default_rng(6), [], editembed.written
+    base = rng.integers(0, 16, editembed.SAMPLES)
+    rows = [_changed(rng, base, int(rng.integers(3, 8))) for _ in range(90)] + [_changed(rng, base, 85) for _ in range(40)]
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(editembed, "written", counted)
+    got = {(r.doc_id, r.near_id) for r in editembed.near_classes(spark.createDataFrame(_digits(rows), "doc_id long, fingerprint binary")).collect()}
+    assert got == {(i, 0) for i in range(1, 90)}
+    assert sum(made[2:]) < 90 * 40 / 4
+
+
+def test_near_classes_by_clusters_lose_no_link(spark, monkeypatch):
+    """Bands that find the closest copies only leave many classes, of clusters with members far from their centre; classes are still those of
+    all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(editembed, "EQUAL", 15)
+    rng, rows = np.random.default_rng(7), []
+    for _ in range(12):
+        begin = rng.integers(0, 16, editembed.SAMPLES)
+        for _ in range(4):  # each group goes on from a member of the last: some within reach, some just beyond
+            group = [_changed(rng, begin, int(n)) for n in rng.integers(0, 25, 6)]
+            rows += group
+            begin = _changed(rng, group[int(rng.integers(6))], int(rng.integers(36, 56)))
+    table = np.array(rows)
+    differ = (table[:, None] != table[None]).sum(axis=2)
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if differ[a, b] <= 48]
+    whole = helpers.components(list(range(len(rows))), links)
+    got = {r.doc_id: r.near_id for r in editembed.near_classes(spark.createDataFrame(_digits(rows), "doc_id long, fingerprint binary")).collect()}
+    assert {i: got.get(i, i) for i in whole} == whole and 12 < len(set(whole.values())) < 48
+
+
 def test_edited_odd_tables(spark):
     rows = editembed.edited_and_next(spark.createDataFrame([(5, None, 1)], "doc_id long, text string, n_chars int")).collect()
     assert [(r.doc_id, r.n_chars, r.fingerprint, r.near_edited, r.near_next) for r in rows] == [(5, 0, "", 1.0, 1.0)]
