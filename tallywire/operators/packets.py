@@ -121,12 +121,32 @@ def _in_words(rows: DataFrame, data: str, out: str, n: int) -> DataFrame:
     return rows.select(*others, data).mapInArrow(run, schema)
 
 
+def _joined(rows: DataFrame, parts: str, out: str) -> DataFrame:
+    """A column of arrays of binaries as one binary each, last; null ones have no bytes. They lie one after another in a batch already."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            flat = column.values
+            ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+            data = flat.buffers()[2] or pa.py_buffer(b"")
+            made = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(ends[column.offsets.to_numpy()])), data])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
+
+    others = [c for c in rows.columns if c != parts]
+    return rows.select(*others, parts).mapInArrow(run, T.StructType([*[rows.schema[c] for c in others], T.StructField(out, T.BinaryType())]))
+
+
 def copy_payloads(frames: DataFrame, *, key: str = "link", words: str = "words", version: int = 0x01000000) -> DataFrame:
     """(key, pkt, frames, payload): one binary of all frames (key, pkt, frame, status, words array<long>) of a packet."""
     rows = _in_bytes(frames.select(key, "pkt", "frame", "status", F.col(words).cast("array<long>").alias("words")), "words", "data")
     made = rows.groupBy(key, "pkt").agg(F.sort_array(F.collect_list(F.struct("frame", "data"))).alias("all"), F.bit_or("status").alias("status"))
-    body = F.array_join(F.transform("all", lambda f: F.hex(f["data"])), "")
-    return made.select(key, "pkt", F.size("all").cast("long").alias("frames"), _closed(body, F.col("status"), COPY, lit(version)).alias("payload"))
+    made = _joined(made.select(key, "pkt", F.size("all").cast("long").alias("frames"), "status", F.col("all.data").alias("data")), "data", "body")
+    first, second = trailer_words(F.col("status"), lit(0), lit(COPY), (F.octet_length("body") + CLOSING).cast("long"), lit(version))
+    return made.select(key, "pkt", "frames", F.concat("body", F.unhex(F.concat(digits_of(first), digits_of(second)))).alias("payload"))
 
 
 def copied_frames(packets: DataFrame, *, n: int = FRAME_WORDS) -> DataFrame:

@@ -91,3 +91,14 @@ def test_words_of_copy_packets_are_not_taken_out_one_by_one(spark):
         assert "MapInArrow" in plan and "transform(words" not in plan
     got = sorted((r.link, r.frame, r.sound, r.status, r.words) for r in read.collect())
     assert got == [(1, f, True, 3, [f * 40 + i - 7 for i in range(30)]) for f in range(3)] + [(2, 0, True, 4, [-(1 << 63)] * 30)]
+
+
+def test_frames_of_a_packet_are_joined_as_bytes(spark):
+    """The digits of frames are not written and read again; frames without words have no bytes, wherever they stand."""
+    rows = [(1, p, f, 1, None if (p + f) % 3 == 0 else [100 * p + f, -1]) for p in range(4) for f in range(5)] + [(2, 0, 0, 1, None)]
+    made = P.copy_payloads(spark.createDataFrame(rows, "link long, pkt long, frame long, status long, words array<long>"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "transform(" not in plan
+    for r in made.collect():
+        words = [w for link, p, _, _, ws in rows if (link, p) == (r.link, r.pkt) for w in ws or []]
+        assert bytes(r.payload)[:-16] == struct.pack(f"<{len(words)}q", *words) and r.frames == (5 if r.link == 1 else 1)
