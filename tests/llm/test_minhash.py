@@ -81,6 +81,22 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k != 5000}
 
 
+def test_components_of_many_blocks(spark, monkeypatch):
+    """Blocks of three edges over many tasks: chains, stars and ids that are texts."""
+    from tallywire.llm import graph
+
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 3)
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(i, 300) for i in range(200, 240)] + [tuple(rng.sample(range(400, 460), 2)) for _ in range(50)]
+    rng.shuffle(edges)
+    want = helpers.components({x for e in edges for x in e}, edges)
+    got = components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(want.items())
+    got = components(spark.createDataFrame([tuple(f"n{x:03d}" for x in e) for e in edges], "u string, v string").repartition(7)).collect()
+    assert sorted((int(r.node[1:]), int(r.component[1:])) for r in got) == sorted(want.items())
+    assert components(spark.createDataFrame(edges, "u long, v long").limit(0)).collect() == []
+
+
 def _sorted_tree(rows):
     """(tree, labels as bytes) of rows of labels, in sorted order."""
     raw = sorted(b"".join(x.to_bytes(w, "big") for x, w in zip(r, minhash.LABELS, strict=True)) for r in rows)

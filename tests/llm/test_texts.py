@@ -399,6 +399,28 @@ def test_classes_just_below_the_threshold_are_not_paired_by_members(spark, monke
     assert sum(made[2:]) < 90 * 40 / 4
 
 
+def test_rounds_of_near_classes_do_not_repeat_members(spark, monkeypatch):
+    """A class of 90 goes through the contractions once, not again in each round that follows."""
+    import numpy as np
+
+    from tallywire.llm import graph
+
+    rng, made, real = np.random.default_rng(8), [], graph.written
+    base = rng.integers(0, 16, editembed.SAMPLES)
+    rows = [_changed(rng, base, int(rng.integers(3, 8))) for _ in range(90)]
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        if name == "edges":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    got = {(r.doc_id, r.near_id) for r in editembed.near_classes(spark.createDataFrame(_digits(rows), "doc_id long, fingerprint binary")).collect()}
+    assert got == {(i, 0) for i in range(1, 90)}
+    assert sum(made) < 4 * 90
+
+
 def test_near_classes_by_clusters_lose_no_link(spark, monkeypatch):
     """Bands that find the closest copies only leave many classes, of clusters with members far from their centre; classes are still those of
     all pairs."""
