@@ -116,8 +116,10 @@ def _entered(symbols: DataFrame, key: str, order: str, block: int) -> DataFrame:
     few = few.withColumn("_group", floor_div(F.col("_block"), FAN))
     groups = few.groupBy("_key", "_group").applyInArrow(join, of(("_group", long), ("low", long), ("high", long), ahead))
     given = groups.groupBy("_key").applyInArrow(hand, of(("_group", long), ("entry", long)))
-    entries = few.join(given, ["_key", "_group"]).groupBy("_key", "_group").applyInArrow(within, of(("_block", long), ("entry", long)))
-    return rows.join(entries, ["_key", "_block"])
+    # symbols and maps are dealt out by their block and group, never broadcast: where symbols are exploded from a small table, Spark
+    # takes them for small and would gather them all in the driver
+    entries = few.join(given.hint("merge"), ["_key", "_group"]).groupBy("_key", "_group").applyInArrow(within, of(("_block", long), ("entry", long)))
+    return rows.join(entries.hint("merge"), ["_key", "_block"])
 
 
 def place(symbols: DataFrame, *, key: str = "lane", order: str = "pos", block: int = BLOCK) -> DataFrame:

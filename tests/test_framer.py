@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import struct
 import zlib
 
@@ -70,3 +72,16 @@ def test_received_is_what_is_placed_and_framed(spark, monkeypatch):
         want = plain(framer.framed(framer.place(df, block=block)))
         assert got
         assert got == want, [(a[:2], a[3:], b[:2], b[3:]) for a, b in zip(got, want, strict=False) if a != b][:3]
+
+
+def test_symbols_and_maps_are_not_broadcast(spark, sf):
+    """Symbols that are exploded from a small table look small to the planner, yet they are the whole job."""
+    from tallywire.plans.frames import link_frames
+
+    plan = link_frames(spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(re.match(r"[ :|+-]*", line)[0])
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda x, top=depth(line): depth(x) > top, plan[i + 1 :]))
+            assert not [x for x in below if "Generate" in x or "FlatMapGroupsInArrow" in x], line
+    assert any("Generate" in line for line in plan)
