@@ -15,7 +15,8 @@ number) has the same or a linked text; the rest of the document stays as it is.
 3. Candidates are verified by a banded bit-parallel edit distance over their code points.
 4. Decisions are joined back by line hash, gathered for each document, and applied.
 
-Line texts travel only for candidates; before that there are hashes. Two 64-bit hashes of different seeds stand for a
+Line texts travel only for candidates, and for the few others that pass a sieve where candidates are too many to be broadcast;
+before that there are hashes. Two 64-bit hashes of different seeds stand for a
 text wherever texts are told apart. The first alone serves to find candidates: there, two linked lines are lost if they
 are also equal in 64 bits.
 
@@ -40,6 +41,8 @@ CROWD = 256
 NOT_BLANK = r"\S"
 #: Up to so many hashes are broadcast, a few tens of MB; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
+#: Words of 64 bits that more hashes are folded to, to leave out most rows before such a shuffle.
+SIEVE = 1 << 20
 
 
 def _first_hash(line: Column) -> Column:
@@ -203,6 +206,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
 
 
+def _sifted(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose columns ``on`` are among those asked for, with a few others. Asked ones set two bits each in words of 64 bits, which are
+    broadcast and never more than ``SIEVE``, however many are asked for."""
+    x = F.xxhash64(*on)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, at).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    word, bits = F.pmod(x, F.lit(SIEVE)).cast("long").alias("_word"), bit(40).bitwiseOR(bit(46)).alias("_bits")
+    sieve = asked.select(word, bits).groupBy("_word").agg(F.bit_or("_bits").alias("_all"))
+    met = rows.select("*", word, bits).join(F.broadcast(sieve), "_word")
+    return met.filter(F.col("_bits").bitwiseAND(F.col("_all")) == F.col("_bits")).select(*rows.columns)
+
+
 def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of different line texts within the threshold: (h, g, other, other_g, distance), both ways round."""
     lines = _lines(docs, id_col, text_col, min_chars)
@@ -216,11 +230,15 @@ def linked_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     # is asked for by its own hash, as if that were one more segment
     asked = shared.filter("n > 2").select("key", F.lit(True).alias("crowd"))
     asked = asked.unionByName(twos.select(F.explode(F.array("a", "b")).alias("key"), F.lit(False).alias("crowd")).distinct())
-    asked = _small(written(asked, "asked"))
+    asked, on = written(asked, "asked"), ["key", "crowd"]
+    few = asked.count() <= BROADCAST_HASHES
     whole = lines.select("h", "g", "line", F.col("h").alias("key"), F.lit(False).alias("crowd"))
     pieces = segment_entries(lines, threshold, ("g", "line")).withColumn("crowd", F.lit(True))
-    found = pieces.unionByName(whole).join(asked, ["key", "crowd"], "left_semi")
-    found = written(found.groupBy("h", "g", "crowd", "key").agg(F.first("line").alias("line")), "members")
+    # each line stands there a dozen times with its text, so that no shuffle may take them all
+    found = pieces.unionByName(whole)
+    found = found.join(F.broadcast(asked), on, "left_semi") if few else _sifted(found, asked, on)
+    found = found.groupBy("h", "g", "crowd", "key").agg(F.first("line").alias("line"))
+    found = written(found if few else found.join(asked, on, "left_semi"), "members")
     texts = found.groupBy("h", "g").agg(F.first("line").alias("line"))
     texts = written(texts.select(F.struct("h", "g").alias("x"), "h", "line", sketches(F.col("line")).alias("sketch")), "texts")
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -93,6 +94,48 @@ def test_bands_of_template_lines(spark):
     assert met < 0.3 * len(lines) ** 2 / 2
 
 
+@pytest.mark.parametrize("sieve", [linededup.SIEVE, 4])
+def test_more_hashes_than_are_broadcast(spark, monkeypatch, sieve):
+    """Where hashes are too many to be broadcast, pieces with their texts pass a sieve before they are shuffled; one that lets all pass
+    changes no result."""
+    docs = spark.createDataFrame([(i, f"{t}\nonly document {i} has this line {i * i}") for i, t in _near_lines(60)], "doc_id long, text string")
+    want = rows_of(linededup.dedup_lines(docs))
+    plans, keep = {}, linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: plans.update({name: df}) or keep(df, name))
+    monkeypatch.setattr(linededup, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(linededup, "SIEVE", sieve)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark would broadcast such a small table of its own accord
+    try:
+        assert rows_of(linededup.dedup_lines(docs)) == want
+        lines = plans["members"]._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    depth = lambda line: len(re.match(r"[ :|+-]*", line)[0])
+    met = []
+    for at, line in enumerate(lines):
+        if "Generate explode" in line:  # what stands above it
+            top, above = depth(line), []
+            for x in reversed(lines[:at]):
+                if depth(x) < top:
+                    top = depth(x)
+                    above.append(x.lstrip(" :|+-").split(" ")[0])
+            met.append(next(x for x in above if x in ("Exchange", "BroadcastHashJoin")))
+    assert met
+    assert set(met) == {"BroadcastHashJoin"}
+
+
+def test_sieve(spark, monkeypatch):
+    """All that are asked for pass, and few others."""
+    monkeypatch.setattr(linededup, "SIEVE", 1 << 9)
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS key", "id % 2 = 0 AS crowd", "id")
+    asked = rows.filter("id < 1000").select("key", "crowd")
+    passed = {r.id for r in linededup._sifted(rows, asked, ["key", "crowd"]).collect()}
+    assert passed >= set(range(1000))
+    assert len(passed) < 1000 + 0.02 * 19_000
+    assert linededup._sifted(rows, asked.limit(0), ["key", "crowd"]).count() == 0
+
+
 def test_lines_odd_tables(spark):
     line = "a line that is long enough to count"
     df = spark.createDataFrame([(1, None), (2, ""), (3, line), (3, line), (None, line), (4, line)], "doc_id long, text string")
