@@ -2,7 +2,9 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
+from tallywire.llm import linededup
 from tests.llm import helpers
+from tests.oracle import rows_of
 
 
 def test_stages(spark, sf):
@@ -42,3 +44,13 @@ def test_copies_with_short_lines_go(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 3: "Mine\n\t", 4: "\n \n", 5: None}
+
+
+def test_lines_beyond_the_broadcast_limit(spark, sf, monkeypatch):
+    """The second stage keeps the same documents where hashes are too many to be broadcast, and its texts pass a sieve before a shuffle."""
+    docs, plans, keep = spark.read.parquet(f"{sf}/documents.parquet"), {}, linededup.written
+    want = rows_of(corpus_pipeline.lines(spark, docs, sf))
+    monkeypatch.setattr(linededup, "written", lambda df, name: plans.update({name: df}) or keep(df, name))
+    monkeypatch.setattr(linededup, "BROADCAST_HASHES", 0)
+    assert rows_of(corpus_pipeline.lines(spark, docs, sf)) == want
+    assert "BroadcastHashJoin [_word" in plans["members"]._jdf.queryExecution().executedPlan().toString()
