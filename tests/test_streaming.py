@@ -129,3 +129,55 @@ def test_reconnect_and_restart(spark):
     feed.add([(1, 1, 4), (1, 2, 77)])
     want = [(1, 0, 5, 0), (1, 0, 6, 0), (1, 0, 9, 2), (1, 0, 10, 0), (1, 1, 0, 0), (1, 1, 3, 2), (1, 1, 4, 0), (1, 2, 77, 0), (2, 0, 1, 0), (2, 0, 2, 0)]
     assert feed.rows() == sorted(want, key=repr)
+
+
+class Kept:
+    """A value in state, with what it was asked for."""
+
+    def __init__(self):
+        self.value, self.asked = None, []
+
+    def exists(self):
+        self.asked.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+
+def _frame(columns, *rows):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=columns)
+
+
+def test_polls_read_and_write_state_once(monkeypatch):
+    """A key's polls cost one read and one write of its state, and a long key's go out in frames of a bounded size."""
+    monkeypatch.setattr(S, "FRAME_ROWS", 2)
+    polls, seen = ["path", "us", "n", "value"], S._Poll("path", "value")
+    seen.last = Kept()
+    parts = [_frame(polls, (1, 20, 2, "b"), (1, 10, 1, "a"), (1, 20, 3, "b")), _frame(polls, (1, 15, 9, "c"), (1, 30, 4, None))]
+    got = [[tuple(row) for row in frame.itertuples(index=False)] for frame in seen.handleInputRows((1,), iter(parts), None)]
+    assert got == [[(1, 10, 1, "a", "new"), (1, 15, 9, "c", "changed")], [(1, 20, 2, "b", "changed"), (1, 30, 4, None, "gone")]]
+    assert not list(seen.handleInputRows((1,), iter([_frame(polls, (1, 25, 5, "d"))]), None))  # older than the state
+    assert seen.last.asked == ["get", "update"] * 2 and seen.last.value == (30, None)
+
+
+def test_odd_polls(spark):
+    """Null values, times and numbers, repeats and older polls, over restarts; a null path is a path."""
+    t = lambda s: __import__("datetime").datetime.fromtimestamp(1_700_000_000 + s)
+    feed = Feed(spark, "path long, at timestamp, n int, value string", lambda s: S.changes(s))
+    feed.add([(1, t(2), 3, "b"), (1, t(1), 1, "a"), (1, t(1), 2, "a"), (1, t(2), 3, "b"), (2, None, 1, "a"), (3, t(1), 1, None)])
+    want = [(1, t(1), 1, "a", "new"), (1, t(2), 3, "b", "changed"), (3, t(1), 1, None, "new")]
+    assert feed.rows() == sorted(want, key=repr)
+    feed.add([(1, t(1), 9, "late"), (1, t(2), 4, None), (1, t(3), 5, "b"), (3, t(2), 2, None), (3, t(3), 3, "a"), ((1 << 53) + 1, t(3), 1, "")])
+    want += [(1, t(2), 4, None, "gone"), (1, t(3), 5, "b", "changed"), (3, t(3), 3, "a", "changed"), ((1 << 53) + 1, t(3), 1, "", "new")]
+    assert feed.rows() == sorted(want, key=repr)
+    for poll in [(None, t(1), 1, "x"), (None, t(2), None, "y"), (None, t(2), 7, "y")]:
+        feed.add([poll])
+    assert [r for r in feed.rows() if r[0] is None] == [(None, t(1), 1, "x", "new"), (None, t(2), 0, "y", "changed")]
