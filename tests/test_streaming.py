@@ -181,3 +181,86 @@ def test_odd_polls(spark):
     for poll in [(None, t(1), 1, "x"), (None, t(2), None, "y"), (None, t(2), 7, "y")]:
         feed.add([poll])
     assert [r for r in feed.rows() if r[0] is None] == [(None, t(1), 1, "x", "new"), (None, t(2), 0, "y", "changed")]
+
+
+class Listed(Kept):
+    """A list in state."""
+
+    def __init__(self):
+        super().__init__()
+        self.value = []
+
+    def get(self):
+        self.asked.append("get")
+        return iter(self.value)
+
+    def put(self, rows):
+        self.asked.append("put")
+        self.value = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.asked.append("append")
+        self.value += rows
+
+    def clear(self):
+        self.asked.append("clear")
+        self.value = []
+
+
+class Timers:
+    """The timers of a key, and the time that a processor is given."""
+
+    def __init__(self):
+        self.at, self.now, self.asked = set(), 0, []
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.at))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.asked.append("register")
+        self.at.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.asked.append("delete")
+        self.at.discard(ms)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+    def expire(self, processor, key, now):
+        """What Spark does at the end of a batch: the timers up to the watermark go off, and each is deleted behind its call."""
+        self.now, found = now, []
+        for ms in [t for t in sorted(self.at) if t <= now]:
+            found += [tuple(row) for frame in processor.handleExpiredTimer(key, self, None) for row in frame.itertuples(index=False)]
+            self.at.discard(ms)
+        return found
+
+
+def test_gate_puts_rows_by_without_reading_those_that_wait():
+    """What waits is read when some of it is due, and is written again only then; the timer is moved only by an earlier row."""
+    rows, gate, timers = ["ch", "id", "cmd", "at", "us"], S._Gate("ch"), Timers()
+    gate.handle, gate.on, gate.waiting = timers, Kept(), Listed()
+    put = lambda *some: list(gate.handleInputRows((1,), iter([_frame(rows, *((1, i, cmd, None, us) for i, cmd, us in some))]), timers))
+    assert not put((1, 1, 5000), (2, 0, 7000)) and not put((3, 0, 9000)) and not put((4, 2, 4500))
+    assert gate.waiting.asked == ["append"] * 3 and not gate.on.asked and timers.at == {5} and timers.asked == ["register", "delete", "register"]
+    assert timers.expire(gate, (1,), 4) == []
+    assert timers.expire(gate, (1,), 7) == [(1, 4, 4500, 2, False), (1, 1, 5000, 1, True)]
+    assert timers.at == {8} and gate.waiting.value == [(7000, 2, 0), (9000, 3, 0)] and gate.on.value == (True,)
+    assert not put((5, 0, 6500)) and timers.at == {7}  # due already: it goes out at the end of its batch
+    assert timers.expire(gate, (1,), 7) == [(1, 5, 6500, 0, True)] and timers.at == {8}
+    assert timers.expire(gate, (1,), 10) == [(1, 2, 7000, 0, True), (1, 3, 9000, 0, True)] and not timers.at and not gate.waiting.value
+    assert gate.on.asked.count("update") == 1
+
+
+def test_odd_gating(spark):
+    """Null ids and commands, times that are null or the same, and rows that come twice; a null channel is a channel."""
+    t = lambda s: __import__("datetime").datetime.fromtimestamp(1_700_000_000 + s)
+    feed = Feed(spark, "ch long, id long, at timestamp, cmd int", lambda s: S.gated(s.filter("coalesce(cmd, 0) = 0"), s.filter("cmd <> 0"), late="5 seconds"))
+    feed.add([(1, 1, t(1), 1), (1, None, t(1), 0), (1, 2, t(2), None), (1, 3, None, 1), (1, 4, t(3), 2), (1, 4, t(3), 2), (2, 5, t(2), 0), (2, 5, t(2), 0)])
+    feed.add([(1, 6, t(4), 0), (2, 7, t(1), 1), (2, 8, t(1), 8)])
+    feed.add([(None, 9, t(100), 1)])
+    feed.add([(None, 10, t(101), 0)])
+    feed.add([(7, 11, t(1000), 0)])
+    want = [(1, -1, t(1), 0, False), (1, 1, t(1), 1, True), (1, 2, t(2), 0, True), (1, 4, t(3), 2, False), (1, 4, t(3), 2, False), (1, 6, t(4), 0, False)]
+    want += [(2, 7, t(1), 1, True), (2, 8, t(1), 8, True), (2, 5, t(2), 0, True), (2, 5, t(2), 0, True), (None, 9, t(100), 1, True), (None, 10, t(101), 0, True)]
+    assert feed.rows() == sorted(want, key=repr)
