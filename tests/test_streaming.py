@@ -264,3 +264,28 @@ def test_odd_gating(spark):
     want = [(1, -1, t(1), 0, False), (1, 1, t(1), 1, True), (1, 2, t(2), 0, True), (1, 4, t(3), 2, False), (1, 4, t(3), 2, False), (1, 6, t(4), 0, False)]
     want += [(2, 7, t(1), 1, True), (2, 8, t(1), 8, True), (2, 5, t(2), 0, True), (2, 5, t(2), 0, True), (None, 9, t(100), 1, True), (None, 10, t(101), 0, True)]
     assert feed.rows() == sorted(want, key=repr)
+
+
+def test_packets_move_no_timer_with_every_batch():
+    """State is read and written once a batch; the timer stays until it goes off, and is set again if frames came since. One that would be
+    too late is moved."""
+    frames, packets, timers = ["ch", "seq", "value", "flush", "at", "ms"], S._Packets("ch", 2, 100), Timers()
+    packets.handle, packets.open = timers, Kept()
+    packets.open.clear = lambda: setattr(packets.open, "value", None)
+
+    def put(*some):
+        made = packets.handleInputRows((1,), iter([_frame(frames, *((1, s, v, flush, None, ms) for s, v, flush, ms in some))]), timers)
+        return [tuple(row) for frame in made for row in frame.itertuples(index=False)]
+
+    assert put((2, 5, False, 20), (1, 4, False, 10), (3, 1, False, 30)) == [(1, 1, 2, 2, 9, False)]
+    assert put((4, 1, False, 40), (5, 7, False, 50), (5, 7, False, 50)) == [(1, 3, 4, 2, 2, False)]
+    assert packets.open.asked == ["get", "update"] * 2 and timers.asked == ["register"] and timers.at == {130}
+    assert timers.expire(packets, (1,), 130) == [] and timers.at == {150}  # frame 5 came at 50
+    assert put((6, 0, False, 45), (9, 0, True, 60), (9, 3, None, 60)) == [(1, 5, 6, 2, 7, False)] and timers.at == {150}  # a null flush is a frame, behind the others
+    assert timers.expire(packets, (1,), 150) == [] and timers.at == {230}  # the watermark was 130 when they came
+    assert put((10, 8, False, 300)) == [(1, 9, 10, 2, 11, False)] and timers.at == {230}
+    assert put((11, 8, False, 20)) == [] and timers.at == {250} and packets.open.value[-1] == 250  # moved to what is earlier
+    timers.now = 110
+    assert put((11, 8, False, 20)) == [] and timers.at == {210}
+    assert timers.expire(packets, (1,), 210) == [(1, 11, 11, 1, 8, True)] and not timers.at and packets.open.value is None
+    assert put((1, 1, True, 900)) == [] and not timers.at and packets.open.value is None  # nothing to flush
